@@ -22,7 +22,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pyrogrid.functions.scalars import clip
@@ -234,10 +234,11 @@ def fit_predict(
     return fit_on_split(df, family, task, params, target)
 
 
-def _in_parallel(jobs: Sequence, width: int = 4) -> list:
+def _in_parallel(spark: SparkSession, jobs: Sequence, width: int = 4) -> list:
     """Submit independent Spark jobs from driver threads."""
+    wrap = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=width) as pool:
-        return list(pool.map(lambda job: inheritable_thread_target(job)(), jobs))
+        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
 
 
 def oof_propensity(
@@ -258,12 +259,13 @@ def oof_propensity(
     folds = sorted(r[0] for r in train.select("fold").distinct().collect())
     fits = [train.where(F.col("fold") != i) for i in folds] + [train]
     models = _in_parallel(
+        df.sparkSession,
         [
             lambda rows=rows: fit_model(
                 rows, family, "classification", features, target, params
             )
             for rows in fits
-        ]
+        ],
     )
     columns = df.columns
     parts = [

@@ -10,7 +10,7 @@ from pyrogrid.plans import inputs as T
 from pyrogrid.plans.audits import severity_side_join
 from pyrogrid.plans.inputs import HORIZON, TEMPORAL, WINDOWS, with_tables
 from pyrogrid.plans.registry import KEY, fields, query
-from pyrogrid.sources.panel import require_patches
+from pyrogrid.sources.panel import reference_spine, require_patches
 from pyrogrid.sources.zonal import earliest_future_burn
 
 # --- enrichment; each step's SQL maps derived column -> expression
@@ -275,6 +275,34 @@ def upcoming(spark, sf):
     return labels.next_event(T.skeleton(spark, sf), T.burn_events(spark, sf), HORIZON)
 
 
+@query(
+    "event_ahead",
+    f"{KEY} y_occ_7d:i event_date:d",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS patch_id, CAST(ts AS DATE) AS day,
+      event_type = 'error' AND value > 100 AS hit FROM events),
+    s AS (SELECT patch_id, CAST(unnest(generate_series(a, b, INTERVAL 3 DAY)) AS DATE)
+      AS reference_date FROM (SELECT patch_id, min(day) AS a, max(day) AS b FROM e GROUP BY 1))
+    SELECT s.patch_id, s.reference_date, CASE WHEN min(day) IS NULL THEN 0 ELSE 1 END AS y_occ_7d,
+      min(day) AS event_date
+    FROM s LEFT JOIN (SELECT DISTINCT patch_id, day FROM e WHERE hit) h
+      ON h.patch_id = s.patch_id AND day > s.reference_date AND day <= s.reference_date + 7
+    GROUP BY 1, 2""",
+)
+def event_ahead(spark, sf):
+    """Which users, at which dates, have a severe error within the next week."""
+    seen = T.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("patch_id"),
+        F.col("ts").cast("date").alias("event_date"),
+        ((F.col("event_type") == "error") & (F.col("value") > 100)).alias("hit"),
+    )
+    bounds = seen.groupBy("patch_id").agg(
+        F.min("event_date").alias("reference_start"), F.max("event_date").alias("reference_end")
+    )
+    hits = seen.where("hit").select("patch_id", "event_date")
+    found = labels.next_event(reference_spine(bounds, 3), hits, 7)
+    return found.withColumn("y_occ_7d", F.col("event_date").isNotNull().cast("int"))
+
+
 @query(
     "event_exists",
     f"{KEY} y_occ_30d:i",
