@@ -14,6 +14,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot leaves methods above 8000 bytecodes uncompiled; very wide panel aggregations exceed
+    # that, and then run faster without whole-stage code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

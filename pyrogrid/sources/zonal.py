@@ -7,12 +7,12 @@ Instead of a range join, an observation is exploded to the few spine dates that
 is plain day arithmetic.  Before that, observations are summed into *elementary bins*: days
 between two consecutive window edges (modulo the stride) are seen by exactly the same windows, so
 sums and counts per bin lose nothing and the explosion multiplies bins rather than raw rows.  All
-windows come out of one pass as conditional aggregates on the gap in days.
+windows of a source come out of one pass over its observations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -55,6 +55,8 @@ HEAVY_PIXEL_ROWS = 1_000_000
 
 PIXEL = ("patch_id", "pixel_id")
 KEY = ("patch_id", "reference_date")
+# The panel key of rows that were exploded in place.
+PLACED = ("patch_id", "_chunk", "reference_date")
 
 
 def _std(std: str):
@@ -114,21 +116,65 @@ def bin_start(day: Column, temporal: TemporalConfig, windows: Sequence[int]) ->
     return F.date_sub(day, (phase - offset).cast("int"))
 
 
-def explode_to_spine(
-    df: DataFrame, temporal: TemporalConfig, first_ref: Column, last_ref: Column
-) -> DataFrame:
-    """One row per spine date within ``[first_ref, last_ref]``; both are date columns."""
+def _spine_range(
+    temporal: TemporalConfig, first_ref: Column, last_ref: Column
+) -> tuple[Column, Column]:
+    """Positions on the spine of the first and last reference date within two dates."""
     stride, start = temporal.reference_stride_days, F.lit(temporal.reference_start)
     low = F.greatest(F.ceil(F.datediff(first_ref, start) / stride).cast("int"), F.lit(0))
     high = F.least(
         F.floor(F.datediff(last_ref, start) / stride).cast("int"),
         F.lit(temporal.n_reference_dates - 1),
     )
+    return low, high
+
+
+def _spine_date(temporal: TemporalConfig, position: str) -> Column:
+    stride = temporal.reference_stride_days
+    return F.date_add(F.lit(temporal.reference_start), F.col(position) * stride)
+
+
+def explode_to_spine(
+    df: DataFrame, temporal: TemporalConfig, first_ref: Column, last_ref: Column
+) -> DataFrame:
+    """One row per spine date within ``[first_ref, last_ref]``; both are date columns."""
+    low, high = _spine_range(temporal, first_ref, last_ref)
     return (
         df.select("*", low.alias("_low"), high.alias("_high"))
         .where(F.col("_low") <= F.col("_high"))
         .withColumn("_step", F.explode(F.sequence("_low", "_high")))
-        .withColumn("reference_date", F.date_add(start, F.col("_step") * stride))
+        .withColumn("reference_date", _spine_date(temporal, "_step"))
+        .drop("_low", "_high", "_step")
+    )
+
+
+def explode_in_place(
+    df: DataFrame, temporal: TemporalConfig, first_ref: Column, last_ref: Column, reach_days: int
+) -> DataFrame:
+    """As ``explode_to_spine``, shuffling rows before they multiply instead of afterwards.
+
+    The spine is cut into chunks about twice as long as the reach, so a row goes to one or two of
+    them.  Rows are partitioned by patch and chunk and exploded there; every grouping that keeps
+    ``patch_id`` and ``_chunk`` then needs no further shuffle.  A patch with very many
+    observations still spreads over as many tasks as it has chunks.
+    """
+    size = max(8, -(-2 * reach_days // temporal.reference_stride_days))
+    low, high = _spine_range(temporal, first_ref, last_ref)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (
+        df.select("*", low.alias("_low"), high.alias("_high"))
+        .where(F.col("_low") <= F.col("_high"))
+        .withColumn(
+            "_chunk",
+            F.explode(F.sequence(F.floor(F.col("_low") / size), F.floor(F.col("_high") / size))),
+        )
+        .repartition(tasks, "patch_id", "_chunk")
+    )
+    start = F.greatest(F.col("_low"), (F.col("_chunk") * size).cast("int"))
+    end = F.least(F.col("_high"), (F.col("_chunk") * size + (size - 1)).cast("int"))
+    return (
+        placed.withColumn("_step", F.explode(F.sequence(start, end)))
+        .withColumn("reference_date", _spine_date(temporal, "_step"))
         .drop("_low", "_high", "_step")
     )
 
@@ -143,6 +189,15 @@ def lookback_join(
     ).withColumn("gap", F.datediff("reference_date", d))
 
 
+def _lookback_in_place(
+    df: DataFrame, temporal: TemporalConfig, window: int, day: str
+) -> DataFrame:
+    d = F.col(day)
+    return explode_in_place(
+        df, temporal, F.date_add(d, 1), F.date_add(d, window), window
+    ).withColumn("gap", F.datediff("reference_date", d))
+
+
 def _binned(obs, temporal, windows, day, sums, extra=()):
     return (
         obs.groupBy(*PIXEL, *extra, bin_start(F.col(day), temporal, windows).alias(day))
@@ -172,27 +227,40 @@ def zonal_weather(
     if weight:
         sums["weight"] = F.max(weight)
     binned = _binned(seen, temporal, windows, day, sums)
-    placed = lookback_join(binned, temporal, windows[-1], day)
-    per_pixel = placed.groupBy(*KEY, "pixel_id").agg(
-        *[
-            F.try_divide(
-                F.sum(_within(w, F.col(f"s_{b}"))), F.sum(_within(w, F.col(f"c_{b}")))
-            ).alias(f"{b}_{w}")
-            for w in windows
-            for b in bands
-        ],
+    placed = _per_window(_lookback_in_place(binned, temporal, windows[-1], day), windows)
+    per_pixel = placed.groupBy(*PLACED, "window", "pixel_id").agg(
+        *[F.try_divide(F.sum(f"s_{b}"), F.sum(f"c_{b}")).alias(b) for b in bands],
         *([F.max("weight").alias("weight")] if weight else []),
     )
     share = F.col("weight") if weight else None
-    return per_pixel.groupBy(*KEY).agg(
+    long = per_pixel.groupBy(*PLACED, "window").agg(
+        *[c for b in bands for c in patch_stats(F.col(b), f"{b}_{{stat}}", stats, std, share)]
+    )
+    return _wide(long, windows, [(b, s) for b in bands for s in stats], prefix)
+
+
+def _per_window(placed: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """One row per window that reaches back to the observation."""
+    reached = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: w >= F.col("gap"))
+    return placed.withColumn("window", F.explode(reached))
+
+
+def _wide(
+    long: DataFrame, windows: Sequence[int], values: Sequence[tuple[str, str]], prefix: str
+) -> DataFrame:
+    """Rows per window to columns per window: one aggregate and one projection, however wide."""
+    names = [f"{band}_{stat}" for band, stat in values]
+    rows = long.groupBy(*PLACED).agg(
+        F.map_from_entries(F.collect_list(F.struct("window", F.struct(*names)))).alias("m")
+    )
+    picked = rows.select(*KEY, *[F.try_element_at("m", F.lit(w)).alias(f"w{w}") for w in windows])
+    return picked.select(
+        *KEY,
         *[
-            c
+            F.col(f"w{w}").getField(f"{band}_{stat}").alias(f"{prefix}_{band}_{stat}_l{w}d")
             for w in windows
-            for b in bands
-            for c in patch_stats(
-                F.col(f"{b}_{w}"), f"{prefix}_{b}_{{stat}}_l{w}d", stats, std, share
-            )
-        ]
+            for band, stat in values
+        ],
     )
 
 
@@ -200,26 +268,29 @@ def _heavy_pixels(obs: DataFrame, limit: int) -> DataFrame:
     return obs.groupBy(*PIXEL).count().where(F.col("count") > limit).select(*PIXEL)
 
 
-def _ranked_medians(placed, groups, columns):
+# Output name -> (band, look-back window or None for all rows of the group).
+MedianSpec = Mapping[str, tuple[str, int | None]]
+
+
+def _ranked_medians(placed: DataFrame, groups: Sequence[str], spec: MedianSpec) -> DataFrame:
     """Exact medians of very large groups through distributed prefix counts."""
-    long = placed.select(
-        *groups,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("name"), value.cast("double").alias("v"))
-                    for name, value in columns.items()
-                ]
-            )
-        ).alias("m"),
-    ).select(*groups, "m.name", "m.v")
+    entries = [
+        F.struct(
+            F.lit(name).alias("name"),
+            (F.col(band) if w is None else _within(w, F.col(band))).cast("double").alias("v"),
+        )
+        for name, (band, w) in spec.items()
+    ]
+    long = placed.select(*groups, F.explode(F.array(*entries)).alias("m")).select(
+        *groups, "m.name", "m.v"
+    )
     table = ordered_prefix(long, ["v"], {"n": F.lit(1)}, by=[*groups, "name"])
     low = F.expr("(n_total - 1) div 2")
     high = F.expr("n_total div 2")
     end = F.col("n_below") + F.col("n")
     return (
         table.groupBy(*groups)
-        .pivot("name", list(columns))
+        .pivot("name", list(spec))
         .agg(
             (
                 F.max(F.when((F.col("n_below") <= low) & (low < end), F.col("v")))
@@ -230,32 +301,58 @@ def _ranked_medians(placed, groups, columns):
     )
 
 
+def _listed_medians(placed: DataFrame, groups: Sequence[str], spec: MedianSpec) -> DataFrame:
+    """Exact medians of small groups: one list per group, sorted per band and window."""
+    bands = sorted({band for band, _ in spec.values()})
+    windows = {w for _, w in spec.values()}
+    fields = [F.col(b) for b in bands] + ([F.col("gap")] if windows != {None} else [])
+    listed = placed.groupBy(*groups).agg(F.collect_list(F.struct(*fields)).alias("_all"))
+
+    def cut(w):
+        return F.col("_all") if w is None else F.filter("_all", lambda x: x["gap"] <= w)
+
+    parts = listed.select(*groups, *[cut(w).alias(f"_w{w}") for w in windows])
+    ordered = parts.select(
+        *groups,
+        *[
+            F.sort_array(F.array_compact(F.col(f"_w{w}").getField(band))).alias(name)
+            for name, (band, w) in spec.items()
+        ],
+    )
+    return ordered.select(
+        *groups,
+        *[
+            (
+                (
+                    F.get(n, F.floor((F.size(n) - 1) / 2).cast("int"))
+                    + F.get(n, F.floor(F.size(n) / 2).cast("int"))
+                )
+                / 2
+            ).alias(n)
+            for n in spec
+        ],
+    )
+
+
 def pixel_medians(
     obs: DataFrame,
     placed: DataFrame,
     groups: Sequence[str],
-    columns: dict[str, Column],
+    spec: MedianSpec,
     heavy_rows: int | None = None,
 ) -> DataFrame:
-    """Exact median of each column per group.
+    """Exact median per group for every entry of ``spec``.
 
-    ``percentile`` keeps a group's distinct values in one task.  Pixels with more observations
-    than ``heavy_rows`` are therefore ranked with the prefix operator instead; the two parts are
-    disjoint and together complete.
+    A group's values are listed in one task, which suits the few scenes of a pixel's window.
+    Pixels with more observations than ``heavy_rows`` are ranked with the prefix operator
+    instead; the two parts are disjoint and together complete.
     """
-    heavy_rows = heavy_rows or HEAVY_PIXEL_ROWS
-
-    def light(frame: DataFrame) -> DataFrame:
-        return frame.groupBy(*groups).agg(
-            *[F.percentile(c, 0.5).alias(n) for n, c in columns.items()]
-        )
-
-    heavy = _heavy_pixels(obs, heavy_rows)
+    heavy = _heavy_pixels(obs, heavy_rows or HEAVY_PIXEL_ROWS)
     if heavy.isEmpty():
-        return light(placed)
+        return _listed_medians(placed, groups, spec)
     normal = placed.join(heavy, list(PIXEL), "left_anti")
-    ranked = _ranked_medians(placed.join(heavy, list(PIXEL), "left_semi"), groups, columns)
-    return light(normal).unionByName(ranked)
+    ranked = _ranked_medians(placed.join(heavy, list(PIXEL), "left_semi"), groups, spec)
+    return _listed_medians(normal, groups, spec).unionByName(ranked)
 
 
 def clear_scenes(obs: DataFrame, cloud: str = "cloud_pct", limit: float = CLOUD_LIMIT):
@@ -281,15 +378,15 @@ def zonal_optical(
     windows = temporal.temporal_windows
     seen = clear_scenes(visible(obs, temporal, windows[-1], day, partition_month), cloud)
     seen = seen.select(*PIXEL, day, *bands)
-    placed = lookback_join(seen, temporal, windows[-1], day)
+    placed = _lookback_in_place(seen, temporal, windows[-1], day)
     medians = pixel_medians(
         seen,
         placed,
-        (*KEY, "pixel_id"),
-        {f"{b}_{w}": _within(w, F.col(b)) for w in windows for b in bands},
+        (*PLACED, "pixel_id"),
+        {f"{b}_{w}": (b, w) for w in windows for b in bands},
         heavy_rows,
     )
-    return medians.groupBy(*KEY).agg(
+    return medians.groupBy(*PLACED).agg(
         *[
             c
             for w in windows
@@ -298,7 +395,7 @@ def zonal_optical(
                 F.col(f"{b}_{w}"), f"{prefix}_{b}_{{stat}}_l{w}d", STATS, std
             )
         ]
-    )
+    ).drop("_chunk")
 
 
 def zonal_terrain(pixels: DataFrame, std: str = "pop") -> DataFrame:
@@ -322,13 +419,13 @@ def fire_count_window(
     hits = F.sum(F.when(F.col(mask) >= FIRE_CONFIDENCE, 1).when(F.col(mask).isNotNull(), 0))
     binned = _binned(seen, temporal, windows, day, {"hits": hits})
     per_pixel = (
-        lookback_join(binned, temporal, windows[-1], day)
-        .groupBy(*KEY, "pixel_id")
+        _lookback_in_place(binned, temporal, windows[-1], day)
+        .groupBy(*PLACED, "pixel_id")
         .agg(*[F.sum(_within(w, F.col("hits"))).alias(f"h_{w}") for w in windows])
     )
-    return per_pixel.groupBy(*KEY).agg(
+    return per_pixel.groupBy(*PLACED).agg(
         *[F.avg(f"h_{w}").alias(f"temporal_fire_count_l{w}d") for w in windows]
-    )
+    ).drop("_chunk")
 
 
 def burn_day(image_day: Column, doy: Column) -> Column:
@@ -353,8 +450,8 @@ def _burn_windows(obs, temporal, windows, day, doy):
         *PIXEL, month.alias("month"), burn_day(F.col(day), F.col(doy)).alias("burned_on")
     ).distinct()
     next_month = F.add_months("month", 1)
-    placed = explode_to_spine(
-        pairs, temporal, F.col("month"), F.date_add(next_month, longest - 1)
+    placed = explode_in_place(
+        pairs, temporal, F.col("month"), F.date_add(next_month, longest - 1), longest + 31
     )
 
     def in_images(w):
@@ -365,7 +462,7 @@ def _burn_windows(obs, temporal, windows, day, doy):
             F.col("burned_on") < F.col("reference_date")
         )
 
-    per_pixel = placed.groupBy(*KEY, "pixel_id").agg(
+    per_pixel = placed.groupBy(*PLACED, "pixel_id").agg(
         *[
             c
             for w in windows
@@ -377,7 +474,7 @@ def _burn_windows(obs, temporal, windows, day, doy):
             )
         ]
     )
-    return per_pixel.groupBy(*KEY).agg(
+    return per_pixel.groupBy(*PLACED).agg(
         *[
             c
             for w in windows
@@ -434,19 +531,19 @@ def landcover_fraction(
     seen = visible(obs.where(F.col(label).isNotNull()), temporal, w, day)
     binned = _binned(seen, temporal, [w], day, {"n": F.count(F.lit(1))}, extra=(label,))
     votes = (
-        lookback_join(binned, temporal, w, day)
-        .groupBy(*KEY, "pixel_id", label)
+        _lookback_in_place(binned, temporal, w, day)
+        .groupBy(*PLACED, "pixel_id", label)
         .agg(F.sum("n").alias("n"))
     )
-    modes = votes.groupBy(*KEY, "pixel_id").agg(
+    modes = votes.groupBy(*PLACED, "pixel_id").agg(
         F.max_by(label, F.struct("n", -F.col(label))).alias("mode")
     )
-    return modes.groupBy(*KEY).agg(
+    return modes.groupBy(*PLACED).agg(
         *[
             F.avg((F.col("mode") == i).cast("double")).alias(f"landcover_{c}_fraction")
             for i, c in enumerate(classes)
         ]
-    )
+    ).drop("_chunk")
 
 
 def peat_fraction(pixels: DataFrame, value: str = "value") -> DataFrame:
@@ -519,9 +616,8 @@ def composite_nbr(
         .withColumn("side", F.when(F.col("_lag") < 0, "pre").otherwise("post"))
     )
     groups = ("patch_id", "event_date", "side", "pixel_id")
-    medians = pixel_medians(
-        seen, met, groups, {"nir": F.col(nir), "swir": F.col(swir)}, heavy_rows
-    )
+    spec = {"nir": (nir, None), "swir": (swir, None)}
+    medians = pixel_medians(seen, met, groups, spec, heavy_rows)
     ratio = F.try_divide(F.col("nir") - F.col("swir"), F.col("nir") + F.col("swir"))
     return (
         medians.groupBy("patch_id", "event_date")
