@@ -28,6 +28,7 @@ from pyrogrid.operators.metrics import (
     metrics_row,
     regression_metrics,
     risk_ranking,
+    roc_metrics,
     with_risk,
 )
 from pyrogrid.operators.models import (
@@ -205,8 +206,8 @@ def occurrence_callbacks(
         return fit_model(rows, family, "classification", features, target, params)
 
     def evaluate(model, rows: DataFrame) -> float:
-        scored = materialise(model.score(rows.select(target, *features)), "audit")
-        return scalars(classification_metrics(scored, target, "prediction"))["roc_auc"]
+        scored = model.score(rows.select(target, *features))
+        return scalars(roc_metrics(scored, target, "prediction"))["roc_auc"]
 
     return train, evaluate
 

@@ -1,7 +1,8 @@
 """How the given tables stand in for grids, observations, panels and prediction tables.
 
 Each Spark frame has the same definition as a named SQL table expression in ``CTES``, which the
-comparison queries of the catalogue are written against.
+comparison queries of the catalogue are written against.  Factors with many digits keep means off
+the halfway points of a rounded comparison.
 """
 
 from __future__ import annotations
@@ -89,12 +90,12 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
         q.alias("q"),
         (q + 255).alias("temperature_2m"),
         (q * 0.5 + 250).alias("dewpoint_temperature_2m"),
-        tax.alias("total_precipitation_sum"),
-        (disc * 50).alias("u_component_of_wind_10m"),
-        (tax * 50).alias("v_component_of_wind_10m"),
+        (tax * 0.7310586).alias("total_precipitation_sum"),
+        (disc * 49.8765432).alias("u_component_of_wind_10m"),
+        (tax * 50.1234567).alias("v_component_of_wind_10m"),
         (q + 1000).alias("surface_pressure"),
         (q * 0.1 + 270).alias("soil_temperature_level_1"),
-        disc.alias("volumetric_soil_water_layer_1"),
+        (disc * 0.9134567).alias("volumetric_soil_water_layer_1"),
         (F.col("l_partkey") % 100).alias("cloud_pct"),
         (disc + 0.1).alias("b2"),
         (tax + 0.1).alias("b3"),
@@ -171,7 +172,7 @@ def feature_panel(spark: SparkSession, sf: str) -> DataFrame:
     several = F.count(F.lit(1)) > 1
     columns = {}
     for w in (3, *WINDOWS):
-        temp, rain = q + (255 + w), tax * w
+        temp, rain = q + (255 + w), tax * (w * 0.7310586)
         columns[f"weather_temperature_2m_mean_l{w}d"] = F.when(several, temp) if w == 60 else temp
         columns[f"weather_total_precipitation_sum_mean_l{w}d"] = (
             F.when(several, rain) if w == 7 else rain
@@ -179,10 +180,10 @@ def feature_panel(spark: SparkSession, sf: str) -> DataFrame:
     for w in WINDOWS:
         columns[f"weather_temperature_2m_max_l{w}d"] = F.max("q") + (255 + w)
         columns[f"weather_dewpoint_temperature_2m_mean_l{w}d"] = q * 0.5 + (250 + w)
-        columns[f"weather_u_component_of_wind_10m_mean_l{w}d"] = disc * w
-        columns[f"weather_v_component_of_wind_10m_mean_l{w}d"] = tax * w
+        columns[f"weather_u_component_of_wind_10m_mean_l{w}d"] = disc * (w * 0.9876543)
+        columns[f"weather_v_component_of_wind_10m_mean_l{w}d"] = tax * (w * 1.0123457)
         for b in FEATURE_BANDS:
-            columns[f"optical_b{b}_mean_l{w}d"] = disc * b + tax * w + 0.1
+            columns[f"optical_b{b}_mean_l{w}d"] = disc * (b * 0.9753124) + tax * (w / 61.0) + 0.1
     columns["terrain_elevation_min"] = F.min("q")
     columns["terrain_elevation_max"] = F.max("q")
     columns["y_occ_30d"] = F.max((F.col("flag") == "R").cast("int"))
@@ -212,7 +213,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         (q * 0.016 + disc * 0.5 + tax * 0.3 + 0.02).alias("propensity_score"),
         known.cast("int").alias("y_sev_available"),
         F.when(known, disc * 6.0 + tax).alias("y_sev_dnbr"),
-        (disc * 4.0 + q * 0.002 + 0.05).alias("severity_prediction"),
+        (disc * 4.0312345 + q * 0.0021357 + 0.05).alias("severity_prediction"),
         (tax + 0.05).alias("sigma"),
     )
     rows = rows.withColumn(
@@ -248,7 +249,7 @@ def _sql_patch(k: str) -> str:
 def _feature_panel_sql() -> str:
     columns = {}
     for w in (3, *WINDOWS):
-        temp, rain = f"avg(q) + {255 + w}", f"avg(tax) * {w}"
+        temp, rain = f"avg(q) + {255 + w}", f"avg(tax) * {w * 0.7310586!r}::DOUBLE"
         columns[f"weather_temperature_2m_mean_l{w}d"] = (
             f"CASE WHEN count(*) > 1 THEN {temp} END" if w == 60 else temp
         )
@@ -258,10 +259,13 @@ def _feature_panel_sql() -> str:
     for w in WINDOWS:
         columns[f"weather_temperature_2m_max_l{w}d"] = f"max(q) + {255 + w}"
         columns[f"weather_dewpoint_temperature_2m_mean_l{w}d"] = f"avg(q) * 0.5 + {250 + w}"
-        columns[f"weather_u_component_of_wind_10m_mean_l{w}d"] = f"avg(disc) * {w}"
-        columns[f"weather_v_component_of_wind_10m_mean_l{w}d"] = f"avg(tax) * {w}"
+        columns[f"weather_u_component_of_wind_10m_mean_l{w}d"] = f"avg(disc) * {w * 0.9876543!r}::DOUBLE"
+        columns[f"weather_v_component_of_wind_10m_mean_l{w}d"] = f"avg(tax) * {w * 1.0123457!r}::DOUBLE"
         for b in FEATURE_BANDS:
-            columns[f"optical_b{b}_mean_l{w}d"] = f"avg(disc) * {b} + avg(tax) * {w} + 0.1::DOUBLE"
+            columns[f"optical_b{b}_mean_l{w}d"] = (
+                f"avg(disc) * {b * 0.9753124!r}::DOUBLE + avg(tax) * {w / 61.0!r}::DOUBLE "
+                "+ 0.1::DOUBLE"
+            )
     columns["terrain_elevation_min"] = "min(q)"
     columns["terrain_elevation_max"] = "max(q)"
     columns["y_occ_30d"] = "max(CASE WHEN flag = 'R' THEN 1 ELSE 0 END)"
@@ -298,10 +302,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         CAST(l_shipdate AS DATE) AS obs_date, l_partkey AS pk, l_returnflag AS layer,
         l_quantity AS q, l_quantity + 255 AS temperature_2m,
         l_quantity * 0.5::DOUBLE + 250 AS dewpoint_temperature_2m,
-        l_tax AS total_precipitation_sum, l_discount * 50 AS u_component_of_wind_10m,
-        l_tax * 50 AS v_component_of_wind_10m, l_quantity + 1000 AS surface_pressure,
+        l_tax * 0.7310586::DOUBLE AS total_precipitation_sum,
+        l_discount * 49.8765432::DOUBLE AS u_component_of_wind_10m,
+        l_tax * 50.1234567::DOUBLE AS v_component_of_wind_10m, l_quantity + 1000 AS surface_pressure,
         l_quantity * 0.1::DOUBLE + 270 AS soil_temperature_level_1,
-        l_discount AS volumetric_soil_water_layer_1, l_partkey % 100 AS cloud_pct,
+        l_discount * 0.9134567::DOUBLE AS volumetric_soil_water_layer_1, l_partkey % 100 AS cloud_pct,
         l_discount + 0.1::DOUBLE AS b2, l_tax + 0.1::DOUBLE AS b3,
         l_quantity * 0.01::DOUBLE AS b4, l_quantity * 0.02::DOUBLE + 0.2::DOUBLE AS b8,
         l_discount * 2 + 0.1::DOUBLE AS b11, l_tax * 5 + 0.1::DOUBLE AS b12,
@@ -367,7 +372,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             THEN 1 ELSE 0 END AS y_sev_available,
         CASE WHEN l_returnflag = 'R' AND l_quantity > 20 AND l_linenumber <= 5
             THEN l_discount * 6.0::DOUBLE + l_tax END AS y_sev_dnbr,
-        l_discount * 4.0::DOUBLE + l_quantity * 0.002::DOUBLE + 0.05::DOUBLE
+        l_discount * 4.0312345::DOUBLE + l_quantity * 0.0021357::DOUBLE + 0.05::DOUBLE
             AS severity_prediction,
         l_tax + 0.05::DOUBLE AS sigma FROM lineitem)""",
     ),
