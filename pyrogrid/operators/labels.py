@@ -8,12 +8,11 @@ is as long as the calendar, not as its observations, and wide panel rows are nev
 
 from __future__ import annotations
 
-import logging
 import re
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType
@@ -23,8 +22,6 @@ from pyrogrid.operators.features import INDEX_WINDOWS, add_columns
 from pyrogrid.sources.panel import require_patches
 from pyrogrid.sources.zonal import composite_nbr
 
-log = logging.getLogger(__name__)
-
 KEY = ["patch_id", "reference_date"]
 EVENT = ["patch_id", "event_date"]
 SCAFFOLD = ("temporal_burn_date_l", "temporal_burn_timestamp_l")
@@ -48,14 +45,8 @@ def event_window(columns: list[str], stride_days: int) -> int:
     )
 
 
-def observed_events(
-    df: DataFrame, stride_days: int, observation: Observation | None = None
-) -> DataFrame:
-    """Mark panel rows whose look-back window holds a dated burn.
-
-    Positive rows without any date are demoted to non-events; pass an ``Observation`` to get
-    their number (``demoted``) from the job that runs anyway.
-    """
+def _dated_burns(df: DataFrame, stride_days: int) -> tuple[Column, Column]:
+    """Whether the row's look-back window holds a burn, and the date of its earliest one."""
     w = event_window(df.columns, stride_days)
     count, stamp, day = (
         f"temporal_burn_{kind}_l{w}d" for kind in ("count", "timestamp", "date")
@@ -69,22 +60,28 @@ def observed_events(
     dated = as_event_date(df, stamp)
     if day in df.columns:
         dated = F.coalesce(dated, as_event_date(df, day))
-    positive = F.coalesce(F.col(count).cast("double"), F.lit(0.0)) > 0
-    out = add_columns(
+    return F.coalesce(F.col(count).cast("double"), F.lit(0.0)) > 0, dated
+
+
+def observed_events(df: DataFrame, stride_days: int) -> DataFrame:
+    """Mark panel rows whose look-back window holds a dated burn.
+
+    Positive rows without any date are demoted to non-events; ``undated_burns`` counts them.
+    """
+    positive, dated = _dated_burns(df, stride_days)
+    return add_columns(
         df,
         {
             "observed_event": (positive & dated.isNotNull()).cast("int"),
             "observed_event_date": dated,
         },
     )
-    if observation is not None:
-        out = out.observe(
-            observation,
-            F.count_if((F.col(count) > 0) & F.col("observed_event_date").isNull()).alias(
-                "demoted"
-            ),
-        )
-    return out
+
+
+def undated_burns(df: DataFrame, stride_days: int) -> DataFrame:
+    """How many burn-positive rows cannot be dated, hence are demoted."""
+    positive, dated = _dated_burns(df, stride_days)
+    return df.agg(F.count_if(positive & dated.isNull()).alias("demoted"))
 
 
 def _day(c: str | Column) -> Column:
@@ -271,7 +268,6 @@ def label_observed_events(
     severity: SeverityFn | None = None,
     grid: DataFrame | None = None,
     with_severity: bool = True,
-    observation: Observation | None = None,
 ) -> DataFrame:
     """Occurrence and severity labels from the panel's own dated burns.
 
@@ -279,7 +275,7 @@ def label_observed_events(
     ``severity(events, window) -> (patch_id, event_date, ...)`` is evaluated once per distinct
     event and joined.
     """
-    marked = observed_events(df, stride_days, observation)
+    marked = observed_events(df, stride_days)
     # Label columns of an earlier run are replaced, not joined to.
     labels = {occurrence_column(horizon_days), "event_date", *SEVERITY_TYPES}
     marked = marked.drop(*labels.intersection(marked.columns))
