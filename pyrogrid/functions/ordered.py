@@ -21,6 +21,9 @@ MAX_BUCKETS = 4096
 # A value is hot when it holds more than this share of all rows, hence at most 10 000 are hot.
 HOT_SHARE = 1e-4
 
+# Narrow tables up to this many rows are broadcast.
+BROADCAST_ROWS = 20_000
+
 _BUCKET = "_bucket"
 
 
@@ -142,6 +145,18 @@ def midranks(df: DataFrame, value: str, rank: str = "midrank") -> DataFrame:
     )
 
 
+def bounded_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The small side of a join: broadcast when it has at most ``limit`` rows, else as it is.
+
+    The size is checked by fetching one row more than the limit; a larger table is joined by
+    shuffle, where adaptive execution splits skewed keys.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def attach_by_value(rows: DataFrame, table: DataFrame, key: str, count: str, total: str):
     """Inner join of rows to a one-row-per-value table, safe when one value is very frequent.
 

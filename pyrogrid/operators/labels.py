@@ -96,23 +96,40 @@ def timeline(
     ``events`` has ``patch_id, event_date``.  Duplicates on either side collapse in the map-side
     combine of the grouping.
     """
-    none = F.lit(None).cast("double")
-    refs = panel.select(
-        "patch_id",
-        _day("reference_date").alias("day"),
-        F.lit(True).alias("is_ref"),
-        F.lit(False).alias("is_event"),
-        (none if nbr is None else nbr.cast("double")).alias("nbr"),
-    )
+    refs = panel.select("patch_id", _reference_entry(nbr).alias("entry"))
     seen = events.where(F.col("event_date").isNotNull()).select(
-        "patch_id",
-        _day("event_date").alias("day"),
-        F.lit(False).alias("is_ref"),
-        F.lit(True).alias("is_event"),
-        none.alias("nbr"),
+        "patch_id", _event_entry("event_date").alias("entry")
+    )
+    return _collapse(refs.unionByName(seen))
+
+
+def own_timeline(marked: DataFrame, nbr: Column | None = None) -> DataFrame:
+    """Timeline of a panel and the events marked on it, from one pass over its rows."""
+    event = F.when(F.col("observed_event") == 1, _event_entry("observed_event_date"))
+    entries = F.array_compact(F.array(_reference_entry(nbr), event))
+    return _collapse(marked.select("patch_id", F.explode(entries).alias("entry")))
+
+
+def _entry(day: Column, is_ref: bool, nbr: Column) -> Column:
+    return F.struct(
+        day.alias("day"),
+        F.lit(is_ref).alias("is_ref"),
+        F.lit(not is_ref).alias("is_event"),
+        nbr.cast("double").alias("nbr"),
     )
+
+
+def _reference_entry(nbr: Column | None) -> Column:
+    return _entry(_day("reference_date"), True, F.lit(None) if nbr is None else nbr)
+
+
+def _event_entry(day: str) -> Column:
+    return _entry(_day(day), False, F.lit(None))
+
+
+def _collapse(entries: DataFrame) -> DataFrame:
     return (
-        refs.unionByName(seen)
+        entries.select("patch_id", "entry.*")
         .groupBy("patch_id", "day")
         .agg(
             F.max("is_ref").alias("is_ref"),
@@ -279,9 +296,8 @@ def label_observed_events(
     # Label columns of an earlier run are replaced, not joined to.
     labels = {occurrence_column(horizon_days), "event_date", *SEVERITY_TYPES}
     marked = marked.drop(*labels.intersection(marked.columns))
-    events = event_rows(marked)
     local = with_severity and severity is None
-    line = timeline(marked, events, nbr_value(marked.columns) if local else None)
+    line = own_timeline(marked, nbr_value(marked.columns) if local else None)
     if local:
         line = _with_event_nbr(line, severity_window_days)
     fields = ["day", "pre", "post"] if local else ["day"]
@@ -302,6 +318,7 @@ def label_observed_events(
         ),
     )
     if with_severity and severity is not None:
+        events = event_rows(marked)
         if grid is not None:
             require_patches(events, grid)
         labelled = labelled.join(severity(events, severity_window_days), EVENT, "left")

@@ -25,6 +25,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyrogrid.functions.ordered import bounded_side
 from pyrogrid.functions.scalars import clip
 from pyrogrid.operators.guard import check_features, feature_columns
 from pyrogrid.operators.labels import occurrence_column
@@ -301,7 +302,7 @@ def ipw_weights(
     if not normalise:
         return df.withColumn(name, raw)
     totals = df.groupBy(*by).agg((F.count(raw) / F.sum(raw)).alias("_scale"))
-    return df.join(totals, list(by)).withColumn(name, raw * F.col("_scale")).drop("_scale")
+    return df.join(bounded_side(totals), list(by)).withColumn(name, raw * F.col("_scale")).drop("_scale")
 
 
 def severity_fit(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyrogrid.config import DataConfig, SplitConfig
-from pyrogrid.functions.ordered import ordered_prefix
+from pyrogrid.functions.ordered import bounded_side, ordered_prefix
 
 DAY = "reference_date"
 ORDERED_PAIRS = (("train", "val"), ("val", "test"))
@@ -123,7 +123,7 @@ def spatial_split(
         .otherwise("train")
     )
     assigned = ranked.select("block_id", label.cast("string").alias("spatial_split"))
-    return df.join(assigned, "block_id", "left").withColumn(
+    return df.join(bounded_side(assigned), "block_id", "left").withColumn(
         "spatial_split", F.coalesce("spatial_split", F.lit("train"))
     )
 
@@ -176,7 +176,8 @@ def spatial_cv(
     fold = F.when(
         F.col("position") < edge, F.floor(F.col("position") / (size + 1))
     ).otherwise(extra + F.floor((F.col("position") - edge) / size))
-    return out.join(ranked.select("block_id", fold.cast("int").alias("fold")), "block_id", "left")
+    assigned = ranked.select("block_id", fold.cast("int").alias("fold"))
+    return out.join(bounded_side(assigned), "block_id", "left")
 
 
 def date_thirds(df: DataFrame, day: str = DAY) -> tuple[date, date]:
@@ -270,9 +271,8 @@ def group_folds(
         )
         if ranked.take(2)[1:]:
             k = F.least(F.lit(n_splits), F.col("n_total"))
-            return df.join(
-                ranked.select(group, (F.col("n_below") % k).cast("int").alias("fold")), group
-            )
+            assigned = ranked.select(group, (F.col("n_below") % k).cast("int").alias("fold"))
+            return df.join(bounded_side(assigned), group)
     return df.withColumn(
         "fold", F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(n_splits)).cast("int")
     )
