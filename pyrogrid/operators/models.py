@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -22,7 +20,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyrogrid.functions.ordered import bounded_side
@@ -38,7 +36,7 @@ from pyrogrid.operators.metrics import (
     spearman,
 )
 from pyrogrid.operators.splits import group_folds
-from pyrogrid.session import materialise
+from pyrogrid.session import in_parallel, materialise
 
 # Propensity clip of the inverse-propensity weights.
 CLIP_MIN, CLIP_MAX = 0.05, 0.95
@@ -235,13 +233,6 @@ def fit_predict(
     return fit_on_split(df, family, task, params, target)
 
 
-def _in_parallel(spark: SparkSession, jobs: Sequence, width: int = 4) -> list:
-    """Submit independent Spark jobs from driver threads."""
-    wrap = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(max_workers=width) as pool:
-        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
-
-
 def oof_propensity(
     df: DataFrame,
     horizon_days: int,
@@ -259,7 +250,7 @@ def oof_propensity(
     train = materialise(group_folds(in_split(df, "train"), n_splits, group), "folds")
     folds = sorted(r[0] for r in train.select("fold").distinct().collect())
     fits = [train.where(F.col("fold") != i) for i in folds] + [train]
-    models = _in_parallel(
+    models = in_parallel(
         df.sparkSession,
         [
             lambda rows=rows: fit_model(

@@ -1,7 +1,7 @@
 """Leakage audits, ablations and experiments: compositions that end in small result tables.
 
 Driver loops here run over configurations (buffers, block sizes, namespaces, families), never over
-rows; every iteration is a Spark fit.
+rows; every iteration is a Spark fit, and independent ones are submitted together.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -48,7 +49,7 @@ from pyrogrid.operators.splits import (
     spatial_cv,
     split_panel,
 )
-from pyrogrid.session import materialise
+from pyrogrid.session import in_parallel, materialise
 
 # Default block sizes, windows and the smallest sample an audit fits on.
 BLOCK_SIZES_KM = (10, 25, 50, 100)
@@ -173,16 +174,21 @@ def spatial_leakage(
     for km in sorted(block_sizes_km):
         folded = materialise(spatial_cv(df, n_folds, km, grid_km, seed, order), "blocks")
         sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
-        total, aucs = sum(sizes.values()), []
-        for fold in sorted(f for f in sizes if f is not None):
-            n_test = sizes[fold]
-            if min(n_test, total - n_test) < MIN_AUDIT_ROWS:
-                continue
+        total = sum(sizes.values())
+
+        def run(fold, folded=folded):
             inside = F.col("fold") == fold
             test = folded.where(inside)
             val = in_split(df, "val") if "split" in df.columns else test
             train = folded.where(F.coalesce(~inside, F.lit(True)))
-            aucs.append(evaluate_fn(train_fn(train, val), test))
+            return evaluate_fn(train_fn(train, val), test)
+
+        used = sorted(
+            f
+            for f, n_test in sizes.items()
+            if f is not None and min(n_test, total - n_test) >= MIN_AUDIT_ROWS
+        )
+        aucs = in_parallel(df.sparkSession, [partial(run, fold) for fold in used])
         if aucs:
             mean = sum(aucs) / len(aucs)
             spread = math.sqrt(sum((a - mean) ** 2 for a in aucs) / len(aucs))
@@ -222,20 +228,22 @@ def source_ablation(
 ) -> DataFrame:
     """Test metrics with one feature namespace left out at a time."""
     features = list(features or feature_columns(df))
-    train, test, frames = in_split(df, "train"), in_split(df, "test"), []
+    train, test = in_split(df, "train"), in_split(df, "test")
     metric = classification_metrics if task == "classification" else regression_metrics
-    for namespace, removed in sorted(features_by_namespace(features).items()):
-        kept = [c for c in features if c not in removed]
-        if not kept:
-            continue
+
+    def run(namespace, kept):
         model = fit_model(train, family, task, kept, target, params)
         scored = materialise(model.score(test.select(target, *kept)), "ablation")
-        frames.append(
-            metric(scored, target, "prediction").select(
-                F.lit(namespace).alias("removed_namespace"), "*"
-            )
+        return metric(scored, target, "prediction").select(
+            F.lit(namespace).alias("removed_namespace"), "*"
         )
-    return union_rows(frames).orderBy("removed_namespace")
+
+    kept = {
+        namespace: [c for c in features if c not in removed]
+        for namespace, removed in features_by_namespace(features).items()
+    }
+    jobs = [partial(run, n, names) for n, names in sorted(kept.items()) if names]
+    return union_rows(in_parallel(df.sparkSession, jobs)).orderBy("removed_namespace")
 
 
 def lookback_ablation(

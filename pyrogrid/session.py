@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
@@ -60,3 +63,10 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]], width: int = 4) -> list:
+    """Run independent Spark jobs from driver threads; results keep the order of the jobs."""
+    wrap = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=width) as pool:
+        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
