@@ -44,7 +44,7 @@ HEADLINE = (
     "delong_test",
     "severity_pairs",
     "conformal_coverage",
-    "risk_pipeline",
+    "fit_risk",
 )
 
 
@@ -55,7 +55,7 @@ def bootstrap_200(spark, sf):
     )
 
 
-# A panel of pilot size: 3 x 8 degrees at 10 km, two years of weekly dates, hashed values.
+# A panel of pilot size: about 9 000 cells of 10 km, two years of weekly dates, hashed values.
 PILOT_BOX = BBox(lon_min=108.0, lon_max=119.0, lat_min=-4.0, lat_max=3.0)
 PILOT_COLUMNS = [
     f"{stem}_l{w}d"

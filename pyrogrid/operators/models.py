@@ -332,7 +332,7 @@ def severity_fit(
     return RunResult(model, predictions, metrics, tuple(features))
 
 
-def risk_pipeline(
+def fit_risk(
     df: DataFrame,
     horizon_days: int,
     features: Sequence[str] | None = None,
@@ -443,7 +443,7 @@ __all__ = [
     "metrics_row",
     "oof_propensity",
     "require_splits",
-    "risk_pipeline",
+    "fit_risk",
     "scalars",
     "severity_fit",
     "test_metrics",

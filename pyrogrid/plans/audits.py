@@ -38,7 +38,7 @@ from pyrogrid.operators.models import (
     fit_predict,
     in_split,
     oof_propensity,
-    risk_pipeline,
+    fit_risk,
     scalars,
     severity_fit,
 )
@@ -481,7 +481,7 @@ def run_experiment(
     split = materialise(split_panel(labelled, config), "split")
     horizon = config.temporal.horizon_days
     if task == "risk":
-        return risk_pipeline(
+        return fit_risk(
             split, horizon, None, family, params, severity_family, severity_params
         )
     kind = "classification" if task == "occurrence" else "regression"

@@ -72,11 +72,11 @@ def severity_kinds(spark, sf):
 
 
 @query(
-    "risk_pipeline",
+    "fit_risk",
     f"{KEY} split propensity_score:f severity_prediction:f risk_score:f",
 )
 def risk(spark, sf):
-    return models.risk_pipeline(
+    return models.fit_risk(
         T.model_panel(spark, sf),
         HORIZON,
         occurrence_family="xgboost",

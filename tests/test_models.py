@@ -101,8 +101,8 @@ def test_out_of_fold_scores_differ_from_in_sample(panel):
     assert gap["test"] == pytest.approx(0.0, abs=1e-6)
 
 
-def test_risk_pipeline(panel):
-    run = models.risk_pipeline(panel, 14, FEATURES, "logreg", {}, "logreg")
+def test_fit_risk(panel):
+    run = models.fit_risk(panel, 14, FEATURES, "logreg", {}, "logreg")
     rows = run.predictions
     assert rows.count() == panel.count()
     wrong = F.abs(
