@@ -55,8 +55,8 @@ def bootstrap_200(spark, sf):
     )
 
 
-# A panel of pilot size: about 9 000 cells of 10 km, two years of weekly dates, hashed values.
-PILOT_BOX = BBox(lon_min=108.0, lon_max=119.0, lat_min=-4.0, lat_max=3.0)
+# The 10 km grid of this box has 8 736 cells; with 110 weekly dates that is 960 960 rows.
+PILOT_BOX = BBox(lon_min=108.5, lon_max=118.5, lat_min=-3.5, lat_max=3.5)
 PILOT_COLUMNS = [
     f"{stem}_l{w}d"
     for w in (7, 14, 30, 60)
