@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyrogrid.llm.langid import op6_language_id
+from pyrogrid.llm.line_dedup import OP4_SQL, op4_line_dedup
+from pyrogrid.llm.mixing import op7_mixing
 from pyrogrid.llm.packing import op3_packing
 from pyrogrid.llm.token_counts import op10_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_packing, op6_language_id, op10_token_counts)
+    for f in (op3_packing, op4_line_dedup, op6_language_id, op7_mixing, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
