@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyrogrid.llm.embedding_dedup import OP8_SQL, op8_embedding_dedup
 from pyrogrid.llm.langid import op6_language_id
 from pyrogrid.llm.line_dedup import OP4_SQL, op4_line_dedup
 from pyrogrid.llm.minhash import OP2_SQL, op2_minhash
 from pyrogrid.llm.mixing import op7_mixing
 from pyrogrid.llm.packing import op3_packing
+from pyrogrid.llm.topk import OP9_SQL, op9_topk
 from pyrogrid.llm.token_counts import op10_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_minhash, op3_packing, op4_line_dedup, op6_language_id, op7_mixing, op10_token_counts)
+    for f in (op2_minhash, op3_packing, op4_line_dedup, op6_language_id, op7_mixing, op8_embedding_dedup, op9_topk, op10_token_counts)
 }
-ORACLE_SQL = {"op2_minhash": OP2_SQL, "op4_line_dedup": OP4_SQL}
+ORACLE_SQL = {"op2_minhash": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_topk": OP9_SQL}
