@@ -40,10 +40,19 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BLOCK = 1 << 16
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers modulo 2**64, kept between calls up to a million of them."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= 1 << 20:
+            _POWERS[base] = known
+    return known[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,6 +83,13 @@ class Prefix:
     def at(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + (hi - lo).astype(np.uint64))
 
+    def runs(self, length: int) -> np.ndarray:
+        """Fingerprints of all strings of ``length`` bytes, by start."""
+        n = len(self.sums) - length
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n] + np.uint64(length))
+
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -9,11 +9,12 @@ from pyrogrid.llm.minhash import OP2_SQL, op2_minhash
 from pyrogrid.llm.mixing import op7_mixing
 from pyrogrid.llm.packing import op3_packing
 from pyrogrid.llm.warc import OP5_SQL, op5_warc
+from pyrogrid.llm.suffix_dedup import op1_suffix_dedup
 from pyrogrid.llm.topk import OP9_SQL, op9_topk
 from pyrogrid.llm.token_counts import op10_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_minhash, op3_packing, op4_line_dedup, op5_warc, op6_language_id, op7_mixing, op8_embedding_dedup, op9_topk, op10_token_counts)
+    for f in (op1_suffix_dedup, op2_minhash, op3_packing, op4_line_dedup, op5_warc, op6_language_id, op7_mixing, op8_embedding_dedup, op9_topk, op10_token_counts)
 }
 ORACLE_SQL = {"op2_minhash": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op9_topk": OP9_SQL}
