@@ -3,25 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyrogrid.llm import langid, packing
+from pyrogrid.llm import langid, line_dedup, minhash, mixing, packing
 from pyrogrid.llm.common import table
 from pyrogrid.session import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned from; ``und`` and undecided ones go."""
-    model = langid.fit(docs)
-    return langid.keep_identified(docs, model).select(docs.columns)
+    """Documents whose language is found; texts without a letter and undecided ones go."""
+    return langid.keep_identified(docs, langid.fit(docs)).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the multi-line chunks that an earlier document holds; emptied ones go."""
+    left = line_dedup.line_dedup(docs)
+    left = left.where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8)."""
+    return minhash.near_dedup(docs).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of all documents."""
+    """Token sequences of all documents of the mix."""
     return packing.pack(docs)
 
 
 STAGES = [
     ("language_id", language),
+    ("line_dedup", lines),
+    ("near_dedup", near),
+    ("mixing", mix),
     ("packing", packed),
 ]
 
