@@ -113,7 +113,7 @@ def text_bytes(column) -> Iterator[np.ndarray]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable node for each node of ``edges(a, b)``, as ``(node, component)``.
+    """``(node, component)``: the smallest reachable node of each node that has a smaller one.
 
     Large-star and small-star steps alternate until no edge changes; each round hangs nodes on
     smaller ones and keeps reachability.  The rounds are written tables, so a lost executor costs

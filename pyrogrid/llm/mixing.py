@@ -127,7 +127,7 @@ def mix_counts(
     before = F.coalesce(
         F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    rounds = F.coalesce(F.expr("quota div words"), F.lit(0))
+    rounds = F.coalesce(F.expr("quota div nullif(words, 0)"), F.lit(0))
     part = F.col("quota") - rounds * F.col("words") - F.col("before")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), part))
     return (
