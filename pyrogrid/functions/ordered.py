@@ -17,22 +17,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 500_000
-MAX_BUCKETS = 4096
 # A value is hot when it holds more than this share of all rows, hence at most 10 000 are hot.
 HOT_SHARE = 1e-4
 
-# Narrow tables up to this many rows are broadcast.
-BROADCAST_ROWS = 20_000
-
 _BUCKET = "_bucket"
 
 
 def cut_points(df: DataFrame, value: str, bucket_rows: int | None = None) -> list[float]:
-    """Approximate quantiles cutting ``value`` into buckets of about ``bucket_rows`` rows."""
+    """Approximate quantiles cutting ``value`` into buckets of about ``bucket_rows`` rows.
+
+    Cuts are taken among finite values; infinities fall into the end buckets.
+    """
     bucket_rows = bucket_rows or BUCKET_ROWS
     v = F.col(value).cast("double")
+    v = F.when(F.abs(v) < float("inf"), v)
     n = df.agg(F.count(v)).first()[0]
-    buckets = min(-(-n // bucket_rows), MAX_BUCKETS)
+    buckets = -(-n // bucket_rows)
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
@@ -45,9 +45,8 @@ def _with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
         return df.withColumn(_BUCKET, F.lit(0))
     lead = "_lead"
     splits = [float("-inf"), *cuts, float("inf")]
-    out = Bucketizer(splits=splits, inputCol=lead, outputCol=_BUCKET).transform(
-        df.withColumn(lead, F.col(value).cast("double"))
-    )
+    cutter = Bucketizer(splits=splits, inputCol=lead, outputCol=_BUCKET, handleInvalid="keep")
+    out = cutter.transform(df.withColumn(lead, F.col(value).cast("double")))
     return out.withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(lead)
 
 
@@ -61,7 +60,7 @@ def ordered_prefix(
     """One row per distinct ``keys`` (ascending; the first one numeric) within ``by``.
 
     For every entry of ``sums`` the row carries ``name`` (total over its rows), ``name_below``
-    (total over smaller keys) and ``name_total`` (total of the group).  Null keys are left out.
+    (total over smaller keys) and ``name_total`` (total of the group).  Null and NaN keys are left out.
     """
     keys, by, names = list(keys), list(by), list(sums)
     cuts = cut_points(df, keys[0], bucket_rows)
@@ -82,7 +81,7 @@ def ordered_prefix(
             *[F.coalesce(F.sum(n).over(before), zero).alias(f"{n}_below") for n in names],
             *[F.sum(n).over(inside).alias(f"{n}_total") for n in names],
         )
-    # One row per (group, bucket); without groups at most MAX_BUCKETS rows.
+    # One row per (group, bucket).
     across = W.partitionBy(*by)
     earlier = across.orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
     carried = (
@@ -95,8 +94,6 @@ def ordered_prefix(
             *[F.sum(n).over(across).alias(f"{n}_total") for n in names],
         )
     )
-    if not by:
-        carried = F.broadcast(carried)
     return dist.join(carried, [*by, _BUCKET]).select(
         *by,
         *keys,
@@ -145,18 +142,6 @@ def midranks(df: DataFrame, value: str, rank: str = "midrank") -> DataFrame:
     )
 
 
-def bounded_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The small side of a join: broadcast when it has at most ``limit`` rows, else as it is.
-
-    The size is checked by fetching one row more than the limit; a larger table is joined by
-    shuffle, where adaptive execution splits skewed keys.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def attach_by_value(rows: DataFrame, table: DataFrame, key: str, count: str, total: str):
     """Inner join of rows to a one-row-per-value table, safe when one value is very frequent.
 

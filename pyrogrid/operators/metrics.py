@@ -283,7 +283,10 @@ def risk_ranking(
     ).first()
     n, total = whole["n"], whole["severity"]
     out: dict = {"n_test": n}
-    keys = [-F.col(risk), *tie_break, occ, sev]
+    # Rows without a risk come last, as in a sort that puts missing values at its end.
+    down = -F.col(risk).cast("double")
+    down = F.when(down.isNull() | F.isnan(down), F.lit(float("inf"))).otherwise(down)
+    keys = [down, *tie_break, occ, sev]
     if n:
         aggs, plan = [], []
         for fraction in RANKING_FRACTIONS:

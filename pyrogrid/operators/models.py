@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,10 +21,9 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyrogrid.functions.ordered import bounded_side
 from pyrogrid.functions.scalars import clip
 from pyrogrid.operators.guard import check_features, feature_columns
 from pyrogrid.operators.labels import occurrence_column
@@ -41,7 +41,16 @@ from pyrogrid.session import in_parallel, materialise
 # Propensity clip of the inverse-propensity weights.
 CLIP_MIN, CLIP_MAX = 0.05, 0.95
 HIDDEN_LAYERS = (64, 64)
-TREE_DEPTH = 10
+# What an unlimited depth becomes: the deepest trees that MLlib grows.
+UNLIMITED_DEPTH = 30
+# Names that choose how a fit runs, not what it fits.
+EXECUTION_ONLY = {"n_jobs", "verbose", "tree_method", "device", "eval_metric", "random_state"}
+HONOURED = {
+    "logreg": {"C", "max_iter", "class_weight"},
+    "random_forest": {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "class_weight"},
+    "xgboost": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree"},
+    "transformer": {"max_iter"},
+}
 
 ZERO_FILLED = ("xgboost", "transformer")
 LABEL, WEIGHT = "_label", "_weight"
@@ -82,13 +91,42 @@ def _inputs(df: DataFrame, features: Sequence[str], zero_fill: bool) -> DataFram
     )
 
 
+def check_params(family: str, params: dict) -> None:
+    """Refuse parameters that have no counterpart here, unless ``ignored`` lists them."""
+    known = HONOURED.get(family, set()) | EXECUTION_ONLY | {"ignored", *params.get("ignored", ())}
+    unknown = sorted(set(params) - known)
+    if unknown:
+        raise ValueError(
+            f"{family} has no counterpart for {', '.join(unknown)}; list them in 'ignored' to go on"
+        )
+    if params.get("class_weight") not in (None, "balanced"):
+        raise ValueError("class_weight is 'balanced' or None")
+
+
 def _tree_params(params: dict) -> dict:
-    out = {"maxDepth": params.get("max_depth") or TREE_DEPTH}
-    if "random_state" in params:
+    out = {"maxDepth": params.get("max_depth") or UNLIMITED_DEPTH}
+    if params.get("random_state") is not None:
         out["seed"] = params["random_state"]
+    if "min_samples_leaf" in params:
+        out["minInstancesPerNode"] = params["min_samples_leaf"]
+    # A share of the features is drawn for each node.
+    share = params.get("max_features", params.get("colsample_bytree"))
+    if share is not None:
+        out["featureSubsetStrategy"] = "all" if share == 1.0 else str(share)
     return out
 
 
+def balanced_weights(train: DataFrame, target: str) -> Column:
+    """Rows over classes times the class's rows, so every class weighs the same."""
+    sizes = {r[0]: r[1] for r in train.groupBy(target).count().collect() if r[0] is not None}
+    total = sum(sizes.values())
+    weight = F.lit(1.0)
+    for value, n in sizes.items():
+        share = total / (len(sizes) * n)
+        weight = F.when(F.col(target) == F.lit(value), F.lit(share)).otherwise(weight)
+    return weight
+
+
 def _estimator(family: str, task: str, params: dict, n_features: int, n_rows: int, vector: str):
     common = {"featuresCol": vector, "labelCol": LABEL, "weightCol": WEIGHT}
     classify = task == "classification"
@@ -141,6 +179,11 @@ def fit_model(
     any value cannot be imputed and are left out.
     """
     check_features(features)
+    params = params or {}
+    check_params(family, params)
+    if params.get("class_weight") == "balanced" and task == "classification":
+        balance = balanced_weights(train, target)
+        weight = balance if weight is None else weight * balance
     zero_fill = family in ZERO_FILLED and not impute
     counts = train.agg(
         F.count(F.lit(1)).alias("n"),
@@ -161,7 +204,7 @@ def fit_model(
             StandardScaler(inputCol=vector, outputCol="_scaled", withMean=True, withStd=True)
         )
         vector = "_scaled"
-    stages.append(_estimator(family, task, params or {}, len(used), counts["n"], vector))
+    stages.append(_estimator(family, task, params, len(used), counts["n"], vector))
     prepared = train.select(
         "*",
         F.col(target).cast("double").alias(LABEL),
@@ -173,6 +216,26 @@ def fit_model(
     return FittedModel(Pipeline(stages=stages).fit(rows), used, task, zero_fill)
 
 
+def save_models(model, path: str) -> None:
+    """Write a fitted model, or one folder for each entry of a dict of them."""
+    if isinstance(model, dict):
+        for name, one in model.items():
+            save_models(one, f"{path}/{name}")
+        return
+    spark = SparkSession.active()
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    about = {"features": list(model.features), "task": model.task, "zero_fill": model.zero_fill}
+    frame = spark.createDataFrame([(json.dumps(about),)], "value string")
+    frame.coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str) -> FittedModel:
+    """A model that ``save_models`` wrote."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    pipeline = PipelineModel.load(f"{path}/pipeline")
+    return FittedModel(pipeline, tuple(about["features"]), about["task"], about["zero_fill"])
+
+
 @dataclass(frozen=True)
 class RunResult:
     """A fitted model, the scored table and its one-row metrics."""
@@ -293,7 +356,7 @@ def ipw_weights(
     if not normalise:
         return df.withColumn(name, raw)
     totals = df.groupBy(*by).agg((F.count(raw) / F.sum(raw)).alias("_scale"))
-    return df.join(bounded_side(totals), list(by)).withColumn(name, raw * F.col("_scale")).drop("_scale")
+    return df.join(totals, list(by)).withColumn(name, raw * F.col("_scale")).drop("_scale")
 
 
 def severity_fit(

@@ -65,16 +65,19 @@ def delong_test(df: DataFrame, y: str, score_a: str, score_b: str) -> DataFrame:
     p, q = F.col("p"), F.col("q")
     m, n = F.sum(p), F.sum(q)
 
-    def cov(a: str, b: str) -> Column:
-        positives = _sample_cov(p, F.col(f"v01{a}"), F.col(f"v01{b}"), m)
-        negatives = _sample_cov(q, F.col(f"v10{a}"), F.col(f"v10{b}"), n)
-        return F.try_divide(positives, m) + F.try_divide(negatives, n)
+    # Moments of the difference itself: those of nearly equal scores would cancel.
+    above, below = F.col("v01a") - F.col("v01b"), F.col("v10a") - F.col("v10b")
+    spread = F.try_divide(_sample_cov(p, above, above, m), m)
+    spread = spread + F.try_divide(_sample_cov(q, below, below, n), n)
 
     row = pairs.agg(
         F.try_divide(F.sum(p * F.col("v01a")), m).alias("auc_a"),
         F.try_divide(F.sum(p * F.col("v01b")), m).alias("auc_b"),
-        (cov("a", "a") + cov("b", "b") - 2 * cov("a", "b")).alias("var"),
+        spread.alias("var"),
     ).first()
+    if row["auc_a"] is None or row["auc_b"] is None:  # one class only
+        nan = float("nan")
+        return metrics_row(df.sparkSession, dict.fromkeys(("auc_a", "auc_b", "z", "p_value"), nan))
     gap, var = abs(row["auc_a"] - row["auc_b"]), row["var"]
     z = gap / math.sqrt(var) if var is not None and var > 0 else 0.0
     return metrics_row(

@@ -7,9 +7,10 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from pyrogrid.config import DataConfig, SplitConfig
-from pyrogrid.functions.ordered import bounded_side, ordered_prefix
+from pyrogrid.functions.ordered import ordered_prefix
 
 DAY = "reference_date"
 ORDERED_PAIRS = (("train", "val"), ("val", "test"))
@@ -123,7 +124,7 @@ def spatial_split(
         .otherwise("train")
     )
     assigned = ranked.select("block_id", label.cast("string").alias("spatial_split"))
-    return df.join(bounded_side(assigned), "block_id", "left").withColumn(
+    return df.join(assigned, "block_id", "left").withColumn(
         "spatial_split", F.coalesce("spatial_split", F.lit("train"))
     )
 
@@ -177,7 +178,7 @@ def spatial_cv(
         F.col("position") < edge, F.floor(F.col("position") / (size + 1))
     ).otherwise(extra + F.floor((F.col("position") - edge) / size))
     assigned = ranked.select("block_id", fold.cast("int").alias("fold"))
-    return out.join(bounded_side(assigned), "block_id", "left")
+    return out.join(assigned, "block_id", "left")
 
 
 def date_thirds(df: DataFrame, day: str = DAY) -> tuple[date, date]:
@@ -256,23 +257,43 @@ def calibration_carve(
     )
 
 
+def _sortable(df: DataFrame, name: str):
+    """Numbers sort as numbers, anything else by its text."""
+    numeric = isinstance(df.schema[name].dataType, NumericType)
+    return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if numeric else F.lit(0.0)
+
+
 def group_folds(
     df: DataFrame, n_splits: int = 5, group: str | None = "patch_id", seed: int = 42
 ) -> DataFrame:
     """Training rows with a ``fold``; a group's rows share it.
 
     Groups are dealt round the folds from the largest down, which balances them for the equal
-    group sizes of a panel.  Without at least two groups the rows themselves are dealt by hash.
+    group sizes of a panel; rows without a group are one group, dealt after those of its size.
+    Without at least two groups the rows themselves are dealt by hash.
     """
     if group is not None and group in df.columns:
-        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")).select(
+            F.col(group).alias("_group"),
+            (-F.col("_rows")).alias("_down"),
+            F.col(group).isNull().cast("int").alias("_none"),
+            F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_name"),
+        )
         ranked = ordered_prefix(
-            sizes.withColumn("_down", -F.col("_rows")), ["_down", group], {"n": F.lit(1)}
+            sizes.withColumn("_order", _sortable(sizes, "_group")),
+            ["_down", "_none", "_order", "_name"],
+            {"n": F.lit(1)},
         )
         if ranked.take(2)[1:]:
             k = F.least(F.lit(n_splits), F.col("n_total"))
-            assigned = ranked.select(group, (F.col("n_below") % k).cast("int").alias("fold"))
-            return df.join(bounded_side(assigned), group)
+            assigned = ranked.select(
+                "_none", "_name", (F.col("n_below") % k).cast("int").alias("fold")
+            )
+            keyed = df.withColumns({
+                "_none": F.col(group).isNull().cast("int"),
+                "_name": F.coalesce(F.col(group).cast("string"), F.lit("")),
+            })
+            return keyed.join(assigned, ["_none", "_name"]).select(*df.columns, "fold")
     return df.withColumn(
         "fold", F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(n_splits)).cast("int")
     )

@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyrogrid.sources.tables import absent
 from pyrogrid.config import DataConfig
 from pyrogrid.operators import conformal
 from pyrogrid.operators.guard import (
@@ -451,8 +452,8 @@ def evaluate_predictions(
     """Metrics of stored predictions; when there are none they are generated and stored."""
     try:
         predictions = spark.read.parquet(predictions_path)
-    except AnalysisException:
-        if generate is None:
+    except AnalysisException as error:
+        if generate is None or not absent(error):
             raise
         generate().write.mode("overwrite").parquet(predictions_path)
         predictions = spark.read.parquet(predictions_path)

@@ -72,7 +72,7 @@ def severity_kinds(spark, sf):
 
 
 @query(
-    "fit_risk",
+    "risk_pipeline",
     f"{KEY} split propensity_score:f severity_prediction:f risk_score:f",
 )
 def risk(spark, sf):

@@ -29,6 +29,11 @@ def _cells(low: Column, high: Column, step: Column) -> Column:
     return F.ceil((high - EDGE_TOLERANCE - low) / step).cast("int")
 
 
+def _numbers(count: Column) -> Column:
+    """0 to ``count`` - 1, or nothing; a sequence down to -1 would count backwards."""
+    return F.when(count > 0, F.sequence(F.lit(0), count - 1))
+
+
 def bbox_frame(spark: SparkSession, bbox: BBox) -> DataFrame:
     edges = ("lon_min", "lon_max", "lat_min", "lat_max")
     return spark.range(1).select(*[F.lit(float(getattr(bbox, e))).alias(e) for e in edges])
@@ -48,9 +53,7 @@ def patch_grid(boxes: DataFrame, grid_km: float, keys: tuple[str, ...] = ()) ->
         "lat_min",
         "lat_max",
         F.explode(
-            F.sequence(
-                F.lit(0), _cells(F.col("lat_min"), F.col("lat_max"), F.lit(step)) - 1
-            )
+            _numbers(_cells(F.col("lat_min"), F.col("lat_max"), F.lit(step)))
         ).alias("patch_row"),
     ).repartition(*keys, "patch_row")
     south = F.col("lat_min") + F.col("patch_row") * step
@@ -65,9 +68,7 @@ def patch_grid(boxes: DataFrame, grid_km: float, keys: tuple[str, ...] = ()) ->
     cells = rows.select(
         "*",
         F.explode(
-            F.sequence(
-                F.lit(0), _cells(F.col("lon_min"), F.col("lon_max"), F.col("_step")) - 1
-            )
+            _numbers(_cells(F.col("lon_min"), F.col("lon_max"), F.col("_step")))
         ).alias("patch_col"),
     )
     west = F.col("lon_min") + F.col("patch_col") * F.col("_step")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType
 
+from pyrogrid.sources.tables import absent
 from pyrogrid.config import SourceConfig, TemporalConfig
 
 log = logging.getLogger(__name__)
@@ -138,7 +139,9 @@ def build_incremental(
         built = spark.read.parquet(path).select("patch_id").distinct()
         open_blocks = grid.join(built, "patch_id", "left_anti").select(block).distinct()
         pending = grid.join(open_blocks, block, "left_semi")
-    except AnalysisException:
+    except AnalysisException as error:
+        if not absent(error):
+            raise
         pending = grid
     n = pending.count()
     if n:

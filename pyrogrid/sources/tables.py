@@ -25,6 +25,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def absent(error: AnalysisException) -> bool:
+    """Whether a read failed because there is no such path, and for no other reason."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def load_stage(
     spark: SparkSession, folder: str, task: str, stage: str = "features"
 ) -> DataFrame:
@@ -35,8 +40,9 @@ def load_stage(
     for name in candidates:
         try:
             return nan_to_null(spark.read.parquet(f"{folder}/{name}.parquet"))
-        except AnalysisException:
-            continue
+        except AnalysisException as error:
+            if not absent(error):
+                raise
     raise FileNotFoundError(f"none of {candidates} exists under {folder}")
 
 
@@ -61,16 +67,26 @@ def write_outputs(
             f"{folder}/summary.csv"
         )
     if model is not None:
-        model.write().overwrite().save(f"{folder}/model")
+        from pyrogrid.operators.models import save_models
+
+        save_models(model, f"{folder}/model")
 
 
 def collect_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``metrics.json`` below ``folder``, tagged with its experiment, sorted by it."""
-    raw = (
-        spark.read.option("multiLine", True)
+    files = (
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .json(folder)
+        .load(folder)
+        .where(F.col("path").rlike(r"/metrics\.json(/[^/]*)?$"))
+    )
+    paths = [r["path"] for r in files.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], "experiment string")
+    raw = (
+        spark.read.option("multiLine", True)
+        .json(paths)
         .select("*", F.col("_metadata.file_path").alias("_path"))
     )
     name = F.regexp_extract("_path", r"([^/]+)/metrics\.json(/[^/]*)?$", 1)

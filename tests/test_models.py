@@ -198,3 +198,27 @@ def test_stored_predictions_are_reused(spark, panel, tmp_path):
     first = audits.evaluate_predictions(path, "occurrence", 14, spark, generate).first()
     again = audits.evaluate_predictions(path, "occurrence", 14, spark, generate).first()
     assert made == [1] and first.roc_auc == pytest.approx(again.roc_auc)
+
+
+def test_parameters_are_honoured_or_refused(panel):
+    train = models.in_split(panel, "train")
+    forest = {"n_estimators": 3, "max_depth": 4, "min_samples_leaf": 5, "class_weight": "balanced"}
+    fitted = models.fit_model(train, "random_forest", "classification", FEATURES, "y_occ_14d", forest)
+    stage = fitted.pipeline.stages[-1]
+    assert stage.getOrDefault("minInstancesPerNode") == 5 and stage.getOrDefault("maxDepth") == 4
+    boosted = {"n_estimators": 2, "max_depth": 2, "colsample_bytree": 0.5}
+    fitted = models.fit_model(train, "xgboost", "classification", FEATURES, "y_occ_14d", boosted)
+    assert fitted.pipeline.stages[-1].getOrDefault("featureSubsetStrategy") == "0.5"
+    with pytest.raises(ValueError, match="reg_lambda"):
+        models.check_params("xgboost", {"reg_lambda": 1.0})
+    models.check_params("xgboost", {"reg_lambda": 1.0, "ignored": ["reg_lambda"]})
+    assert models._tree_params({"max_depth": None})["maxDepth"] == models.UNLIMITED_DEPTH
+
+
+def test_models_are_saved_and_loaded(spark, panel, tmp_path):
+    train = models.in_split(panel, "train")
+    fitted = models.fit_model(train, "logreg", "classification", FEATURES, "y_occ_14d", {"max_iter": 5})
+    models.save_models({"occurrence": fitted}, str(tmp_path / "m"))
+    loaded = models.load_model(spark, str(tmp_path / "m" / "occurrence"))
+    a, b = (m.score(panel).select("prediction").collect() for m in (fitted, loaded))
+    assert sorted(a) == sorted(b) and loaded.features == fitted.features

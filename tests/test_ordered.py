@@ -61,3 +61,15 @@ def test_attach_by_value_keeps_every_row(spark, values):
     assert len(got) == 4000
     expected = values.assign(r=values.x.rank()).sort_values(["x", "w"]).r.tolist()
     assert got.sort_values(["x", "w"]).midrank.tolist() == expected
+
+
+@pytest.mark.parametrize("bucket_rows", [None, 6])
+def test_infinities_and_nan_do_not_depend_on_buckets(spark, bucket_rows):
+    inf = float("inf")
+    values = [inf] * 20 + [-inf] * 5 + [float("nan")] * 7 + [None] * 3 + [1.5] * 50 + list(range(40))
+    frame = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    rows = ordered.ordered_prefix(frame, ["v"], {"n": F.lit(1)}, bucket_rows=bucket_rows).collect()
+    plain = sorted(v for v in values if v is not None and v == v)
+    assert {r["v"] for r in rows} == set(map(float, plain))
+    for r in rows:
+        assert r["n_below"] == sum(v < r["v"] for v in plain) and r["n_total"] == len(plain)
