@@ -44,7 +44,7 @@ HEADLINE = (
     "delong_test",
     "severity_pairs",
     "conformal_coverage",
-    "risk_pipeline",
+    "risk_pipeline_panel",
 )
 
 

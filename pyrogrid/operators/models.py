@@ -11,7 +11,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -46,8 +45,10 @@ UNLIMITED_DEPTH = 30
 # Names that choose how a fit runs, not what it fits.
 EXECUTION_ONLY = {"n_jobs", "verbose", "tree_method", "device", "eval_metric", "random_state"}
 HONOURED = {
-    "logreg": {"C", "max_iter", "class_weight"},
-    "random_forest": {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "class_weight"},
+    "logreg": {"C", "max_iter", "tol", "class_weight"},
+    "random_forest": {
+        "n_estimators", "max_depth", "min_samples_leaf", "max_features", "bootstrap", "class_weight",
+    },
     "xgboost": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree"},
     "transformer": {"max_iter"},
 }
@@ -70,7 +71,7 @@ class FittedModel:
         scored = self.pipeline.transform(_inputs(df, self.features, self.zero_fill))
         value = (
             vector_to_array("probability")[1]
-            if self.task == "classification"
+            if "probability" in scored.columns
             else F.col("prediction")
         )
         kept = [c for c in df.columns if c != name]
@@ -136,11 +137,18 @@ def _estimator(family: str, task: str, params: dict, n_features: int, n_rows: in
         # Inverse strength C weighs the summed loss, the pipeline's penalty its mean.
         penalty = 1.0 / (params.get("C", 1.0) * max(n_rows, 1))
         return LogisticRegression(
-            maxIter=params.get("max_iter", 100), regParam=penalty, standardization=False, **common
+            maxIter=params.get("max_iter", 100), tol=params.get("tol", 1e-6), regParam=penalty,
+            standardization=False, **common,
         )
     if family == "random_forest":
-        kind = RandomForestClassifier if classify else RandomForestRegressor
-        return kind(numTrees=params.get("n_estimators", 100), **_tree_params(params), **common)
+        # On 0/1 labels variance splits as Gini does and a leaf's mean is its rate; MLlib's
+        # classifier would merge leaves that agree on the class and so lose their rates.
+        if classify:
+            params = {"max_features": "sqrt", **params}
+        return RandomForestRegressor(
+            numTrees=params.get("n_estimators", 100), bootstrap=params.get("bootstrap", True),
+            **_tree_params(params), **common,
+        )
     if family == "xgboost":
         kind = GBTClassifier if classify else GBTRegressor
         return kind(

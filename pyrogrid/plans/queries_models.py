@@ -1,4 +1,8 @@
-"""Queries that fit models: no SQL twin, so only their shape can be compared."""
+"""Queries that fit models.
+
+Under the survey's keys stand fits whose answer has a closed form, so SQL can compute every
+prediction; the same operators over the wide panel are registered as ``*_panel`` and have no twin.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyrogrid.operators.labels import KEY as PANEL_KEY
 from pyrogrid.operators.metrics import METRIC_NAMES
 from pyrogrid.plans import audits
 from pyrogrid.plans import inputs as T
-from pyrogrid.plans.inputs import HORIZON, SPLIT
+from pyrogrid.plans.inputs import HORIZON, SPLIT, with_tables
 from pyrogrid.plans.registry import KEY, fields, query
 
 TARGET = "y_occ_30d"
@@ -35,13 +39,13 @@ def _predicted(family: str, task: str = "classification"):
 
 
 PREDICTION = f"{KEY} split {TARGET}:i prediction:f"
-query("fit_logreg", PREDICTION)(_predicted("logreg"))
-query("fit_random_forest", PREDICTION)(_predicted("random_forest"))
-query("fit_boosted", PREDICTION)(_predicted("xgboost"))
+query("fit_logreg_panel", PREDICTION)(_predicted("logreg"))
+query("fit_random_forest_panel", PREDICTION)(_predicted("random_forest"))
+query("fit_boosted_panel", PREDICTION)(_predicted("xgboost"))
 query("fit_mlp", PREDICTION)(_predicted("transformer"))
 
 
-@query("fit_predict", REGRESSED)
+@query("fit_predict_panel", REGRESSED)
 def severity_regression(spark, sf):
     panel = T.model_panel(spark, sf)
     return models.fit_predict(panel, "logreg", "regression", {}, HORIZON).metrics
@@ -53,7 +57,7 @@ def _propensity(spark, sf, family="logreg"):
     )
 
 
-@query("oof_propensity", f"{KEY} split propensity_score:f occurrence_prediction:f prediction:f")
+@query("oof_propensity_panel", f"{KEY} split propensity_score:f occurrence_prediction:f prediction:f")
 def cross_fitted(spark, sf):
     return _propensity(spark, sf).predictions
 
@@ -72,7 +76,7 @@ def severity_kinds(spark, sf):
 
 
 @query(
-    "risk_pipeline",
+    "risk_pipeline_panel",
     f"{KEY} split propensity_score:f severity_prediction:f risk_score:f",
 )
 def risk(spark, sf):
@@ -97,6 +101,137 @@ def calibrated(spark, sf):
     return rows
 
 
+# --- fits with a closed form
+
+
+FLAG = "weather_flag_l7d"
+STUMP = {"n_estimators": 1, "max_depth": 1, "bootstrap": False, "max_features": 1.0}
+FLAGGED = f"SELECT *, CASE WHEN occurrence_prediction > 0.51234::DOUBLE THEN 1 ELSE 0 END AS {FLAG} FROM scored"
+TRAIN = f"SELECT * FROM ({FLAGGED}) WHERE split = 'train'"
+SCORES = f"split {FLAG}:i n:i low:f high:f"
+
+
+def flagged(spark, sf):
+    """Line items with one 0/1 feature, labels and splits."""
+    flag = (F.col("occurrence_prediction") > 0.51234).cast("int").alias(FLAG)
+    return T.scored(spark, sf).select(
+        "l_orderkey", "l_linenumber", *PANEL_KEY, "split", TARGET, "y_sev_available", "y_sev_dnbr",
+        "sigma", flag,
+    )
+
+
+def _levels(rows, column="prediction", by=()):
+    """Extremes of a prediction where it has to be constant."""
+    return rows.groupBy("split", *by, FLAG).agg(
+        F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")
+    )
+
+
+def _rate_sql(value):
+    """Every row with what a fit on the 0/1 feature predicts, from the training rows of its leaf."""
+    return with_tables(
+        f"""SELECT split, {FLAG}, count(*) AS n, min(p) AS low, max(p) AS high FROM ({FLAGGED})
+        JOIN (SELECT {FLAG}, {value} AS p FROM ({TRAIN}) GROUP BY {FLAG}) USING ({FLAG})
+        GROUP BY split, {FLAG}""",
+        "scored",
+    )
+
+
+def _closed(family, params):
+    def run(spark, sf):
+        fit = models.fit_on_split(flagged(spark, sf), family, "classification", params, TARGET, [FLAG])
+        return _levels(fit.predictions)
+
+    return run
+
+
+# Without a penalty, and in an unsampled tree of depth 1, a leaf predicts its rate.
+RATE = f"avg({TARGET})"
+query("fit_logreg", SCORES, _rate_sql(RATE))(
+    _closed("logreg", {"C": 1e15, "max_iter": 500, "tol": 1e-13})
+)
+query("fit_random_forest", SCORES, _rate_sql(RATE))(_closed("random_forest", STUMP))
+# One boosting step fits the labels -1 and 1; the probability is the logistic of twice its mean.
+query("fit_boosted", SCORES, _rate_sql(f"1 / (1 + exp(-2 * avg(2 * {TARGET} - 1)))"))(
+    _closed("xgboost", {"n_estimators": 1, "max_depth": 1})
+)
+
+
+@query(
+    "fit_predict",
+    REGRESSED,
+    with_tables(
+        f"""SELECT sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae,
+        1 - sum(e * e) / (count(*) * var_pop(y_sev_dnbr)) AS r2, avg(e) AS bias
+        FROM (SELECT y_sev_dnbr, b + a * sigma - y_sev_dnbr AS e FROM scored,
+              (SELECT regr_slope(y_sev_dnbr, sigma) AS a, regr_intercept(y_sev_dnbr, sigma) AS b
+               FROM scored WHERE split = 'train' AND y_sev_available = 1)
+              WHERE split = 'test' AND y_sev_available = 1)""",
+        "scored",
+    ),
+)
+def least_squares(spark, sf):
+    """Severity by a line through one feature."""
+    rows = T.scored(spark, sf).select(
+        *PANEL_KEY, "split", "y_sev_available", "y_sev_dnbr", F.col("sigma").alias(FLAG)
+    )
+    return models.fit_predict(rows, "logreg", "regression", {}, HORIZON).metrics
+
+
+FOLDS = """SELECT patch_id, (row_number() OVER (ORDER BY count(*) DESC, patch_id) - 1) % 5 AS fold
+    FROM scored WHERE split = 'train' GROUP BY patch_id"""
+# Rates of the other folds for training rows, of all training rows for the rest.
+CROSS_FITTED = f"""SELECT t.*, CASE WHEN split = 'train'
+    THEN (a.y - f.y) / (a.n - f.n) ELSE a.y / a.n END AS p
+    FROM ({FLAGGED}) t
+    JOIN (SELECT {FLAG}, CAST(sum({TARGET}) AS DOUBLE) AS y, count(*) AS n FROM ({TRAIN}) GROUP BY {FLAG}) a
+      USING ({FLAG})
+    LEFT JOIN ({FOLDS}) g ON g.patch_id = t.patch_id AND split = 'train'
+    LEFT JOIN (SELECT {FLAG}, fold, CAST(sum({TARGET}) AS DOUBLE) AS y, count(*) AS n
+               FROM ({TRAIN}) JOIN ({FOLDS}) USING (patch_id) GROUP BY {FLAG}, fold) f
+      ON f.{FLAG} = t.{FLAG} AND f.fold = g.fold"""
+
+
+@query(
+    "oof_propensity",
+    f"patch_id {SCORES}",
+    with_tables(
+        f"""SELECT patch_id, split, {FLAG}, count(*) AS n, min(p) AS low, max(p) AS high
+        FROM ({CROSS_FITTED}) GROUP BY patch_id, split, {FLAG}""",
+        "scored",
+    ),
+)
+def cross_fitted_rates(spark, sf):
+    found = models.oof_propensity(
+        flagged(spark, sf), HORIZON, features=[FLAG], family="random_forest", params=STUMP
+    )
+    return _levels(found.predictions, "propensity_score", ["patch_id"])
+
+
+@query(
+    "risk_pipeline",
+    f"patch_id {SCORES}",
+    with_tables(
+        f"""SELECT patch_id, split, {FLAG}, count(*) AS n, min(p * s) AS low, max(p * s) AS high
+        FROM ({CROSS_FITTED})
+        JOIN (SELECT {FLAG}, sum(w * y_sev_dnbr) / sum(w) AS s
+              FROM (SELECT *, 1 / greatest(0.05, least(0.95, p)) AS w FROM ({CROSS_FITTED}))
+              WHERE split = 'train' AND y_sev_available = 1 GROUP BY {FLAG}) USING ({FLAG})
+        GROUP BY patch_id, split, {FLAG}""",
+        "scored",
+    ),
+)
+def weighted_leaf_risk(spark, sf):
+    """Cross-fitted rates times the inverse-propensity-weighted mean severity of the leaf."""
+    found = models.fit_risk(
+        flagged(spark, sf), HORIZON, [FLAG],
+        occurrence_family="random_forest", occurrence_params=STUMP,
+        severity_family="random_forest", severity_params=STUMP,
+        tie_break=[F.unix_date("reference_date"), F.xxhash64("patch_id")],
+    )
+    return _levels(found.predictions, "risk_score", ["patch_id"])
+
+
 # --- ablations and experiments
 
 
