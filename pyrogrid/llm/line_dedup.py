@@ -11,28 +11,34 @@ from pyrogrid.session import materialise
 LINE_BITS = 1 << 31
 
 
+def computed(docs: DataFrame, name: str, value: F.Column) -> DataFrame:
+    """``docs`` with a column that is computed once per row.
+
+    A projection would be merged into the lambdas that use it and be computed again for each
+    element; a generated column is not.
+    """
+    return docs.withColumn(name, F.explode(F.array(value)))
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """``docs`` with ``lines`` and ``codes``: first and last line number of each chunk in one long.
 
     A chunk ends where the rolling hash over the last two line hashes begins with a hex digit from
     0 to 3, on average every fourth line, so an insertion moves the next boundary or two only.
     """
-    docs = docs.withColumn("lines", F.split(F.col("text"), "\n"))
-    docs = docs.withColumn("hashes", F.transform("lines", lambda x: F.md5(x)))
-
-    def ends(i):
-        pair = F.concat(F.element_at("hashes", i - 1), F.element_at("hashes", i))
-        rolled = F.when(i > 1, F.md5(pair))
-        return (i == F.size("lines")) | F.coalesce(rolled < F.lit("4"), F.lit(False))
-
-    numbers = F.when(F.col("lines").isNotNull(), F.sequence(F.lit(1), F.size("lines")))
-    docs = docs.withColumn("ends", F.filter(numbers, ends))
+    docs = computed(docs, "lines", F.split(F.col("text"), "\n"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("hashes"))
+    rolled = F.zip_with(before, "hashes", lambda a, b: F.md5(F.concat(a, b)) < F.lit("4"))
+    ends = F.array_compact(F.transform(rolled, lambda x, i: F.when(x, i + 1)))
+    docs = computed(docs, "hashes", F.transform("lines", lambda x: F.md5(x)))
+    docs = computed(docs, "ends", F.array_union(ends, F.array(F.size("lines"))))
 
     def code(end, j):
         start = F.when(j == 0, F.lit(1)).otherwise(F.element_at("ends", F.greatest(j, F.lit(1))) + 1)
         return start.cast("long") * LINE_BITS + end
 
-    return docs.withColumn("codes", F.transform("ends", code)).drop("hashes", "ends")
+    codes = F.when(F.col("lines").isNotNull(), F.transform("ends", code))
+    return computed(docs, "codes", codes).drop("hashes", "ends")
 
 
 def first_line(code: F.Column) -> F.Column:
@@ -49,7 +55,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     Occurrences are counted by fingerprint first; only repeated chunks are then compared byte by
     byte with the first occurrence, which stays.
     """
-    own = docs.select("text", *row_key("doc_id", "text")).dropDuplicates(["_k", "_h"])
+    own = docs.select("text", *row_key("doc_id", "text"))
     rows = chunked(own).withColumn("code", F.explode("codes")).where(line_count(F.col("code")) > 1)
     body = F.array_join(F.slice("lines", first_line(F.col("code")), line_count(F.col("code"))), "\n")
     rows = rows.select("_k", "_h", "code", body.alias("body")).withColumn("mark", F.md5("body"))
@@ -66,7 +72,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         .join(kept, "mark")
         .where("body = kept_body")
         .groupBy("_k", "_h")
-        .agg(F.collect_list("code").alias("removed"))
+        .agg(F.collect_set("code").alias("removed"))
     )
 
 
@@ -81,16 +87,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed", "n_spans")
     removed = repeated_chunks(docs)
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "text", *row_key("doc_id", "text"))
+    hidden = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}  # names of the input may clash
+    row = docs.select(
+        *[F.col(f"`{c}`").alias(x) for c, x in hidden.items()], "text", *row_key("doc_id", "text")
+    )
     joined = chunked(row.join(removed, ["_k", "_h"], "left"))
     kept = F.array_except("codes", "removed")
+    joined = computed(joined, "kept", kept)
     body = F.flatten(
-        F.transform(kept, lambda c: F.slice("lines", first_line(c), line_count(c)))
+        F.transform("kept", lambda c: F.slice("lines", first_line(c), line_count(c)))
     )
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, c: a + line_count(c))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(body, "\n"))
     columns = [
-        text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns
+        text.alias(c) if c == "text" else F.col(x).alias(c) for c, x in hidden.items()
     ]
     return joined.select(
         *columns,
