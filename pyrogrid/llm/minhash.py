@@ -211,6 +211,43 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def class_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``nodes`` with the text of one member of each class ``b``."""
+    rep = classes.select(
+        F.col("node").alias("b"), F.col("rep._k").alias("_k"), F.col("rep._h").alias("_h")
+    )
+    texts = docs.select(*row_key("doc_id", "text"), F.coalesce("text", F.lit("")).alias("text"))
+    return nodes.join(rep, "b").join(texts, ["_k", "_h"])
+
+
+def own_shingles(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``node, own``: how many shingles of each class no other one of ``nodes`` has.
+
+    A batch sends each shingle once, and whether it saw it twice; a shingle with one row that was
+    not seen twice belongs to the class on that row alone.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = shingle_sets([*text_bytes(batch.column(1))], width)
+            owner = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            values, first, count = np.unique(every, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(as_long(values)), pa.array(owner[first]), pa.array(count > 1)],
+                ["shingle", "node", "known"],
+            )
+
+    texts = class_texts(nodes.select(F.col("node").alias("b")).distinct(), classes, docs)
+    rows = texts.select("b", "text").mapInArrow(run, "shingle long, node long, known boolean")
+    once = rows.groupBy("shingle").agg(
+        F.count("*").alias("c"), F.max("known").alias("known"), F.min("node").alias("node")
+    )
+    return once.where("c = 1 AND NOT known").groupBy("node").agg(F.count("*").alias("own"))
+
+
 def confirmed(
     pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int
 ) -> DataFrame:
@@ -224,12 +261,8 @@ def confirmed(
         "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("part")
     )
     own = asked.select("a", F.col("a").alias("b"), "block", F.lit(0).alias("part")).distinct()
-    where = classes.select(F.col("node").alias("b"), F.col("rep._k").alias("_k"), F.col("rep._h").alias("_h"))
-    texts = docs.select(*row_key("doc_id", "text"), F.coalesce("text", F.lit("")).alias("text"))
     sent = (
-        asked.union(own)
-        .join(where, "b")
-        .join(texts, ["_k", "_h"])
+        class_texts(asked.union(own), classes, docs)
         .select("a", "block", "part", "b", "text")
         .repartition("a", "block")
         .sortWithinPartitions("a", "block", "part")
@@ -269,14 +302,17 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
     """Links between set classes that reach all that are linked, and the components they make.
 
     In each round a bucket of equal band hashes compares one pivot with its members of other
-    components; a pivot is then done.  After ``ROUNDS`` rounds only members of still different
-    components are compared with each other.  So no bucket of one large group forms its pairs, and
-    no pair of different components is left out.
+    components; a pivot is then done.  After each round, members with so many shingles of
+    their own that no other member can be similar enough go: texts that only share a passage, and
+    copies with too many edits.  After ``ROUNDS`` rounds only members of still different
+    components are compared, where the shingles that others have as well allow the similarity.
+    So no bucket of one large group forms its pairs, and no possible link is left out.
     """
     threshold = percent / 100
     exploded = classes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     many = exploded.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     members = materialise(exploded.join(many, ["band", "value"]), "buckets")
+    members = members.withColumn("shared", F.col("n"))
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
     label = None
@@ -291,7 +327,8 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
             members.groupBy("band", "value")
             .agg(
                 F.min("label").alias("low"), F.max("label").alias("high"),
-                F.min(F.struct("node", "n", "label")).alias("p"),
+                # Of those left, the one with the least of its own is nearest to all others.
+                F.min(F.struct(1 - F.col("shared") / F.col("n"), "node", "n", "label")).alias("p"),
             )
             .where("low <> high")
             .select(
@@ -304,9 +341,11 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
             pairs = members.where((F.col("label") != F.col("pivot_label")) & fits("n", "pivot_n", percent))
             pairs = pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         else:
-            side = members.select("band", "value", "node", "n", "label")
+            side = members.select("band", "value", "node", "n", "label", "shared")
+            both = F.least("x.shared", "y.shared")
+            enough = both * 100 >= (F.col("x.n") + F.col("y.n") - both) * percent
             pairs = side.alias("x").join(side.alias("y"), ["band", "value"]).where(
-                (F.col("x.label") < F.col("y.label")) & fits("x.n", "y.n", percent)
+                (F.col("x.label") < F.col("y.label")) & enough
             ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for done in tested:
@@ -320,7 +359,12 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
             every = every.union(more)
         label = materialise(components(every), "labels")
         if turn < ROUNDS:
-            members = members.where("node <> pivot").select("band", "value", "node", "n")
+            members = members.where("node <> pivot").select("band", "value", "node", "n", "shared")
+            left = own_shingles(members, classes, docs, width)
+            shared = F.col("n") - F.coalesce("own", F.lit(0))
+            members = members.join(materialise(left, "own"), "node", "left").withColumn(
+                "shared", shared
+            ).drop("own").where(F.col("shared") * 100 >= F.col("n") * percent)
     return every, label
 
 
