@@ -207,7 +207,9 @@ def stacked(out: list[tuple], n: int) -> list[np.ndarray]:
     return [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(n)]
 
 
-STRETCH = "_k _h rank low high f1 f2"
+STRETCH = "_k _h rank low high at f1 f2"
+CELL = "_k _h rank low high single f1 f2"
+CELL_WINDOWS = 8
 WINDOW = "_k _h s single w1 w2"
 
 
@@ -229,8 +231,8 @@ def stretches(work: DataFrame, length: int) -> DataFrame:
                 low, high = at - (place >> 16 & 255), at - (place >> 8 & 255)
                 prints = [as_long(cut_prints(text, low, high + length, which)) for which in (0, 1)]
                 full = [np.full(len(at), x[i]) for x in (k, h)]
-                out.append((*full, rank, low, high, *prints))
-            yield long_frame(STRETCH, stacked(out, 7))
+                out.append((*full, rank, low, high, at, *prints))
+            yield long_frame(STRETCH, stacked(out, 8))
 
     return work.select("_k", "_h", "text", "list").mapInArrow(run, schema_of(STRETCH))
 
@@ -250,6 +252,36 @@ def cut_prints(text: np.ndarray, low: np.ndarray, high: np.ndarray, which: int)
     return out
 
 
+def cells(work: DataFrame, length: int) -> DataFrame:
+    """The listed stretches cut into cells of eight windows by their distance to the sample.
+
+    The rank of a cell is the fingerprint of the bytes that all its windows share, whether or not
+    the stretch has them all; so equal windows lie in cells of equal rank.
+    """
+
+    def run(batches):
+        for batch in batches:
+            k, h = (batch.column(i).to_numpy() for i in (0, 1))
+            out = []
+            for i, (text, (low, high, at, single)) in enumerate(
+                zip(text_bytes(batch.column(2)), listed(batch.column(3)), strict=True)
+            ):
+                first, last = (at - high) // CELL_WINDOWS, (at - low) // CELL_WINDOWS
+                size = last - first + 1
+                which = np.repeat(np.arange(len(at)), size)
+                number = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[which]
+                top = at[which] - CELL_WINDOWS * number
+                end = top - CELL_WINDOWS + 1
+                rank = as_long(cut_prints(text, top, end + length, 0))
+                lo, hi = np.maximum(low[which], end), np.minimum(high[which], top)
+                prints = [as_long(cut_prints(text, lo, hi + length, n)) for n in (0, 1)]
+                full = [np.full(len(lo), x[i]) for x in (k, h)]
+                out.append((*full, rank, lo, hi, single[which], *prints))
+            yield long_frame(CELL, stacked(out, 8))
+
+    return work.select("_k", "_h", "text", "list").mapInArrow(run, schema_of(CELL))
+
+
 def windows(work: DataFrame, length: int) -> DataFrame:
     """Every window of the listed stretches, with two fingerprints."""
 
@@ -305,8 +337,8 @@ def repeats(docs: DataFrame, length: int = THRESHOLD) -> tuple[DataFrame, DataFr
 
     After the doubling rounds a sample's windows are taken as one stretch.  A stretch that occurs
     twice repeats with all its windows.  Where one rank has different stretches, as at the ends of
-    a repeat, one representative of each stretch shows its single windows, and those that occur
-    twice repeat.  Each text thus sends its interior as one row per sample, not per byte.
+    a repeat, one representative of each stretch shows cells of eight windows, and where cells
+    differ, their single windows.  So the interior of a repeat is one row per sample, not per byte.
     """
     if length > THRESHOLD_MOST:
         raise ValueError(f"repeats of more than {THRESHOLD_MOST} bytes are not supported")
@@ -314,26 +346,43 @@ def repeats(docs: DataFrame, length: int = THRESHOLD) -> tuple[DataFrame, DataFr
     alive = ranked(texts, length)
     lists = alive.groupBy("_k", "_h").agg(F.collect_list(F.struct("rank", "place")).alias("list"))
     work = materialise(texts.join(lists, ["_k", "_h"]), "texts")
-    rows = materialise(stretches(work, length), "stretches")
-    kinds = rows.groupBy("rank", "f1", "f2").agg(
-        F.count("*").alias("n"), F.min(F.struct("_k", "_h", "low", "high")).alias("rep")
-    )
-    kinds = materialise(kinds, "kinds")
-    ends = (
-        kinds.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-        .where("kinds > 1 AND least = 1").select("rank")
-    )
-    shown = kinds.join(ends, "rank").select("rep.*", (F.col("n") == 1).cast("long").alias("single"))
-    shown = shown.groupBy("_k", "_h").agg(F.collect_list(F.struct("low", "high", "single")).alias("list"))
     only = work.select("_k", "_h", "text")
+    rows = materialise(stretches(work, length), "stretches").withColumn("single", F.lit(1).cast("long"))
+    whole, shown = alike(rows, ["low", "high", "at"])
+    # Of the stretches that differ from others of their rank, then of the cells that still do.
+    rows = materialise(cells(only.join(shown, ["_k", "_h"]), length), "cells")
+    more, shown = alike(rows, ["low", "high"])
     seen = materialise(windows(only.join(shown, ["_k", "_h"]), length), "windows")
     twice = seen.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("single").alias("some"))
     twice = twice.where("n > 1 AND some = 1").select("w1", "w2")
     parts = seen.where("single = 1").join(twice, ["w1", "w2"]).select(
         "_k", "_h", F.col("s").alias("low"), F.col("s").alias("high")
     )
-    whole = rows.join(kinds.where("n > 1").select("rank", "f1", "f2"), ["rank", "f1", "f2"])
-    return only, whole.select("_k", "_h", "low", "high").unionByName(parts)
+    return only, whole.unionByName(more).unionByName(parts)
+
+
+def alike(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose string occurs twice, and per text the list of those to be looked at more closely.
+
+    The latter are one representative of each string of a rank, where some string of it occurs
+    once and others differ from it; ``single`` marks the strings that occur once.
+    """
+    kinds = materialise(
+        rows.groupBy("rank", "f1", "f2").agg(
+            F.count("*").alias("n"), F.max("single").alias("open"),
+            F.min(F.struct("_k", "_h", *place)).alias("rep"),
+        ).withColumn("single", ((F.col("n") == 1) & (F.col("open") == 1)).cast("long")),
+        "kinds",
+    )
+    twice = kinds.where("n > 1 AND open = 1").select("rank", "f1", "f2")
+    whole = rows.where("single = 1").join(twice, ["rank", "f1", "f2"]).select("_k", "_h", "low", "high")
+    ends = (
+        kinds.groupBy("rank").agg(F.count("*").alias("kinds"), F.max("single").alias("some"))
+        .where("kinds > 1 AND some = 1").select("rank")
+    )
+    shown = kinds.join(ends, "rank").select("rep.*", "single")
+    lists = shown.groupBy("_k", "_h").agg(F.collect_list(F.struct(*place, "single")).alias("list"))
+    return whole, lists
 
 
 def byte_dedup(docs: DataFrame, length: int = THRESHOLD) -> DataFrame:
