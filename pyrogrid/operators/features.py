@@ -49,7 +49,9 @@ def median_exceeds(df: DataFrame, columns: Sequence[str], threshold: float) -> d
         return {}
     aggs = []
     for i, name in enumerate(columns):
-        c, above = F.col(name), F.col(name) > threshold
+        c = F.col(name).cast("double")
+        c = F.when(~F.isnan(c), c)  # NaN would count as above any threshold
+        above = c > threshold
         aggs += [
             F.count(c).alias(f"n{i}"),
             F.count_if(above).alias(f"a{i}"),

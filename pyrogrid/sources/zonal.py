@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pyrogrid.config import TemporalConfig
 from pyrogrid.functions.ordered import ordered_prefix
+from pyrogrid.sources.tables import nan_to_null
 
 # Bands, class labels and thresholds of the source products.
 WEATHER_BANDS = (
@@ -90,13 +91,13 @@ def visible(
     day: str = "obs_date",
     partition_month: str | None = None,
 ) -> DataFrame:
-    """Drop what no reference date can see; the predicate reaches the scan.
+    """Drop what no reference date can see; the predicate reaches the scan.  NaN becomes NULL.
 
     ``partition_month`` names a column holding the month start, when the table is laid out by it.
     """
     first = F.date_sub(F.lit(temporal.reference_start), window)
     last = F.lit(temporal.spine_end)
-    out = obs.where((F.col(day) >= first) & (F.col(day) < last))
+    out = nan_to_null(obs).where((F.col(day) >= first) & (F.col(day) < last))
     if partition_month:
         out = out.where(
             (F.col(partition_month) >= F.trunc(first, "month"))

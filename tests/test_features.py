@@ -115,3 +115,8 @@ def test_window_filter_keeps_unparsable_names():
         "terrain_x",
         "human_ld",
     ]
+
+
+def test_nan_is_not_above_a_threshold(spark):
+    frame = spark.createDataFrame([(float("nan"),)] * 5 + [(10.0,), (20.0,), (None,)], "t double")
+    assert features.median_exceeds(frame, ["t"], 200.0) == {"t": False}
