@@ -1,4 +1,8 @@
-"""Removal of globally repeated multi-line chunks with content-defined boundaries."""
+"""Removal of globally repeated passages of two or more lines.
+
+``line_dedup`` finds every repeated run of lines.  ``chunk_dedup`` judges whole chunks with
+content-defined boundaries only, which is what ``OP4_SQL`` states.
+"""
 
 from __future__ import annotations
 
@@ -76,14 +80,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def chunk_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the text that is left, and ``n_lines``, ``n_removed``, ``n_spans``.
 
     Of each chunk of two or more lines that occurs more than once anywhere, the occurrence with
     the smallest id and line stays; single lines are never removed.  A null text stays null with 0
     lines; an empty text is one empty line; a text without newlines is never changed; repeated
     rows are one document and get one result each; null ids sort first; an empty table gives no
-    rows; columns named like the three counts are replaced.
+    rows; columns named like the three counts are replaced.  A repeated passage that holds no
+    whole chunk of two lines stays; ``line_dedup`` finds it.
     """
     docs = docs.drop("n_lines", "n_removed", "n_spans")
     removed = repeated_chunks(docs)
@@ -110,9 +115,94 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """``_k, _h, line, mark``: the fingerprint of each two consecutive lines, by the first."""
+    docs = computed(docs, "lines", F.split(F.col("text"), "\n"))
+    docs = computed(docs, "hashes", F.transform("lines", lambda x: F.md5(x)))
+    n = F.size("hashes") - 1
+    marks = F.zip_with(
+        F.slice("hashes", F.lit(1), n), F.slice("hashes", F.lit(2), n),
+        lambda a, b: F.unhex(F.md5(F.concat(a, b))),
+    )
+    docs = docs.where(F.size("lines") > 1)
+    docs = docs.select("_k", "_h", F.posexplode(marks).alias("line", "mark"))
+    return docs.withColumn("line", F.col("line") + 1)
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """``_k, _h, gone``: the numbers of the lines that lie in a repeated run of two or more.
+
+    A run is repeated where each two consecutive lines of it are, so pairs of lines need no
+    extension.  Pairs are counted by fingerprint first; only the texts of repeated ones are then
+    fetched and compared byte by byte with the first occurrence, which stays.
+    """
+    own = docs.select("text", *row_key("doc_id", "text"))
+    rows = line_pairs(own)
+    place = F.struct("_k", "_h", "line")
+    first = rows.groupBy("mark").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("mark", "first")
+    again = materialise(rows.join(first, "mark").where(place != F.col("first")), "pairs")
+    start = again.select("first.*", "mark", "first").distinct()
+    asked = again.select(*start.columns).union(start)
+    asked = asked.groupBy("_k", "_h").agg(F.collect_set(F.struct("line", "mark", "first")).alias("p"))
+    texts = computed(own.join(asked, ["_k", "_h"]), "lines", F.split("text", "\n"))
+    texts = texts.select("_k", "_h", "lines", F.explode("p").alias("p")).select(
+        "_k", "_h", "p.*", F.array_join(F.slice("lines", F.col("p.line"), 2), "\n").alias("body")
+    )
+    texts = materialise(texts, "bodies")
+    kept = texts.where(place == F.col("first")).groupBy("mark").agg(F.min("body").alias("kept_body"))
+    # Where a pair overlaps its own first occurrence, only the line beyond it goes.
+    inside = F.col("first") == F.struct("_k", "_h", F.col("line") - 1)
+    both = F.when(inside, F.array(F.col("line") + 1)).otherwise(
+        F.array(F.col("line"), F.col("line") + 1)
+    )
+    return (
+        texts.where(place != F.col("first"))
+        .join(kept, "mark")
+        .where("body = kept_body")
+        .select("_k", "_h", F.explode(both).alias("line"))
+        .groupBy("_k", "_h")
+        .agg(F.collect_set("line").alias("gone"))
+    )
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text that is left, and ``n_lines``, ``n_removed``, ``n_spans``.
+
+    Each run of two or more lines that also stands at an earlier place, of a smaller id or further
+    up, is removed wherever it begins and ends; each line that goes is still held by the first
+    place of that line.  Single lines are never removed on their own.  ``n_spans`` counts the
+    stretches that were cut out.  A null text stays null with 0 lines; an empty text is one empty
+    line; a text without newlines is never changed; repeated rows are one document and get one
+    result each; null ids sort first; an empty table gives no rows; columns named like the three
+    counts are replaced.
+    """
+    docs = docs.drop("n_lines", "n_removed", "n_spans")
+    gone = repeated_lines(docs)
+    hidden = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}  # names of the input may clash
+    row = docs.select(
+        *[F.col(f"`{c}`").alias(x) for c, x in hidden.items()], "text", *row_key("doc_id", "text")
+    )
+    joined = computed(row.join(gone, ["_k", "_h"], "left"), "lines", F.split("text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone")
+    joined = computed(joined, "kept", F.when(F.col("gone").isNotNull(), kept))
+    body = F.array_join(F.transform("kept", lambda i: F.get("lines", i - 1)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(body)
+    spans = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))
+    columns = [text.alias(c) if c == "text" else F.col(x).alias(c) for c, x in hidden.items()]
+    none = F.col("gone").isNull()
+    return joined.select(
+        *columns,
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(none, 0).otherwise(spans).cast("long").alias("n_spans"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole chunks, as ``OP4_SQL`` has them; the pipeline takes ``line_dedup``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(docs).select(
+    return chunk_dedup(docs).select(
         "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256")
     )
 

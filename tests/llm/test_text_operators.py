@@ -174,6 +174,39 @@ def test_line_dedup(docs_of):
     assert out[10]["text"] == "" and out[11]["text"] == out[12]["text"] == "single line"
 
 
+def test_line_dedup_finds_every_repeated_run(docs_of):
+    rng = random.Random(5)
+    bank = [prose(rng, 3) for _ in range(40)] + ["", "a"]
+    rows = []
+    for i in range(120):
+        text = [prose(rng, 4) for _ in range(rng.randrange(4))]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(38)
+            text[rng.randrange(len(text) + 1):0] = bank[at : at + rng.randrange(2, 5)]
+        rows.append((i, "\n".join(text)))
+    rows += [(200, "a\na\na\na"), (201, "x y\n" + rows[0][1] + "\nz"), (202, "\n\n\n")]
+    first, firsts, want = {}, {}, {}
+    for i, text in rows:
+        lines, gone = text.split("\n"), set()
+        for j, pair in enumerate(zip(lines, lines[1:])):
+            at = first.setdefault(pair, (i, j))
+            if at != (i, j):
+                gone |= {j + 1} if at == (i, j - 1) else {j, j + 1}
+        for j, line in enumerate(lines):
+            assert firsts.setdefault(line, (i, j)) != (i, j) or j not in gone
+        spans = sum(j - 1 not in gone for j in gone)
+        left = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+        want[i] = (left, len(lines), len(gone), spans)
+    docs = docs_of(rows)
+    out = line_dedup.line_dedup(docs).select("doc_id", "text", "n_lines", "n_removed", "n_spans")
+    assert {r[0]: tuple(r[1:]) for r in out.collect()} == want
+    assert want[200][0] == "a\na" and sum(w[2] for w in want.values()) > 100
+    # Two lines inside other text, without a chunk boundary between or around them.
+    short = [(i, f"{prose(rng, 4)}\n{bank[0]}\n{bank[1]}\n{prose(rng, 4)}") for i in range(8)]
+    left = line_dedup.line_dedup(docs_of(short)).where("n_removed = 2").count()
+    assert left == 7
+
+
 # ------------------------------------------------------------------------------- tokens, packing
 
 
