@@ -132,10 +132,11 @@ def skeleton(spark: SparkSession, sf: str) -> DataFrame:
     return panel_skeleton(grid(spark, sf), TEMPORAL)
 
 
-def label_panel(spark: SparkSession, sf: str) -> DataFrame:
+def label_panel(spark: SparkSession, sf: str, windows: tuple = (7, 14)) -> DataFrame:
     """Skeleton with burn counts, burn dates and burn ratios of the weeks before."""
-    obs = visible(observations(spark, sf), TEMPORAL, 14)
-    seen = lookback_join(obs, TEMPORAL, 14)
+    obs = visible(observations(spark, sf), TEMPORAL, max(windows))
+    seen = lookback_join(obs, TEMPORAL, max(windows))
+    gap, rain = F.col("gap"), F.col("total_precipitation_sum")
     week, ratio = F.col("gap") <= 7, (F.col("b8") - F.col("b12")) / (F.col("b8") + F.col("b12"))
     day = F.unix_date("obs_date").cast("bigint") * 86_400_000
     dated = week & F.col("event") & (F.col("pk") % 10 != 0)
@@ -143,10 +144,16 @@ def label_panel(spark: SparkSession, sf: str) -> DataFrame:
         F.avg(F.when(week, F.col("event").cast("double"))).alias("temporal_burn_count_l7d"),
         F.min(F.when(dated, day)).alias("temporal_burn_timestamp_l7d"),
         F.avg(F.when(week & ~F.col("event"), ratio)).alias("optical_nbr_mean_l7d"),
-        F.avg(F.when(~F.col("event"), ratio)).alias("optical_nbr_mean_l14d"),
         F.avg(F.when(week, F.col("q"))).alias("weather_temperature_2m_mean_l7d"),
-        F.avg("q").alias("weather_temperature_2m_mean_l14d"),
-        F.avg("total_precipitation_sum").alias("weather_total_precipitation_sum_mean_l14d"),
+        *[
+            F.avg(F.when((gap <= w) & kept, x)).alias(f"{name}_mean_l{w}d")
+            for w in windows if w > 7
+            for name, kept, x in (
+                ("optical_nbr", ~F.col("event"), ratio),
+                ("weather_temperature_2m", F.lit(True), F.col("q")),
+                ("weather_total_precipitation_sum", F.lit(True), rain),
+            )
+        ],
     )
     return skeleton(spark, sf).join(features, ["patch_id", "reference_date"], "left")
 
@@ -225,7 +232,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 @cache
 def _model_panel(application: str, sf: str) -> str:
     spark = SparkSession.active()
-    labelled = materialize_labels(label_panel(spark, sf), None, HORIZON, 30, 7)
+    labelled = materialize_labels(label_panel(spark, sf, WINDOWS), None, HORIZON, 30, 7)
     terrain = zonal.zonal_terrain(static_pixels(spark, sf))
     panel = labelled.join(terrain, "patch_id", "left")
     enriched = enrich_panel(panel)
@@ -235,7 +242,7 @@ def _model_panel(application: str, sf: str) -> str:
 
 
 def model_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled, enriched and split panel, written once per session and scale."""
+    """Labelled, enriched and split panel of all look-backs, written once per session and scale."""
     return spark.read.parquet(_model_panel(spark.sparkContext.applicationId, sf))
 
 

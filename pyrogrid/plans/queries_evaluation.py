@@ -793,6 +793,18 @@ def curve(spark, sf):
     )
 
 
+@query(
+    "leakage_curve_full",
+    "buffer_days:i roc_auc:f n_train:i n_val:i n_test:i type2_overlap_days:i",
+)
+def full_curve(spark, sf):
+    """All default buffers; the twin of ``leakage_curve`` has four."""
+    train, evaluate = rate_callbacks()
+    return audits.leakage_curve(
+        T.scored(spark, sf), train, evaluate, HORIZON, boundaries=BOUNDS, uses_val=False
+    )
+
+
 def _spatial_rows_sql(km: int) -> str:
     per = max(1, km // 10)
     folded = f"({_cv_sql(per, 'scored')})"
@@ -818,3 +830,11 @@ def spatial_curve(spark, sf):
     train, evaluate = rate_callbacks()
     rows = T.scored(spark, sf).drop("split")
     return audits.spatial_leakage(rows, train, evaluate, (10, 20), 10, order=arithmetic_order)
+
+
+@query("spatial_leakage_full", "block_size_km:i mean_auc:f std_auc:f n_folds:i")
+def full_spatial_curve(spark, sf):
+    """All default block sizes; the twin of ``spatial_leakage`` has two."""
+    train, evaluate = rate_callbacks()
+    rows = T.scored(spark, sf).drop("split")
+    return audits.spatial_leakage(rows, train, evaluate, order=arithmetic_order)

@@ -245,7 +245,7 @@ def namespaces(spark, sf):
 def lookbacks(spark, sf):
     panel = T.model_panel(spark, sf)
     return audits.lookback_ablation(
-        panel, "logreg", "classification", PARAMS["logreg"], HORIZON, (7, 14)
+        panel, "logreg", "classification", PARAMS["logreg"], HORIZON
     )
 
 
@@ -273,7 +273,7 @@ def severities(spark, sf):
 )
 def conformal_intervals(spark, sf):
     summary, _ = audits.conformal_experiment(
-        T.model_panel(spark, sf), HORIZON, "logreg", PARAMS["logreg"], min_rows=2
+        T.model_panel(spark, sf), HORIZON, "logreg", PARAMS["logreg"]
     )
     return summary
 
@@ -282,8 +282,7 @@ def conformal_intervals(spark, sf):
 def report(spark, sf):
     panel = T.model_panel(spark, sf)
     temporal, spatial = audits.leakage_report(
-        panel.drop("split"), panel, HORIZON, "logreg", PARAMS["logreg"], BOUNDARIES,
-        buffers=(0, 30, 60), block_sizes_km=(20,),
+        panel.drop("split"), panel, HORIZON, "logreg", PARAMS["logreg"], BOUNDARIES
     )
     return temporal.select(
         F.lit("temporal").alias("curve"),
@@ -307,6 +306,5 @@ def report(spark, sf):
 def contributions(spark, sf):
     panel = T.model_panel(spark, sf)
     return audits.contribution_summary(
-        panel.drop("split"), panel, HORIZON, "logreg", PARAMS["logreg"], BOUNDARIES,
-        buffers=(0, 60), block_sizes_km=(10, 20), min_rows=2,
+        panel.drop("split"), panel, HORIZON, "logreg", PARAMS["logreg"], BOUNDARIES
     )
