@@ -36,8 +36,10 @@ class PieceCounter(dict):
     A character without a piece of its own may also be unknown, which scores 10 below the lowest
     piece and counts as its UTF-8 bytes (byte fallback).
 
-    No piece crosses a word's first space mark or a newline, so words are counted apart; scores
-    are whole numbers, so sums and ties do not depend on where a text is cut.  At most ``most``
+    The text is split before each space mark and at newlines (a Metaspace split), and words are
+    counted apart.  This split is part of the tokenizer: pieces of several space marks in the
+    vocabulary are never used, so runs of spaces count more pieces than without it.  Scores are
+    whole numbers, so sums and ties do not depend on where a text is cut.  At most ``most``
     words are kept in memory.
     """
 
