@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by prefix doubling over sampled positions."""
+"""Removal of repeated byte strings by fingerprints at sampled anchors, with one pairing step."""
 
 from __future__ import annotations
 
