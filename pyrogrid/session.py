@@ -62,7 +62,16 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that ``materialise`` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], object]], width: int = 4) -> list:
