@@ -282,7 +282,7 @@ def surges(weights: np.ndarray, window: int, surge: int) -> list[tuple[int, int]
 def container(lines: list[Line], weights: np.ndarray, span: tuple[int, int]) -> Node:
     """The innermost element around all paragraphs of a stretch of lines."""
     inside = [i for i in range(*span) if weights[i]]
-    least = min(PARAGRAPH, max(weights[i] for i in inside))
+    least = min(PARAGRAPH, max(weights[i] for i in inside) // 2)
     nodes = [lines[i].node for i in inside if weights[i] >= least]
     node, last = (f(nodes, key=lambda x: x.start) for f in (min, max))
     while not node.holds(last):
