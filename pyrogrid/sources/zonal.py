@@ -8,6 +8,10 @@ is plain day arithmetic.  Before that, observations are summed into *elementary
 between two consecutive window edges (modulo the stride) are seen by exactly the same windows, so
 sums and counts per bin lose nothing and the explosion multiplies bins rather than raw rows.  All
 windows of a source come out of one pass over its observations.
+
+Rows are laid out by patch, time chunk and, where a patch is large, pixel part.  Time is reduced
+inside that layout; pixels are reduced to mergeable partial states (count, mean, sum of squared
+deviations, extremes) there, and only those states meet at the panel key.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pyrogrid.config import TemporalConfig
-from pyrogrid.functions.ordered import ordered_prefix
+from pyrogrid.functions.skew import with_parts
 from pyrogrid.sources.tables import nan_to_null
 
 # Bands, class labels and thresholds of the source products.
@@ -51,13 +55,10 @@ TWI_RADIANS = 3.14159 / 180.0
 TWI_FLOOR = 0.001
 STATS = ("mean", "std", "min", "max")
 
-# Above this many observations of one pixel its medians are taken by distributed ranking.
-HEAVY_PIXEL_ROWS = 1_000_000
-
 PIXEL = ("patch_id", "pixel_id")
 KEY = ("patch_id", "reference_date")
-# The panel key of rows that were exploded in place.
-PLACED = ("patch_id", "_chunk", "reference_date")
+# The panel key of rows that were exploded in place; groups that keep it need no shuffle.
+PLACED = ("patch_id", "_chunk", "_part", "reference_date")
 
 
 def _std(std: str):
@@ -155,21 +156,21 @@ def explode_in_place(
     """As ``explode_to_spine``, shuffling rows before they multiply instead of afterwards.
 
     The spine is cut into chunks about twice as long as the reach, so a row goes to one or two of
-    them.  Rows are partitioned by patch and chunk and exploded there; every grouping that keeps
-    ``patch_id`` and ``_chunk`` then needs no further shuffle.  A patch with very many
-    observations still spreads over as many tasks as it has chunks.
+    them.  Rows are partitioned by patch, chunk and pixel part and exploded there; every grouping
+    that keeps these and the pixel then needs no further shuffle.  Only a patch that would fill a
+    task has more than one part.
     """
     size = max(8, -(-2 * reach_days // temporal.reference_stride_days))
     low, high = _spine_range(temporal, first_ref, last_ref)
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        df.select("*", low.alias("_low"), high.alias("_high"))
+        with_parts(df, ["patch_id"], F.col("pixel_id"))
+        .select("*", low.alias("_low"), high.alias("_high"))
         .where(F.col("_low") <= F.col("_high"))
         .withColumn(
             "_chunk",
             F.explode(F.sequence(F.floor(F.col("_low") / size), F.floor(F.col("_high") / size))),
         )
-        .repartition(tasks, "patch_id", "_chunk")
+        .repartition("patch_id", "_chunk", "_part")
     )
     start = F.greatest(F.col("_low"), (F.col("_chunk") * size).cast("int"))
     end = F.least(F.col("_high"), (F.col("_chunk") * size + (size - 1)).cast("int"))
@@ -234,7 +235,7 @@ def zonal_weather(
         *([F.max("weight").alias("weight")] if weight else []),
     )
     share = F.col("weight") if weight else None
-    long = per_pixel.groupBy(*PLACED, "window").agg(
+    long = per_pixel.groupBy(*KEY, "window").agg(
         *[c for b in bands for c in patch_stats(F.col(b), f"{b}_{{stat}}", stats, std, share)]
     )
     return _wide(long, windows, [(b, s) for b in bands for s in stats], prefix)
@@ -251,7 +252,7 @@ def _wide(
 ) -> DataFrame:
     """Rows per window to columns per window: one aggregate and one projection, however wide."""
     names = [f"{band}_{stat}" for band, stat in values]
-    rows = long.groupBy(*PLACED).agg(
+    rows = long.groupBy(*KEY).agg(
         F.map_from_entries(F.collect_list(F.struct("window", F.struct(*names)))).alias("m")
     )
     picked = rows.select(*KEY, *[F.try_element_at("m", F.lit(w)).alias(f"w{w}") for w in windows])
@@ -265,97 +266,60 @@ def _wide(
     )
 
 
-def _heavy_pixels(obs: DataFrame, limit: int) -> DataFrame:
-    return obs.groupBy(*PIXEL).count().where(F.col("count") > limit).select(*PIXEL)
-
-
 # Output name -> (band, look-back window or None for all rows of the group).
 MedianSpec = Mapping[str, tuple[str, int | None]]
 
 
-def _ranked_medians(placed: DataFrame, groups: Sequence[str], spec: MedianSpec) -> DataFrame:
-    """Exact medians of very large groups through distributed prefix counts."""
-    entries = [
-        F.struct(
-            F.lit(name).alias("name"),
-            (F.col(band) if w is None else _within(w, F.col(band))).cast("double").alias("v"),
-        )
-        for name, (band, w) in spec.items()
-    ]
-    long = placed.select(*groups, F.explode(F.array(*entries)).alias("m")).select(
-        *groups, "m.name", "m.v"
-    )
-    table = ordered_prefix(long, ["v"], {"n": F.lit(1)}, by=[*groups, "name"])
-    low = F.expr("(n_total - 1) div 2")
-    high = F.expr("n_total div 2")
-    end = F.col("n_below") + F.col("n")
-    return (
-        table.groupBy(*groups)
-        .pivot("name", list(spec))
-        .agg(
-            (
-                F.max(F.when((F.col("n_below") <= low) & (low < end), F.col("v")))
-                + F.max(F.when((F.col("n_below") <= high) & (high < end), F.col("v")))
-            )
-            / 2
-        )
-    )
-
+def pixel_medians(placed: DataFrame, groups: Sequence[str], spec: MedianSpec) -> DataFrame:
+    """Exact median per group for every entry of ``spec``; null where a group holds no value.
 
-def _listed_medians(placed: DataFrame, groups: Sequence[str], spec: MedianSpec) -> DataFrame:
-    """Exact medians of small groups: one list per group, sorted per band and window."""
+    Values are exploded to (band, value) and sorted inside their partition.  Running counts over
+    that order, one for each window, tell the middle rows, so a band is sorted once for all its
+    windows, nothing is listed, and a group of any size spills.  ``placed`` should be partitioned by
+    columns among ``groups``.
+    """
     bands = sorted({band for band, _ in spec.values()})
-    windows = {w for _, w in spec.values()}
-    fields = [F.col(b) for b in bands] + ([F.col("gap")] if windows != {None} else [])
-    listed = placed.groupBy(*groups).agg(F.collect_list(F.struct(*fields)).alias("_all"))
-
-    def cut(w):
-        return F.col("_all") if w is None else F.filter("_all", lambda x: x["gap"] <= w)
-
-    parts = listed.select(*groups, *[cut(w).alias(f"_w{w}") for w in windows])
-    ordered = parts.select(
-        *groups,
+    windows = sorted({w for _, w in spec.values()}, key=lambda w: (w is None, w))
+    gap = ["gap"] if windows != [None] else []
+    values = F.posexplode(F.array(*[F.col(b).cast("double") for b in bands])).alias("_band", "_v")
+    long = placed.select(*groups, *gap, values)
+    order = W.partitionBy(*groups, "_band").orderBy("_v")
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    one = {
+        w: F.when(F.col("_v").isNotNull() & (F.lit(True) if w is None else F.col("gap") <= w), 1)
+        for w in windows
+    }
+    counted = long.select(
+        *groups, "_band", "_v",
+        F.row_number().over(order).alias("_row"),
+        *[c.alias(f"_one{w}") for w, c in one.items()],
+        *[F.count(c).over(upto).alias(f"_upto{w}") for w, c in one.items()],
+        *[F.count(c).over(whole).alias(f"_all{w}") for w, c in one.items()],
+    )
+
+    def middle(w):
+        """Half the value for each of the two middle places a row holds."""
+        place, n = F.col(f"_upto{w}") - 1, F.col(f"_all{w}")
+        held = (place == F.expr(f"(_all{w} - 1) div 2")).cast("int") + (
+            place == F.floor(n / 2)
+        ).cast("int")
+        return F.when(F.col(f"_one{w}").isNotNull() & (held > 0), F.col("_v") / 2 * held)
+
+    marked = counted.select(
+        *groups, "_band", "_row", *[middle(w).alias(f"_m{w}") for w in windows]
+    )
+    kept = F.col("_row") == 1  # keeps groups without any value
+    for w in windows:
+        kept = kept | F.col(f"_m{w}").isNotNull()
+    return marked.where(kept).groupBy(*groups).agg(
         *[
-            F.sort_array(F.array_compact(F.col(f"_w{w}").getField(band))).alias(name)
+            F.sum(F.when(F.col("_band") == bands.index(band), F.col(f"_m{w}"))).alias(name)
             for name, (band, w) in spec.items()
-        ],
-    )
-    return ordered.select(
-        *groups,
-        *[
-            (
-                (
-                    F.get(n, F.floor((F.size(n) - 1) / 2).cast("int"))
-                    + F.get(n, F.floor(F.size(n) / 2).cast("int"))
-                )
-                / 2
-            ).alias(n)
-            for n in spec
-        ],
+        ]
     )
 
 
-def pixel_medians(
-    obs: DataFrame,
-    placed: DataFrame,
-    groups: Sequence[str],
-    spec: MedianSpec,
-    heavy_rows: int | None = None,
-) -> DataFrame:
-    """Exact median per group for every entry of ``spec``.
-
-    A group's values are listed in one task, which suits the few scenes of a pixel's window.
-    Pixels with more observations than ``heavy_rows`` are ranked with the prefix operator
-    instead; the two parts are disjoint and together complete.
-    """
-    heavy = _heavy_pixels(obs, heavy_rows or HEAVY_PIXEL_ROWS)
-    if heavy.isEmpty():
-        return _listed_medians(placed, groups, spec)
-    normal = placed.join(heavy, list(PIXEL), "left_anti")
-    ranked = _ranked_medians(placed.join(heavy, list(PIXEL), "left_semi"), groups, spec)
-    return _listed_medians(normal, groups, spec).unionByName(ranked)
-
-
 def clear_scenes(obs: DataFrame, cloud: str = "cloud_pct", limit: float = CLOUD_LIMIT):
     return obs.where(F.col(cloud) < limit)
 
@@ -369,7 +333,6 @@ def zonal_optical(
     day: str = "obs_date",
     cloud: str = "cloud_pct",
     partition_month: str | None = None,
-    heavy_rows: int | None = None,
 ) -> DataFrame:
     """Clear scenes only; per window a median composite per pixel, then patch statistics.
 
@@ -381,13 +344,9 @@ def zonal_optical(
     seen = seen.select(*PIXEL, day, *bands)
     placed = _lookback_in_place(seen, temporal, windows[-1], day)
     medians = pixel_medians(
-        seen,
-        placed,
-        (*PLACED, "pixel_id"),
-        {f"{b}_{w}": (b, w) for w in windows for b in bands},
-        heavy_rows,
+        placed, (*PLACED, "pixel_id"), {f"{b}_{w}": (b, w) for w in windows for b in bands}
     )
-    return medians.groupBy(*PLACED).agg(
+    return medians.groupBy(*KEY).agg(
         *[
             c
             for w in windows
@@ -396,7 +355,7 @@ def zonal_optical(
                 F.col(f"{b}_{w}"), f"{prefix}_{b}_{{stat}}_l{w}d", STATS, std
             )
         ]
-    ).drop("_chunk")
+    )
 
 
 def zonal_terrain(pixels: DataFrame, std: str = "pop") -> DataFrame:
@@ -424,9 +383,9 @@ def fire_count_window(
         .groupBy(*PLACED, "pixel_id")
         .agg(*[F.sum(_within(w, F.col("hits"))).alias(f"h_{w}") for w in windows])
     )
-    return per_pixel.groupBy(*PLACED).agg(
+    return per_pixel.groupBy(*KEY).agg(
         *[F.avg(f"h_{w}").alias(f"temporal_fire_count_l{w}d") for w in windows]
-    ).drop("_chunk")
+    )
 
 
 def burn_day(image_day: Column, doy: Column) -> Column:
@@ -475,7 +434,7 @@ def _burn_windows(obs, temporal, windows, day, doy):
             )
         ]
     )
-    return per_pixel.groupBy(*PLACED).agg(
+    return per_pixel.groupBy(*KEY).agg(
         *[
             c
             for w in windows
@@ -539,12 +498,12 @@ def landcover_fraction(
     modes = votes.groupBy(*PLACED, "pixel_id").agg(
         F.max_by(label, F.struct("n", -F.col(label))).alias("mode")
     )
-    return modes.groupBy(*PLACED).agg(
+    return modes.groupBy(*KEY).agg(
         *[
             F.avg((F.col("mode") == i).cast("double")).alias(f"landcover_{c}_fraction")
             for i, c in enumerate(classes)
         ]
-    ).drop("_chunk")
+    )
 
 
 def peat_fraction(pixels: DataFrame, value: str = "value") -> DataFrame:
@@ -590,7 +549,6 @@ def composite_nbr(
     cloud: str = "cloud_pct",
     nir: str = "b8",
     swir: str = "b12",
-    heavy_rows: int | None = None,
 ) -> DataFrame:
     """Burn ratio of clear-scene median composites before and after each distinct event.
 
@@ -618,7 +576,7 @@ def composite_nbr(
     )
     groups = ("patch_id", "event_date", "side", "pixel_id")
     spec = {"nir": (nir, None), "swir": (swir, None)}
-    medians = pixel_medians(seen, met, groups, spec, heavy_rows)
+    medians = pixel_medians(met.repartition(*groups), groups, spec)
     ratio = F.try_divide(F.col("nir") - F.col("swir"), F.col("nir") + F.col("swir"))
     return (
         medians.groupBy("patch_id", "event_date")

@@ -1,4 +1,5 @@
 import math
+import statistics
 from datetime import date, timedelta
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyrogrid.config import (
     SplitConfig,
     TemporalConfig,
 )
+from pyrogrid.functions.skew import with_parts
 from pyrogrid.sources import grid, nearest, panel, tables, zonal
 
 
@@ -209,12 +211,10 @@ def test_two_level_statistics_match_pandas(spark, stride, windows):
     obs = spark.createDataFrame(pdf)
     weather = zonal.zonal_weather(obs, t, bands=("v",)).toPandas()
     optical = zonal.zonal_optical(obs, t, bands=("v",)).toPandas()
-    ranked = zonal.zonal_optical(obs, t, bands=("v",), heavy_rows=95).toPandas()
     checks = 0
     for got, level, clear, prefix in (
         (weather, "mean", False, "weather"),
         (optical, "median", True, "optical"),
-        (ranked, "median", True, "optical"),
     ):
         rows = pdf[pdf.cloud_pct < 40] if clear else pdf
         for r in got.to_dict("records"):
@@ -237,6 +237,38 @@ def test_two_level_statistics_match_pandas(spark, stride, windows):
     assert checks > 300
 
 
+@pytest.mark.parametrize("partitions", ["1", "40"])
+def test_large_patches_are_cut_and_merged(spark, partitions):
+    """The same statistics whether a patch lies in one part or its pixels in many."""
+    rows = [("a", p, date(2020, 1, 1) + timedelta(days=d), float((p * 7 + d) % 13), 0) for p in range(30) for d in range(9)]
+    rows += [("b", 1, date(2020, 1, 2), 5.0, 0)]
+    obs = observations(spark, rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        parts = with_parts(obs, ["patch_id"], F.col("pixel_id"))
+        n_parts = {r[0]: r[1] for r in parts.groupBy("patch_id").agg(F.countDistinct("_part")).collect()}
+        got = zonal.zonal_weather(obs, temporal(), bands=("v",)).where("reference_date = '2020-01-08'")
+        got = {r.patch_id: r for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert n_parts["b"] == 1 and (n_parts["a"] > 10) == (partitions == "40")
+    means = [sum((p * 7 + d) % 13 for d in range(7)) / 7 for p in range(30)]
+    row = got["a"]
+    assert row.weather_v_mean_l7d == pytest.approx(statistics.fmean(means))
+    assert row.weather_v_std_l7d == pytest.approx(statistics.pstdev(means))
+    assert (row.weather_v_min_l7d, row.weather_v_max_l7d) == (min(means), max(means))
+
+
+def test_medians_of_one_long_group(spark):
+    values = [float((i * 7919) % 1001) for i in range(6000)] + [None] * 50
+    df = spark.createDataFrame([("g", v, i % 60) for i, v in enumerate(values)] + [("h", None, 1)], "g string, v double, gap int")
+    spec = {"all": ("v", None), "w9": ("v", 9)}
+    got = {r.g: (r["all"], r.w9) for r in zonal.pixel_medians(df, ["g"], spec).collect()}
+    near = [v for i, v in enumerate(values) if v is not None and i % 60 <= 9]
+    assert got == {"g": (statistics.median(v for v in values if v is not None), statistics.median(near)), "h": (None, None)}
+
+
 def test_empty_optical_window_gives_null_columns(spark):
     t = temporal()
     cloudy = observations(spark, [("0_0", 1, date(2019, 12, 31), 1.0, 40)])
