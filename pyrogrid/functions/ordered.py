@@ -20,19 +20,21 @@ BUCKET_ROWS = 500_000
 # A value is hot when it holds more than this share of all rows, hence at most 10 000 are hot.
 HOT_SHARE = 1e-4
 
-_BUCKET = "_bucket"
+BUCKET = "_bucket"
 
 
-def cut_points(df: DataFrame, value: str, bucket_rows: int | None = None) -> list[float]:
+def cut_points(
+    df: DataFrame, value: str, bucket_rows: int | None = None, least: int = 1
+) -> list[float]:
     """Approximate quantiles cutting ``value`` into buckets of about ``bucket_rows`` rows.
 
-    Cuts are taken among finite values; infinities fall into the end buckets.
+    At least ``least`` buckets are cut.  Cuts are taken among finite values; infinities fall into the end buckets.
     """
     bucket_rows = bucket_rows or BUCKET_ROWS
     v = F.col(value).cast("double")
     v = F.when(F.abs(v) < float("inf"), v)
     n = df.agg(F.count(v)).first()[0]
-    buckets = -(-n // bucket_rows)
+    buckets = max(-(-n // bucket_rows), min(least, n))
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
@@ -40,14 +42,15 @@ def cut_points(df: DataFrame, value: str, bucket_rows: int | None = None) -> lis
     return sorted(set(cuts))
 
 
-def _with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+def with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+    """Rows with the number of the value range between ``cuts`` they fall into, ascending."""
     if not cuts:
-        return df.withColumn(_BUCKET, F.lit(0))
+        return df.withColumn(BUCKET, F.lit(0))
     lead = "_lead"
     splits = [float("-inf"), *cuts, float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol=lead, outputCol=_BUCKET, handleInvalid="keep")
+    cutter = Bucketizer(splits=splits, inputCol=lead, outputCol=BUCKET, handleInvalid="keep")
     out = cutter.transform(df.withColumn(lead, F.col(value).cast("double")))
-    return out.withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(lead)
+    return out.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(lead)
 
 
 def ordered_prefix(
@@ -66,11 +69,11 @@ def ordered_prefix(
     cuts = cut_points(df, keys[0], bucket_rows)
     kept = df.dropna(subset=keys)
     dist = (
-        _with_bucket(kept, keys[0], cuts)
-        .groupBy(*by, _BUCKET, *keys)
+        with_bucket(kept, keys[0], cuts)
+        .groupBy(*by, BUCKET, *keys)
         .agg(*[F.sum(sums[n]).alias(n) for n in names])
     )
-    inside = W.partitionBy(*by, _BUCKET)
+    inside = W.partitionBy(*by, BUCKET)
     before = inside.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0)
     if not cuts:
@@ -83,18 +86,18 @@ def ordered_prefix(
         )
     # One row per (group, bucket).
     across = W.partitionBy(*by)
-    earlier = across.orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    earlier = across.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        dist.groupBy(*by, _BUCKET)
+        dist.groupBy(*by, BUCKET)
         .agg(*[F.sum(n).alias(n) for n in names])
         .select(
             *by,
-            _BUCKET,
+            BUCKET,
             *[F.coalesce(F.sum(n).over(earlier), zero).alias(f"_{n}_carry") for n in names],
             *[F.sum(n).over(across).alias(f"{n}_total") for n in names],
         )
     )
-    return dist.join(carried, [*by, _BUCKET]).select(
+    return dist.join(carried, [*by, BUCKET]).select(
         *by,
         *keys,
         *names,

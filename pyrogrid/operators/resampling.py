@@ -1,23 +1,34 @@
 """Bootstrap intervals of ROC metrics, by row or by whole patch.
 
-Replicates are weights, not copies: draws are counted per (replicate, index), the counts weight
-score histograms, and all replicates share one grouped prefix pass.
+Replicates are weights, not copies, and no draw is shuffled.  The score histogram is cut into value
+ranges; a task goes through its range in descending order with one vector entry for each replicate,
+and draws the counts of its cells, or of the patches it meets, by seeded binomial splitting.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pyrogrid.functions.ordered import attach_by_value, ordered_prefix
+from pyrogrid.functions.multinomial import EqualCells, generator, interval_counts
+from pyrogrid.functions.ordered import BUCKET, attach_by_value, cut_points, ordered_prefix, with_bucket
 from pyrogrid.operators.metrics import roc_from_table, score_table
+from pyrogrid.session import materialise
 
 # draw(replicate, j, n) -> index within [0, n)
 DrawFn = Callable[[Column, Column, Column], Column]
 
-MAX_LOOKUP_BLOCKS = 10_000_000
+# Cells whose replicate counts are in memory at a time.
+CELLS = 512
+# Scores of one task of the row bootstrap, at most.
+STRETCH = 1 << 17
+CLASSES = ("pos", "neg")
+SUMS = "rep long, n_pos double, n_neg double, wins double, gain double"
 
 
 def hashed_draw(seed: int) -> DrawFn:
@@ -56,6 +67,112 @@ def summarise(values: DataFrame, metric: str, level: float = 0.95) -> DataFrame:
     )
 
 
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+class RocSums:
+    """Sums of all replicates over cells that come in descending order of their score."""
+
+    def __init__(self, pos: np.ndarray, neg: np.ndarray):
+        """``pos`` and ``neg`` count what scores above the first cell."""
+        self.pos, self.neg = pos.astype(np.float64), neg.astype(np.float64)
+        self.wins, self.gain = np.zeros(len(pos)), np.zeros(len(pos))
+
+    def add(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Cells x replicates, one cell for each distinct score."""
+        above = self.pos + np.cumsum(pos, axis=0)
+        raised = above + self.neg + np.cumsum(neg, axis=0)
+        self.wins += (neg * (above - pos / 2)).sum(axis=0)
+        self.gain += (pos * np.divide(above, raised, out=np.zeros_like(raised), where=raised > 0)).sum(axis=0)
+        self.pos = above[-1]
+        self.neg = raised[-1] - above[-1]
+
+
+def _summed(found: DataFrame) -> DataFrame:
+    """Metrics of each replicate from the sums of its ranges; NaN when a class is missing."""
+    total = found.groupBy("rep").agg(
+        *[F.max(c).alias(c) for c in ("n_pos", "n_neg")], *[F.sum(c).alias(c) for c in ("wins", "gain")]
+    )
+    defined = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    nan = F.lit(float("nan"))
+    return total.select(
+        "rep",
+        F.when(defined, F.try_divide("wins", F.col("n_pos") * F.col("n_neg"))).otherwise(nan).alias("roc_auc"),
+        F.when(defined, F.try_divide("gain", F.col("n_pos"))).otherwise(nan).alias("pr_auc"),
+    )
+
+
+def _drawn_rows(rows, y, score, n_bootstrap, draw) -> DataFrame:
+    """Metrics of each replicate whose draws the caller computes.
+
+    Rows are numbered along (score, label), so a drawn number falls into the number range of one
+    (score, label) cell.  The lookup is an equi-join on blocks of numbers: uniform, hence even.
+    """
+    cells = ordered_prefix(rows, [score, y], {"n": F.lit(1)})
+    n = rows.count()
+    end = F.col("n_below") + F.col("n")
+    spread_ = cells.select(
+        score, y, "n_below", end.alias("end"),
+        F.explode(F.sequence(F.floor(F.col("n_below") / 1024), F.floor((end - 1) / 1024))).alias("block"),
+    )
+    drawn = draw_counts(rows.sparkSession, n_bootstrap, n, draw)
+    weighted = (
+        drawn.withColumn("block", F.floor(F.col("idx") / 1024))
+        .join(spread_, "block")
+        .where((F.col("idx") >= F.col("n_below")) & (F.col("idx") < F.col("end")))
+        .groupBy("rep", score, y)
+        .agg(F.sum("m").alias("m"))
+    )
+    return roc_from_table(score_table(weighted, y, score, by=["rep"], weight=F.col("m")), ["rep"])
+
+
+def _split_rows(rows, y, score, n_bootstrap, seed) -> DataFrame:
+    """Metrics of each replicate of a row bootstrap by multinomial splitting.
+
+    The draws are first split between the classes, then down a tree over each class's rows in
+    descending order of the score.  A task takes a stretch of scores and walks down to their
+    rows; what the replicates hold above its stretch is another interval of the same tree.  The
+    tree depends on the number of rows and the seed alone, so any layout gives the same counts.
+    """
+    table = materialise(score_table(rows.select(y, score), y, score), "scores")
+    number = F.col("pos_below") + F.col("neg_below")
+    most = F.least(
+        F.lit(STRETCH), F.ceil((F.col("pos_total") + F.col("neg_total")) / (16 * tasks(rows)))
+    )
+    stretches = table.withColumn("stretch", F.floor(number / most).cast("long"))
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(score, ascending=False)
+        sizes = [int(cell[f"{c}_total"].iloc[0]) for c in CLASSES]
+        draws = np.full(n_bootstrap, sum(sizes), np.int64)
+        n_pos = generator(seed).binomial(draws, sizes[0] / sum(sizes))
+        drawn = (n_pos, draws - n_pos)
+        counts = [cell[c].to_numpy(np.int64) for c in CLASSES]
+        above = [sizes[k] - cell[f"{c}_below"].to_numpy(np.int64) - counts[k] for k, c in enumerate(CLASSES)]
+        sums = None
+        for s in range(0, len(cell), CELLS):
+            some = []
+            for k in (0, 1):
+                first = above[k][s : s + CELLS]
+                # Cells without rows of a class are empty intervals.
+                edges = np.concatenate([[0], first, [first[-1] + counts[k][s : s + CELLS][-1], sizes[k]]])
+                wide = np.append(True, np.diff(edges) > 0)
+                found = np.zeros((len(edges) - 1, n_bootstrap), np.int64)
+                if sizes[k]:
+                    found[wide[1:]] = interval_counts(drawn[k], sizes[k], edges[wide], seed, k)
+                some.append(found[:-1])
+            if sums is None:
+                sums = RocSums(some[0][0], some[1][0])
+            sums.add(some[0][1:], some[1][1:])
+        return pd.DataFrame(
+            {"rep": np.arange(n_bootstrap), "n_pos": drawn[0], "n_neg": drawn[1], "wins": sums.wins, "gain": sums.gain}
+        )
+
+    stretches = stretches.repartition(tasks(rows), "stretch")
+    return _summed(stretches.groupBy("stretch").applyInPandas(run, SUMS))
+
+
 def bootstrap_metric(
     df: DataFrame,
     y: str,
@@ -66,37 +183,89 @@ def bootstrap_metric(
     level: float = 0.95,
     draw: DrawFn | None = None,
 ) -> DataFrame:
-    """Row bootstrap.
+    """Row bootstrap: as many draws with replacement as rows, for each replicate.
 
-    Rows are numbered along (score, label), so a drawn number falls into the number range of one
-    (score, label) cell.  The lookup is an equi-join on blocks of numbers: uniform, hence even.
+    Equal scores are one cell, so the work is replicates x distinct scores.  ``draw`` replaces
+    the seeded splitting by single draws of row numbers along (score, label).
     """
-    spark = df.sparkSession
     rows = df.dropna(subset=[y, score])
-    cells = ordered_prefix(rows, [score, y], {"n": F.lit(1)})
-    n = rows.count()
-    block = max(1024, -(-n // MAX_LOOKUP_BLOCKS))
-    end = F.col("n_below") + F.col("n")
-    spread = cells.select(
-        score,
-        y,
-        "n_below",
-        end.alias("end"),
-        F.explode(
-            F.sequence(F.floor(F.col("n_below") / block), F.floor((end - 1) / block))
-        ).alias("block"),
-    )
-    drawn = draw_counts(spark, n_bootstrap, n, draw or hashed_draw(seed)).withColumn(
-        "block", F.floor(F.col("idx") / block)
-    )
-    weighted = (
-        drawn.join(spread, "block")
-        .where((F.col("idx") >= F.col("n_below")) & (F.col("idx") < F.col("end")))
-        .groupBy("rep", score, y)
-        .agg(F.sum("m").alias("m"))
+    if draw is None:
+        values = _split_rows(rows, y, score, n_bootstrap, seed)
+    else:
+        values = _drawn_rows(rows, y, score, n_bootstrap, draw)
+    return summarise(values, metric, level)
+
+
+def _range_sums(placed: DataFrame, n_bootstrap: int, n: int, seed: int) -> DataFrame:
+    """``_bucket`` and the sums of each replicate over that value range.
+
+    ``placed`` holds ``_bucket, score, pos, neg, idx`` of patch ``idx`` at a score, and ``m``,
+    its multiplicities where the caller drew them.  A row with ``above`` opens its range: what the
+    replicates hold of both classes above it.  Ranges are read as a stream, so a score that very
+    many patches share needs no more memory.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        cells = EqualCells(n, n_bootstrap, seed)
+        at, sums, last, held = None, None, None, None
+
+        def out():
+            if held is not None:
+                sums.add(held[0][None], held[1][None])
+            return pa.RecordBatch.from_pydict(
+                {BUCKET: np.full(n_bootstrap, at, np.int32), "rep": np.arange(n_bootstrap), "n_pos": sums.pos,
+                 "n_neg": sums.neg, "wins": sums.wins, "gain": sums.gain}
+            )
+
+        for batch in batches:
+            frame = batch.to_pandas()
+            edges = np.flatnonzero(frame[BUCKET].diff().to_numpy() != 0)
+            for lo, hi in zip(edges, [*edges[1:], len(frame)], strict=True):
+                part = frame.iloc[lo:hi]
+                if part[BUCKET].iloc[0] != at:
+                    if at is not None:
+                        yield out()
+                    at, last, held = int(part[BUCKET].iloc[0]), None, None
+                    zero = np.zeros(n_bootstrap)
+                    sums = RocSums(zero, zero)
+                first = part["above"].iloc[0] if "above" in part else None
+                if first is not None:
+                    above = np.asarray(first).reshape(2, n_bootstrap)
+                    sums = RocSums(above[0], above[1])
+                    part = part.iloc[1:]
+                for s in range(0, len(part), CELLS):
+                    block = part.iloc[s : s + CELLS]
+                    if "m" in block:
+                        weight = np.stack(block["m"].to_numpy())
+                    else:
+                        idx, back = np.unique(block["idx"].to_numpy(np.int64), return_inverse=True)
+                        weight = cells.counts(idx)[back]
+                    scores = block["score"].to_numpy()
+                    starts = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
+                    pos, neg = (
+                        np.add.reduceat(block[c].to_numpy(np.float64)[:, None] * weight, starts)
+                        for c in ("pos", "neg")
+                    )
+                    if held is not None:
+                        if scores[0] == last:
+                            pos[0] += held[0]
+                            neg[0] += held[1]
+                        else:
+                            sums.add(held[0][None], held[1][None])
+                    last, held = scores[-1], (pos[-1], neg[-1])
+                    if len(pos) > 1:
+                        sums.add(pos[:-1], neg[:-1])
+        if at is not None:
+            yield out()
+
+    # The work of a row is that of all replicates, so the number of tasks does not follow the bytes.
+    head = [F.col("above").isNull()] if "above" in placed.columns else []
+    ordered = placed.repartition(tasks(placed), BUCKET).sortWithinPartitions(
+        BUCKET, *head, F.desc("score")
     )
-    table = score_table(weighted, y, score, by=["rep"], weight=F.col("m"))
-    return summarise(roc_from_table(table, ["rep"]), metric, level)
+    return ordered.mapInArrow(run, f"{BUCKET} int, {SUMS}")
 
 
 def block_bootstrap(
@@ -113,33 +282,62 @@ def block_bootstrap(
 ) -> DataFrame:
     """Resample whole patches with multiplicity.
 
-    Each patch carries a map from replicate to multiplicity (at most ``n_bootstrap`` entries),
-    attached to its score histogram; a patch holding a large share of the rows is not shuffled
-    for it.
+    What is shuffled is the histogram of (patch, score); a task turns it into a matrix of counts
+    by replicate with the multiplicities of the patches it meets.  Wins over the
+    negatives of other ranges follow from range totals; average precision, which is not linear in
+    them, takes a second pass that starts each range with the totals above it.  With ``draw`` the
+    multiplicities are the caller's and travel with the histogram.
     """
-    spark = df.sparkSession
     rows = df.dropna(subset=[patch, y, score])
     hit = F.col(y) == 1
     hist = rows.groupBy(patch, score).agg(
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
     )
+    hist = materialise(hist, "histogram")  # several passes read it
     sizes = hist.groupBy(patch).agg(F.count(F.lit(1)).alias("_cells"))
     keyed = sizes.withColumn("_order", F.xxhash64(patch) if order is None else order)
     index = ordered_prefix(keyed, ["_order", patch], {"n": F.lit(1), "_cells": F.col("_cells")})
+    index = index.withColumnRenamed("n_below", "idx").select(patch, "idx", "_cells", "_cells_total")
     n = sizes.count()
-    multiplicity = (
-        draw_counts(spark, n_bootstrap, n, draw or hashed_draw(seed))
-        .groupBy("idx")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rep", "m"))).alias("m"))
-        .withColumnRenamed("idx", "n_below")
-    )
-    weights = index.join(multiplicity, "n_below").select(patch, "m", "_cells", "_cells_total")
-    placed = attach_by_value(hist, weights, patch, "_cells", "_cells_total")
-    spread = placed.select(score, "pos", "neg", F.explode("m").alias("rep", "m"))
-    per_score = spread.groupBy("rep", score).agg(
-        F.sum(F.col("pos") * F.col("m")).alias("p"), F.sum(F.col("neg") * F.col("m")).alias("q")
-    )
-    table = ordered_prefix(
-        per_score, [score], {"pos": F.col("p"), "neg": F.col("q")}, by=["rep"]
-    )
-    return summarise(roc_from_table(table, ["rep"]), metric, level)
+    given = []
+    if draw is not None:
+        drawn = draw_counts(df.sparkSession, n_bootstrap, n, draw).groupBy("idx").agg(
+            F.map_from_entries(F.collect_list(F.struct("rep", "m"))).alias("_by_rep")
+        )
+        every = F.sequence(F.lit(0).cast("bigint"), F.lit(n_bootstrap - 1).cast("bigint"))
+        held = F.transform(every, lambda r: F.coalesce(F.try_element_at("_by_rep", r), F.lit(0).cast("bigint")))
+        empty = F.array_repeat(F.lit(0).cast("bigint"), n_bootstrap)
+        index = index.join(drawn, "idx", "left").withColumn(
+            "m", F.when(F.col("_by_rep").isNull(), empty).otherwise(held)
+        )
+        index, given = index.drop("_by_rep"), ["m"]
+    placed = with_bucket(
+        attach_by_value(hist, index, patch, "_cells", "_cells_total"),
+        score,
+        cut_points(hist, score, least=16 * tasks(df)),
+    ).select(BUCKET, F.col(score).cast("double").alias("score"), "pos", "neg", "idx", *given)
+    placed = materialise(placed, "histogram")
+    found = _range_sums(placed, n_bootstrap, n, seed)
+    higher = W.partitionBy("rep").orderBy(F.desc(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("rep")
+    carried = found.select(
+        BUCKET, "rep", "wins",
+        F.sum("n_pos").over(whole).alias("all_pos"), F.sum("n_neg").over(whole).alias("all_neg"), "n_neg",
+        *[F.coalesce(F.sum(c).over(higher), F.lit(0.0)).alias(f"above_{c}") for c in ("n_pos", "n_neg")],
+    )
+    if metric == "roc_auc":
+        sums = carried.select(
+            "rep", F.col("all_pos").alias("n_pos"), F.col("all_neg").alias("n_neg"),
+            (F.col("wins") + F.col("n_neg") * F.col("above_n_pos")).alias("wins"), F.lit(None).cast("double").alias("gain"),
+        )
+        return summarise(_summed(sums), metric, level)
+    # A list of structs gives a field's values in the order of the list.
+    listed = [
+        F.sort_array(F.collect_list(F.struct("rep", f"above_{c}"))).getField(f"above_{c}")
+        for c in ("n_pos", "n_neg")
+    ]
+    heads = carried.groupBy(BUCKET).agg(F.concat(*listed).alias("above"))
+    again = _range_sums(placed.unionByName(heads, allowMissingColumns=True), n_bootstrap, n, seed)
+    totals = carried.groupBy("rep").agg(F.max("all_pos").alias("n_pos"), F.max("all_neg").alias("n_neg"))
+    sums = again.select("rep", "wins", "gain").join(totals, "rep")
+    return summarise(_summed(sums), metric, level)

@@ -554,6 +554,17 @@ def patch_bootstrap(spark, sf):
     )
 
 
+@query("bootstrap_metric_full", BOOTSTRAP)
+def row_bootstrap_full(spark, sf):
+    """A thousand replicates, drawn by multinomial splitting."""
+    return resampling.bootstrap_metric(T.scored(spark, sf), Y, P)
+
+
+@query("block_bootstrap_full", BOOTSTRAP)
+def patch_bootstrap_full(spark, sf):
+    return resampling.block_bootstrap(T.scored(spark, sf), "patch_id", Y, P)
+
+
 # --- inverse propensity and losses
 
 

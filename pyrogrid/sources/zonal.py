@@ -151,19 +151,24 @@ def explode_to_spine(
 
 
 def explode_in_place(
-    df: DataFrame, temporal: TemporalConfig, first_ref: Column, last_ref: Column, reach_days: int
+    df: DataFrame,
+    temporal: TemporalConfig,
+    first_ref: Column,
+    last_ref: Column,
+    reach_days: int,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """As ``explode_to_spine``, shuffling rows before they multiply instead of afterwards.
 
     The spine is cut into chunks about twice as long as the reach, so a row goes to one or two of
     them.  Rows are partitioned by patch, chunk and pixel part and exploded there; every grouping
     that keeps these and the pixel then needs no further shuffle.  Only a patch that would fill a
-    task has more than one part.
+    task, by its rows in ``counted``, has more than one part.
     """
     size = max(8, -(-2 * reach_days // temporal.reference_stride_days))
     low, high = _spine_range(temporal, first_ref, last_ref)
     placed = (
-        with_parts(df, ["patch_id"], F.col("pixel_id"))
+        with_parts(df, ["patch_id"], F.col("pixel_id"), counted)
         .select("*", low.alias("_low"), high.alias("_high"))
         .where(F.col("_low") <= F.col("_high"))
         .withColumn(
@@ -192,11 +197,11 @@ def lookback_join(
 
 
 def _lookback_in_place(
-    df: DataFrame, temporal: TemporalConfig, window: int, day: str
+    df: DataFrame, temporal: TemporalConfig, window: int, day: str, counted: DataFrame | None = None
 ) -> DataFrame:
     d = F.col(day)
     return explode_in_place(
-        df, temporal, F.date_add(d, 1), F.date_add(d, window), window
+        df, temporal, F.date_add(d, 1), F.date_add(d, window), window, counted
     ).withColumn("gap", F.datediff("reference_date", d))
 
 
@@ -229,7 +234,7 @@ def zonal_weather(
     if weight:
         sums["weight"] = F.max(weight)
     binned = _binned(seen, temporal, windows, day, sums)
-    placed = _per_window(_lookback_in_place(binned, temporal, windows[-1], day), windows)
+    placed = _per_window(_lookback_in_place(binned, temporal, windows[-1], day, seen), windows)
     per_pixel = placed.groupBy(*PLACED, "window", "pixel_id").agg(
         *[F.try_divide(F.sum(f"s_{b}"), F.sum(f"c_{b}")).alias(b) for b in bands],
         *([F.max("weight").alias("weight")] if weight else []),
@@ -379,7 +384,7 @@ def fire_count_window(
     hits = F.sum(F.when(F.col(mask) >= FIRE_CONFIDENCE, 1).when(F.col(mask).isNotNull(), 0))
     binned = _binned(seen, temporal, windows, day, {"hits": hits})
     per_pixel = (
-        _lookback_in_place(binned, temporal, windows[-1], day)
+        _lookback_in_place(binned, temporal, windows[-1], day, seen)
         .groupBy(*PLACED, "pixel_id")
         .agg(*[F.sum(_within(w, F.col("hits"))).alias(f"h_{w}") for w in windows])
     )
@@ -411,7 +416,7 @@ def _burn_windows(obs, temporal, windows, day, doy):
     ).distinct()
     next_month = F.add_months("month", 1)
     placed = explode_in_place(
-        pairs, temporal, F.col("month"), F.date_add(next_month, longest - 1), longest + 31
+        pairs, temporal, F.col("month"), F.date_add(next_month, longest - 1), longest + 31, seen
     )
 
     def in_images(w):
@@ -491,7 +496,7 @@ def landcover_fraction(
     seen = visible(obs.where(F.col(label).isNotNull()), temporal, w, day)
     binned = _binned(seen, temporal, [w], day, {"n": F.count(F.lit(1))}, extra=(label,))
     votes = (
-        _lookback_in_place(binned, temporal, w, day)
+        _lookback_in_place(binned, temporal, w, day, seen)
         .groupBy(*PLACED, "pixel_id", label)
         .agg(F.sum("n").alias("n"))
     )

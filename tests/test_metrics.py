@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pyrogrid.functions import ordered
 from pyrogrid.functions.special import correlation_p_value, normal_two_sided
+from pyrogrid.functions.multinomial import EqualCells, generator, interval_counts
 from pyrogrid.operators import conformal, losses, metrics, models, resampling, roc
 
 Y6, P6 = [0, 0, 1, 1, 0, 1], [0.1, 0.2, 0.8, 0.9, 0.4, 0.7]
@@ -154,6 +155,86 @@ def test_bootstrap_counts_and_intervals(spark, scores):
         resampling.bootstrap_metric(df.where("y = 1"), "y", "a", n_bootstrap=3).collect()
 
 
+def weighted_roc(y, score, weight):
+    """Area and average precision of weighted rows, score by score."""
+    cells = sorted(set(score), reverse=True)
+    pos = [float(weight[(score == c) & (y == 1)].sum()) for c in cells]
+    neg = [float(weight[(score == c) & (y == 0)].sum()) for c in cells]
+    above = raised = wins = gain = 0.0
+    for p, q in zip(pos, neg, strict=True):
+        wins += q * (above + p / 2)
+        above, raised = above + p, raised + p + q
+        gain += p * above / raised if raised else 0.0
+    return wins / (sum(pos) * sum(neg)), gain / sum(pos)
+
+
+@pytest.mark.parametrize("metric", ["roc_auc", "pr_auc"])
+@pytest.mark.parametrize("drawn", [False, True])
+def test_block_replicates_are_weighted_metrics(spark, scores, metric, drawn):
+    """Replicates against brute force with the same multiplicities, over many value ranges."""
+    df = spark.createDataFrame(scores).withColumn("g", F.col("g").cast("long"))
+    patches = sorted(set(scores.g))
+    order = F.col("g")
+    n, b = len(patches), 20
+    if drawn:
+        draw = lambda rep, j, n: F.pmod(rep * 7919 + j * j * 31 + rep * j, n)
+        counts = np.zeros((n, b), int)
+        for r in resampling.draw_counts(spark, b, n, draw).collect():
+            counts[r.idx, r.rep] = r.m
+    else:
+        draw, counts = None, EqualCells(n, b, 42).counts(np.arange(n))
+        assert (counts.sum(axis=0) == n).all()
+    row = resampling.block_bootstrap(df, "g", "y", "a", metric, b, order=order, draw=draw).first()
+    place = scores.g.map({g: i for i, g in enumerate(patches)}).to_numpy()
+    values = [
+        weighted_roc(scores.y.to_numpy(), scores.a.to_numpy(), counts[place, r])[metric == "pr_auc"]
+        for r in range(b)
+    ]
+    assert row["mean"] == pytest.approx(np.mean(values), abs=1e-12)
+    assert row.lower == pytest.approx(np.quantile(values, 0.025), abs=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["roc_auc", "pr_auc"])
+def test_row_replicates_are_weighted_metrics(spark, scores, metric):
+    df = spark.createDataFrame(scores)
+    b, got = 20, []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("1", "13"):  # the layout changes nothing
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got.append(resampling.bootstrap_metric(df, "y", "a", metric, b).first())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].asDict() == pytest.approx(got[1].asDict(), abs=1e-12)
+    sizes = [int((scores.y == 1).sum()), int((scores.y == 0).sum())]
+    draws = np.full(b, len(scores))
+    n_pos = generator(42).binomial(draws, sizes[0] / len(scores))
+    y, score, rows = [], [], []
+    for k, label in enumerate((1, 0)):
+        part = np.sort(scores.a[scores.y == label].to_numpy())[::-1]
+        drawn = (n_pos, draws - n_pos)[k]
+        rows.append(interval_counts(drawn, sizes[k], np.arange(sizes[k] + 1), 42, k))
+        assert (rows[-1].sum(axis=0) == drawn).all()
+        y += [label] * sizes[k]
+        score += list(part)
+    weight = np.concatenate(rows)
+    values = [weighted_roc(np.array(y), np.array(score), weight[:, r])[metric == "pr_auc"] for r in range(b)]
+    assert got[0]["mean"] == pytest.approx(np.mean(values), abs=1e-12)
+
+
+def test_splitting_is_multinomial():
+    """Means and variances of cell counts, and agreement of wide and narrow intervals."""
+    n, b = 1000, 4000
+    draws = np.full(b, n)
+    fine = interval_counts(draws, n, np.arange(n + 1), 7)
+    wide = interval_counts(draws, n, np.array([0, 3, 500, 977, 1000]), 7)
+    assert (wide == np.add.reduceat(fine, [0, 3, 500, 977])).all()
+    assert (fine.sum(axis=0) == n).all()
+    assert abs(fine.mean(axis=1) - 1).max() < 0.1 and abs(fine.var(axis=1) - 1).max() < 0.2
+    assert np.corrcoef(wide[1], wide[2])[0, 1] < -0.8
+    one = EqualCells(n, b, 7, most_bytes=1)
+    some = np.array([0, 5, 17, 999])
+    assert (one.counts(some) == EqualCells(n, b, 7).counts(np.arange(n))[some]).all()
+
+
 def test_ipw_recovers_the_treated_mean(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=50_000)
