@@ -155,6 +155,20 @@ def test_bootstrap_counts_and_intervals(spark, scores):
         resampling.bootstrap_metric(df.where("y = 1"), "y", "a", n_bootstrap=3).collect()
 
 
+@pytest.mark.parametrize("width,margin,scale", [(1, 0.0, 10.0), (1, 0.3, 10.0), (40, 0.0, 10.0), (40, -7.5, 10.0),
+                                                (300, 120.0, 1.0), (1e6, 3.0, 10.0), (30, 0.5, -2.0), (5, 1.0, 0.0)])
+def test_ranking_loss_forms_all_pairs_at_any_range(spark, width, margin, scale):
+    rng = np.random.default_rng(4)
+    r = np.concatenate([rng.random(150) * width, np.full(20, 0.25 * width), [0.0, width]])
+    s = np.round(rng.random(len(r)), 1)
+    z = scale * (margin - (r[:, None] - r[None, :]))
+    loss = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+    pairs = s[:, None] > s[None, :]
+    got, n = losses.severity_pairs(frame(spark, r=r, s=s), "r", "s", margin, scale)
+    assert n == pairs.sum()
+    assert got == pytest.approx(loss[pairs].mean(), rel=1e-9, abs=1e-9)
+
+
 def weighted_roc(y, score, weight):
     """Area and average precision of weighted rows, score by score."""
     cells = sorted(set(score), reverse=True)
