@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +16,6 @@ ORDERS = (1, 2, 3, 4)
 BITS = 16
 SPAN = 1 << 18
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def buckets(codes: np.ndarray, order: int) -> np.ndarray:
@@ -56,7 +54,7 @@ class Model:
     log_prob: np.ndarray
 
     def score(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         total = self.prior.copy()
         for own in grams(text):
@@ -159,6 +157,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """Rows whose language is found with a posterior of ``least`` or more, columns unchanged."""
-    named = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    named = identify(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text"), model)
     kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)
     return named.where(kept).select("row.*")

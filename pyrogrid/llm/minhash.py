@@ -22,7 +22,8 @@ from pyrogrid.llm.common import (
 from pyrogrid.session import materialise
 
 GROUP_BYTES = 1 << 18
-LONG_WORD = 1 << 16
+# Longer words are hashed whole: polynomials modulo 2**64 collide on strings of regular structure.
+LONG_WORD = 256
 BAND_ROWS = 6  # minimum and maximum under each of three permutations
 MISS = 1e-5
 NO_ID = -(2**63)
@@ -383,6 +384,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     long texts are hashed in stretches.  Repeated rows are copies of each other; a null id sorts
     first.  An empty table gives no rows; further columns of ``docs`` are ignored.
     """
+    return grouped(docs, width, percent).drop("group")
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """As ``near_duplicates``, with ``group``, which tells components of one smallest id apart.
+
+    It is null for a row without shingles.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialise(signatures(docs, width, percent / 100), "signed")
     classes = materialise(
@@ -397,7 +406,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "node", "check", "n", F.coalesce("component", "node").alias("group"), "rep._k"
     )
     lowest = placed.groupBy("group").agg(F.min("_k").alias("component_id"))
-    placed = placed.drop("_k").join(lowest, "group").select("node", "check", "n", "component_id")
+    placed = placed.drop("_k").join(lowest, "group").select("node", "check", "n", "component_id", "group")
     component = F.coalesce("component_id", "_k")
     ident = F.nullif(F.col("_k"), F.lit(NO_ID))
     return (
@@ -406,15 +415,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .select(
             ident.alias("doc_id"), F.col("n").alias("n_shingles"),
             F.nullif(component, F.lit(NO_ID)).alias("component_id"),
-            (F.col("_k") == component).alias("kept"), "_k", "_h",
+            (F.col("_k") == component).alias("kept"), "_k", "_h", "group",
         )
     )
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near duplicates, the one with the smallest id; columns unchanged."""
-    kept = near_duplicates(docs, width, percent).where("kept").select("_k", "_h").distinct()
-    row = F.struct(*docs.columns).alias("_row")
+    """One row of each group of near duplicates, the one with the smallest id; columns unchanged.
+
+    Of rows with that id the one with the smallest hash stays, so null and repeated ids keep one
+    row of a group too.  Rows without words stay, repeated ones once.  An empty table gives no rows.
+    """
+    alone = F.when(F.col("group").isNull(), F.struct("_k", "_h"))
+    kept = (
+        grouped(docs, width, percent)
+        .groupBy("group", alone.alias("alone"))
+        .agg(F.min(F.struct("_k", "_h")).alias("first"))
+        .select("first._k", "first._h")
+    )
+    row = F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row")
     joined = docs.select(row, *row_key("doc_id", "text")).join(kept, ["_k", "_h"])
     return joined.dropDuplicates(["_k", "_h"]).select("_row.*")
 

@@ -149,7 +149,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         .agg(F.max(copies).alias("_copies"))
         .where("_copies > 0")
     )
-    row = F.struct(*docs.columns).alias("_row")
+    row = F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row")
     return (
         docs.select(row, *own)
         .join(counts, ["_k", "_h"])

@@ -40,6 +40,8 @@ def exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * queries.shape[1]
     if bound < 2**53:
         return (queries @ rows.T).astype(np.int64)
+    if not bound < 2**63:
+        raise OverflowError("scores of these vectors exceed 64 bits")
     return queries.astype(np.int64) @ rows.astype(np.int64).T
 
 
@@ -81,8 +83,8 @@ def top_k(
     bounds from 1, 4 and 16 segments rule pairs out before exact scores are computed.
 
     Vectors that are null, or hold null or non-finite components, take no part, nor do two vectors
-    of different length meet.  Ties go to the smaller id, null ids first; repeated rows are
-    candidates of their own and queries once; an empty table gives no rows; further columns are
+    of different length meet.  Vectors whose scores could exceed 64 bits raise an error.  Ties go to the smaller id, null ids first; repeated rows are
+    candidates of their own and queries once, with the smallest vector of their id; an empty table gives no rows; further columns are
     ignored.
     """
     spark = vectors.sparkSession
@@ -97,7 +99,8 @@ def top_k(
     )
     n = rows.count()
     n_blocks = shard_count(n, block_rows)
-    asks = rows.where((F.col("id") % every == 0) & (F.col("id") != NO_ID)).dropDuplicates(["id", "dim"])
+    asks = rows.where((F.col("id") % every == 0) & (F.col("id") != NO_ID))
+    asks = asks.groupBy("id", "dim").agg(F.min("vector").alias("vector"))
     n_asks = shard_count(shard_count(n, every), query_rows)
     share = min(1.0, sample_rows / max(n, 1))
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).toPandas()

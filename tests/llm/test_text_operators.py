@@ -398,3 +398,36 @@ def test_empty_tables(docs_of):
     assert mixing.mix_counts(none).count() == 0 and mixing.mixed(none).count() == 0
     assert token_counts.token_counts(none).count() == 0
     assert set(CLASH) < set(none.columns)
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 100_000])
+def test_words_of_regular_structure_do_not_collide(spark, docs_of, n):
+    docs = docs_of([(1, thue_morse(n)), (2, thue_morse(n, 1)), (3, thue_morse(n) + " x y z"), (4, thue_morse(n))])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_near_dedup_keeps_one_row_of_equal_ids(spark, docs_of):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:59], "other"])
+    rows = [(None, " ".join(base)), (None, near), (5, "a b c d e f g"), (5, "quite another text of six words"),
+            (6, " ".join(base)), (7, None), (8, "")]
+    docs = docs_of(rows).selectExpr("*", "'x' AS `a.b`")
+    kept = minhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    texts = [r.text for r in kept.collect()]
+    assert sum(t in (" ".join(base), near) for t in texts if t) == 1 and len(texts) == 5
+
+
+def test_numbers_are_no_letters(spark, docs_of):
+    rows = [(i, "the quick brown fox jumps over the dog", "en", "a") for i in range(40)]
+    model = langid.fit(docs_of(rows))
+    odd = docs_of([(1, "½ ² 12 _"), (2, "日本"), (3, "½a"), (4, None)])
+    got = {r.doc_id: r.lang_pred for r in langid.identify(odd, model).collect()}
+    assert (got[1], got[4]) == ("und", "und") and got[2] != "und" and got[3] != "und"
+    kept = langid.keep_identified(odd.selectExpr("*", "1 AS `a.b`"), model)
+    assert 1 not in {r.doc_id for r in kept.collect()}

@@ -141,3 +141,11 @@ def test_archive_round_trip(spark, tmp_path, chunk):
     assert chunks.where(f"n > {chunk}").count() == 0
     empty = warc.archived(pages.limit(0), str(tmp_path / "b"))
     assert empty.count() == 0
+
+
+def test_scores_beyond_64_bits_are_refused():
+    small = np.array([[3.0, -4.0]])
+    assert topk.exact(small, small).tolist() == [[25]]
+    big = np.full((1, 2), 64e8)
+    with pytest.raises(OverflowError):
+        topk.exact(big, big)
