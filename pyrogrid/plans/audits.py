@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyrogrid.sources.tables import absent
 from pyrogrid.config import DataConfig
 from pyrogrid.operators import conformal
+from pyrogrid.operators.gram import medians, moments, score_fits
 from pyrogrid.operators.guard import (
     feature_columns,
     features_by_namespace,
@@ -55,6 +56,7 @@ from pyrogrid.session import in_parallel, materialise
 # Default block sizes, windows and the smallest sample an audit fits on.
 BLOCK_SIZES_KM = (10, 25, 50, 100)
 LOOKBACK_WINDOWS = (7, 14, 30, 60)
+REGRESSION_NAMES = ("rmse", "mae", "r2", "bias")
 MIN_AUDIT_ROWS = 10
 MIN_CALIBRATION_ROWS = 20
 
@@ -227,8 +229,16 @@ def source_ablation(
     target: str,
     features: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Test metrics with one feature namespace left out at a time."""
+    """Test metrics with one feature namespace left out at a time.
+
+    Least-squares fits, which take no parameters, come from one set of cross products.
+    """
     features = list(features or feature_columns(df))
+    if family == "logreg" and task == "regression" and not params:
+        curves = linear_curves(df, target, features, windows=())
+        return curves.where("curve = 'source'").select(
+            F.col("step").alias("removed_namespace"), *REGRESSION_NAMES
+        ).orderBy("removed_namespace")
     train, test = in_split(df, "train"), in_split(df, "test")
     metric = classification_metrics if task == "classification" else regression_metrics
 
@@ -255,7 +265,14 @@ def lookback_ablation(
     horizon_days: int,
     windows: Sequence[int] = LOOKBACK_WINDOWS,
 ) -> DataFrame:
-    """Test metrics with look-back windows capped at each value; capped columns are not read."""
+    """Test metrics with look-back windows capped at each value; capped columns are not read.
+
+    Least-squares fits, which take no parameters, come from one set of cross products.
+    """
+    if family == "logreg" and task == "regression" and not params:
+        known = df.where(F.col("y_sev_available") == 1)
+        curves = linear_curves(known, windows=windows).where("curve = 'lookback'")
+        return curves.select(F.col("step").cast("int").alias("max_window_days"), *REGRESSION_NAMES)
     frames = []
     for w in windows:
         run = fit_predict(max_window_projection(df, w), family, task, params, horizon_days)
@@ -263,6 +280,73 @@ def lookback_ablation(
     return union_rows(frames)
 
 
+def linear_curves(
+    df: DataFrame,
+    target: str = "y_sev_dnbr",
+    features: Sequence[str] | None = None,
+    windows: Sequence[int] = LOOKBACK_WINDOWS,
+    buffers: Sequence[int] = (),
+    fold: str | None = None,
+) -> DataFrame:
+    """``curve, step, n, rmse, mae, r2, bias``: every least-squares refit of the audits at once.
+
+    ``source`` leaves out one namespace at a time, ``lookback`` caps the windows, ``buffer`` tests
+    the full fit on test rows that start so many days after the validation period ends,
+    and ``fold`` fits without one value of the column ``fold`` and tests on it.  All fits come from one
+    set of cross products: buffers and splits are unions of cells, a fold is the total less a cell.
+    Missing features take the median of their training rows.  Fits without a training row, a known
+    feature or a test row have no row here; rows without a target are not used.
+    """
+    features = list(features or feature_columns(df))
+    rows = df.where(F.col(target).isNotNull())
+    buffers = sorted(buffers)
+    part = F.col("split").cast("string")
+    if buffers:
+        last = rows.where("split IN ('train', 'val')").agg(F.max("reference_date")).first()[0]
+        days = F.datediff(F.col("reference_date").cast("date"), F.lit(last))
+        reached = F.size(F.filter(F.array(*map(F.lit, buffers)), lambda b: b < days))
+        part = F.when(part == "test", F.concat(F.lit("test"), reached.cast("string"))).otherwise(part)
+    rows = rows.withColumn("_cell", F.concat_ws("/", part, F.coalesce(F.col(fold).cast("string"), F.lit("")) if fold else F.lit("")))
+    rows = materialise(rows.select("_cell", "split", *([F.col(fold).alias("_fold")] if fold else []), target, *features), "cells")
+    train = in_split(rows, "train")
+    fill = medians(train, features)
+    found = moments(rows, features, target, "_cell", fill)
+    cells = sorted(found.cells)
+    of = lambda name: [c for c in cells if c.split("/")[0].rstrip("0123456789") == name]
+    trained, tested = found.total(of("train")), of("test")
+    fits = {}
+
+    def add(curve, step, products, names, values, test):
+        if names and test and products[0, 0] > 0:
+            try:
+                fits[f"{curve}/{step}"] = (found.solve(products, names, values), test)
+            except ValueError:
+                return
+
+    for namespace, removed in features_by_namespace(features).items():
+        add("source", namespace, trained, [f for f in features if f not in removed], fill, tested)
+    for w in windows:
+        capped = [f for f in features if f in max_window_projection(rows, w).columns]
+        add("lookback", w, trained, capped, fill, tested)
+    for i, b in enumerate(buffers):
+        reach = [c for c in tested if int(c.split("/")[0][4:]) > i]
+        add("buffer", b, trained, features, fill, reach)
+    if fold:
+        every = found.total(cells)
+        folds = sorted({c.split("/", 1)[1] for c in cells} - {""})
+        values = in_parallel(
+            df.sparkSession,
+            [partial(medians, rows.where(~F.coalesce(F.col("_fold").cast("string") == f, F.lit(False))), features) for f in folds],
+        )
+        for f, own in zip(folds, values, strict=True):
+            inside = [c for c in cells if c.split("/", 1)[1] == f]
+            add("fold", f, every - found.total(inside), features, own, inside)
+    name = F.split("fit", "/", 2)
+    return score_fits(rows, features, target, "_cell", fits).select(
+        F.get(name, F.lit(0)).alias("curve"), F.get(name, F.lit(1)).alias("step"), "n", "rmse", "mae", "r2", "bias"
+    )
+
+
 def model_comparison(
     df: DataFrame, families: dict[str, dict], task: str, horizon_days: int
 ) -> DataFrame:
@@ -364,14 +448,21 @@ def leakage_report(
     buffers: Sequence[int] | None = None,
     block_sizes_km: Sequence[int] = BLOCK_SIZES_KM,
     folder: str | None = None,
+    callbacks: tuple[TrainFn, EvalFn] | None = None,
+    order=None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Temporal and spatial leakage curves, optionally written as CSV tables."""
-    features, target = feature_columns(split), occurrence_column(horizon_days)
-    train_fn, evaluate_fn = occurrence_callbacks(features, target, family, params)
+    """Temporal and spatial leakage curves, optionally written as CSV tables.
+
+    ``callbacks`` replaces the model family, ``order`` the hashed order of the blocks.
+    """
+    if callbacks is None:
+        target = occurrence_column(horizon_days)
+        callbacks = occurrence_callbacks(feature_columns(split), target, family, params)
+    train_fn, evaluate_fn = callbacks
     temporal = leakage_curve(
         panel, train_fn, evaluate_fn, horizon_days, buffers, boundaries, uses_val=False
     )
-    spatial = spatial_leakage(split, train_fn, evaluate_fn, block_sizes_km, grid_km)
+    spatial = spatial_leakage(split, train_fn, evaluate_fn, block_sizes_km, grid_km, order=order)
     if folder is not None:
         for name, table in (("temporal", temporal), ("spatial", spatial)):
             table.coalesce(1).write.mode("overwrite").option("header", True).csv(

@@ -770,6 +770,7 @@ def rate_callbacks():
 
 
 BUFFERS = (0, 30, 60, 90)
+ALL_BUFFERS = range(0, 2 * HORIZON + 1, 5)
 BOUNDS = (date(1998, 12, 31), date(2000, 6, 30))
 
 
@@ -780,22 +781,23 @@ def _rate_auc_sql(train: str, test: str) -> str:
     return f"SELECT {AUC_SQL} FROM ({counts})"
 
 
-CURVE_ROWS = " UNION ALL ".join(
-    f"""SELECT {b} AS buffer_days, ({_rate_auc_sql(
+def _curve_rows(buffers) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {b} AS buffer_days, ({_rate_auc_sql(
         f"SELECT * FROM scored WHERE reference_date <= {DATES[0]}",
         f"SELECT * FROM scored WHERE reference_date > {DATES[1]} + {b}")}) AS roc_auc,
     count_if(reference_date <= {DATES[0]}) AS n_train,
     count_if(reference_date > {DATES[0]} + {b} AND reference_date <= {DATES[1]}) AS n_val,
     count_if(reference_date > {DATES[1]} + {b}) AS n_test,
     {max(0, HORIZON - b)} AS type2_overlap_days FROM scored"""
-    for b in BUFFERS
-)
+        for b in buffers
+    )
 
 
 @query(
     "leakage_curve",
     "buffer_days:i roc_auc:f n_train:i n_val:i n_test:i type2_overlap_days:i",
-    with_tables(CURVE_ROWS, "scored"),
+    with_tables(_curve_rows(BUFFERS), "scored"),
 )
 def curve(spark, sf):
     train, evaluate = rate_callbacks()
@@ -807,9 +809,10 @@ def curve(spark, sf):
 @query(
     "leakage_curve_full",
     "buffer_days:i roc_auc:f n_train:i n_val:i n_test:i type2_overlap_days:i",
+    with_tables(_curve_rows(ALL_BUFFERS), "scored"),
 )
 def full_curve(spark, sf):
-    """All default buffers; the twin of ``leakage_curve`` has four."""
+    """All default buffers."""
     train, evaluate = rate_callbacks()
     return audits.leakage_curve(
         T.scored(spark, sf), train, evaluate, HORIZON, boundaries=BOUNDS, uses_val=False
@@ -843,9 +846,56 @@ def spatial_curve(spark, sf):
     return audits.spatial_leakage(rows, train, evaluate, (10, 20), 10, order=arithmetic_order)
 
 
-@query("spatial_leakage_full", "block_size_km:i mean_auc:f std_auc:f n_folds:i")
+def _scored_folds_sql(km: int) -> str:
+    """Areas of the folds with enough rows on both sides; a small grid has fewer than five."""
+    folded = f"({_cv_sql(max(1, km // 10), 'scored')})"
+    return " UNION ALL ".join(
+        f"""SELECT {km} AS block_size_km, CASE WHEN (SELECT least(count_if(fold = {i}), count_if(fold <> {i}))
+          FROM {folded}) >= {audits.MIN_AUDIT_ROWS} THEN ({_rate_auc_sql(
+            f"SELECT * FROM {folded} WHERE fold <> {i}", f"SELECT * FROM {folded} WHERE fold = {i}"
+        )}) END AS auc"""
+        for i in range(5)
+    )
+
+
+ALL_SIZES_SQL = (
+    "SELECT block_size_km, avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc, count(*) AS n_folds FROM ("
+    + " UNION ALL ".join(map(_scored_folds_sql, audits.BLOCK_SIZES_KM))
+    + ") WHERE auc IS NOT NULL GROUP BY block_size_km"
+)
+
+
+@query(
+    "leakage_report",
+    "curve step:i auc:f",
+    with_tables(
+        f"""SELECT 'temporal' AS curve, buffer_days AS step, roc_auc AS auc FROM ({_curve_rows(ALL_BUFFERS)})
+        UNION ALL SELECT 'spatial', block_size_km, mean_auc FROM ({ALL_SIZES_SQL})""",
+        "scored",
+    ),
+)
+def base_rate_report(spark, sf):
+    """Both curves of the base rates; ``leakage_report_panel`` refits a model of the wide panel."""
+    rows = T.scored(spark, sf)
+    return report_rows(
+        audits.leakage_report(
+            rows, rows, HORIZON, "", {}, BOUNDS, callbacks=rate_callbacks(), order=arithmetic_order
+        )
+    )
+
+
+def report_rows(curves):
+    temporal, spatial = curves
+    return temporal.select(
+        F.lit("temporal").alias("curve"), F.col("buffer_days").alias("step"), F.col("roc_auc").alias("auc")
+    ).unionByName(
+        spatial.select(F.lit("spatial").alias("curve"), F.col("block_size_km").alias("step"), F.col("mean_auc").alias("auc"))
+    )
+
+
+@query("spatial_leakage_full", "block_size_km:i mean_auc:f std_auc:f n_folds:i", with_tables(ALL_SIZES_SQL, "scored"))
 def full_spatial_curve(spark, sf):
-    """All default block sizes; the twin of ``spatial_leakage`` has two."""
+    """All default block sizes."""
     train, evaluate = rate_callbacks()
     rows = T.scored(spark, sf).drop("split")
     return audits.spatial_leakage(rows, train, evaluate, order=arithmetic_order)

@@ -15,6 +15,7 @@ from pyrogrid.operators.metrics import METRIC_NAMES
 from pyrogrid.plans import audits
 from pyrogrid.plans import inputs as T
 from pyrogrid.plans.inputs import HORIZON, SPLIT, with_tables
+from pyrogrid.plans.queries_evaluation import report_rows
 from pyrogrid.plans.registry import KEY, fields, query
 
 TARGET = "y_occ_30d"
@@ -232,16 +233,95 @@ def weighted_leaf_risk(spark, sf):
     return _levels(found.predictions, "risk_score", ["patch_id"])
 
 
+# --- least-squares refits from one set of cross products
+
+
+NEAR_X, FAR_Z = "weather_x_mean_l7d", "optical_z_mean_l30d"
+BUFFERS = tuple(range(0, 2 * HORIZON + 1, 5))
+CURVES = f"curve step n:i {REGRESSED}"
+
+
+def two_features(spark, sf):
+    """Known severities with one short and one long look-back feature, folds by patch."""
+    return T.scored(spark, sf).select(
+        *PANEL_KEY, "split", "y_sev_dnbr", "y_sev_available", (F.col("patch_key") % 5).alias("fold"),
+        F.col("occurrence_prediction").alias(NEAR_X), F.col("sigma").alias(FAR_Z),
+    )
+
+
+KNOWN = """(SELECT split, reference_date, patch_key % 5 AS fold, y_sev_dnbr AS y,
+      occurrence_prediction AS x, sigma AS z FROM scored WHERE y_sev_dnbr IS NOT NULL) known"""
+
+
+def _line_sql(curve, step, train, test, x=True, z=True):
+    """Metrics of a plane (or line) through the training rows, by the normal equations."""
+    plane = f"(szz * sxy - sxz * szy) / (sxx * szz - sxz * sxz) AS bx, (sxx * szy - sxz * sxy) / (sxx * szz - sxz * sxz) AS bz"
+    line = {(True, True): plane, (True, False): "sxy / sxx AS bx, 0 AS bz", (False, True): "0 AS bx, szy / szz AS bz"}
+    return f"""SELECT '{curve}' AS curve, '{step}' AS step, count(*) AS n, sqrt(avg(e * e)) AS rmse,
+      avg(abs(e)) AS mae, 1 - avg(e * e) / var_pop(y) AS r2, avg(e) AS bias
+    FROM (SELECT y, my + bx * (x - mx) + bz * (z - mz) - y AS e FROM {KNOWN},
+      (SELECT *, {line[x, z]} FROM (
+        SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS sxx, var_pop(z) AS szz,
+          covar_pop(x, z) AS sxz, covar_pop(x, y) AS sxy, covar_pop(z, y) AS szy FROM {KNOWN} WHERE {train}))
+      WHERE {test}) HAVING count(*) > 0"""
+
+
+def _curves_sql(chosen, step="curve, step"):
+    train, test = "split = 'train'", "split = 'test'"
+    edge = f"(SELECT max(reference_date) FROM {KNOWN} WHERE split IN ('train', 'val'))"
+    parts = {
+        "source": [("source", "weather", train, test, False, True), ("source", "optical", train, test, True, False)],
+        "lookback": [("lookback", w, train, test, True, w >= 30) for w in audits.LOOKBACK_WINDOWS],
+        "buffer": [("buffer", b, train, f"{test} AND reference_date - {edge} > {b}") for b in BUFFERS],
+        "fold": [("fold", f, f"fold <> {f}", f"fold = {f}") for f in range(5)],
+    }
+    unions = " UNION ALL ".join(_line_sql(*p) for c in chosen for p in parts[c])
+    return with_tables(f"SELECT {step}, n, rmse, mae, r2, bias FROM ({unions})", "scored")
+
+
+@query("linear_curves", CURVES, _curves_sql(["source", "lookback", "buffer", "fold"]))
+def refits(spark, sf):
+    """Source, look-back, buffer and fold refits of a two-feature least-squares fit."""
+    return audits.linear_curves(two_features(spark, sf), buffers=BUFFERS, fold="fold")
+
+
+@query("linear_curves_panel", CURVES)
+def panel_refits(spark, sf):
+    """All refits of the wide panel's severity model."""
+    panel = T.model_panel(spark, sf).withColumn("fold", F.pmod(F.xxhash64("patch_id"), F.lit(5)))
+    return audits.linear_curves(panel.where("y_sev_available = 1"), buffers=BUFFERS, fold="fold")
+
+
 # --- ablations and experiments
 
 
-@query("source_ablation", f"removed_namespace {CLASSIFIED}")
+@query(
+    "source_ablation",
+    f"removed_namespace {REGRESSED}",
+    _curves_sql(["source"], "step AS removed_namespace"),
+)
+def linear_namespaces(spark, sf):
+    """Least squares without one namespace; ``source_ablation_panel`` refits the wide classifier."""
+    return audits.source_ablation(two_features(spark, sf), "logreg", "regression", {}, "y_sev_dnbr")
+
+
+@query(
+    "lookback_ablation",
+    f"max_window_days:i {REGRESSED}",
+    _curves_sql(["lookback"], "step AS max_window_days"),
+)
+def linear_lookbacks(spark, sf):
+    """Least squares on capped windows; ``lookback_ablation_panel`` refits the wide classifier."""
+    return audits.lookback_ablation(two_features(spark, sf), "logreg", "regression", {}, HORIZON)
+
+
+@query("source_ablation_panel", f"removed_namespace {CLASSIFIED}")
 def namespaces(spark, sf):
     panel = T.model_panel(spark, sf)
     return audits.source_ablation(panel, "logreg", "classification", PARAMS["logreg"], TARGET)
 
 
-@query("lookback_ablation", f"max_window_days:i {CLASSIFIED}")
+@query("lookback_ablation_panel", f"max_window_days:i {CLASSIFIED}")
 def lookbacks(spark, sf):
     panel = T.model_panel(spark, sf)
     return audits.lookback_ablation(
@@ -278,22 +358,11 @@ def conformal_intervals(spark, sf):
     return summary
 
 
-@query("leakage_report", "curve step:i auc:f")
+@query("leakage_report_panel", "curve step:i auc:f")
 def report(spark, sf):
     panel = T.model_panel(spark, sf)
-    temporal, spatial = audits.leakage_report(
-        panel.drop("split"), panel, HORIZON, "logreg", PARAMS["logreg"], BOUNDARIES
-    )
-    return temporal.select(
-        F.lit("temporal").alias("curve"),
-        F.col("buffer_days").alias("step"),
-        F.col("roc_auc").alias("auc"),
-    ).unionByName(
-        spatial.select(
-            F.lit("spatial").alias("curve"),
-            F.col("block_size_km").alias("step"),
-            F.col("mean_auc").alias("auc"),
-        )
+    return report_rows(
+        audits.leakage_report(panel.drop("split"), panel, HORIZON, "logreg", PARAMS["logreg"], BOUNDARIES)
     )
 
 
