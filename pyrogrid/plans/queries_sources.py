@@ -656,6 +656,24 @@ def rivers(spark, sf):
     return nearest.nearest_river(_centres(spark, sf), _roads(spark, sf), x="x1", y="y1")
 
 
+@query(
+    "nearest_river_lines",
+    "patch_id anthropogenic_dist_to_river_m:f",
+    f"""WITH c AS ({CENTRE_SQL}), s0 AS ({ROAD_SQL}),
+    n AS (SELECT c.patch_id, c.x, c.y, x1, y1, ex AS dx, ey AS dy FROM c JOIN s0
+      ON x1 BETWEEN c.x - 0.6 AND c.x + 0.6 AND y1 BETWEEN c.y - 0.6 AND c.y + 0.6),
+    t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE,
+      least(1.0::DOUBLE, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) END AS t FROM n),
+    f AS (SELECT patch_id, min(sqrt(pow(x - x1 - t * dx, 2) + pow(y - y1 - t * dy, 2))) AS d FROM t
+      GROUP BY patch_id)
+    SELECT c.patch_id, CASE WHEN d <= {REACH} THEN d * 111000.0 END AS anthropogenic_dist_to_river_m
+    FROM c LEFT JOIN f ON f.patch_id = c.patch_id""",
+)
+def river_lines(spark, sf):
+    """Rivers as lines from each vertex to the next."""
+    return nearest.nearest_river(_centres(spark, sf), _roads(spark, sf), x="x1", y="y1", to=("x2", "y2"))
+
+
 @query(
     "nearest_settlement",
     "patch_id anthropogenic_dist_to_settlement_km:f",

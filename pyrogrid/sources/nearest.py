@@ -1,11 +1,13 @@
 """Distances from patch centroids to roads, rivers and settlements.
 
-Both sides are bound to square cells as wide as the search radius, so everything within reach of
-a patch lies in its 3 x 3 neighbourhood and the range join becomes an equi-join on the cell.  The
-patch side (one row per patch, times nine cells) is the one that is replicated.  Identical
-geometries are collapsed first, and a cell's features are dealt over salts, so a cell or a copy
-that holds a large share of all features is worked on by many tasks; the minimum and the sum are
-combined before they are shuffled to the patch.
+The nearest feature is found by narrowing cells.  Features are bound to square cells so small that
+the fullest holds few of them; a patch starts with the large cells around it and goes down to the
+occupied cells inside, keeping those that may hold something nearer than what some cell surely
+holds.  So a patch meets the features of a few small cells, however many lie within its radius.
+
+Sums over a radius meet all features in the 3 x 3 cells of that size.  There the patch side (one row
+per patch, times nine cells) is replicated; identical geometries are collapsed first, and a cell
+that holds a large share of all features is cut into parts.
 """
 
 from __future__ import annotations
@@ -13,8 +15,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pyrogrid.functions.skew import large_keys, with_parts
+from pyrogrid.session import materialise
+
 # Kilometres per degree, search radius, density radius and the default distance.
 KM_PER_DEGREE = 111.0
 SEARCH_RADIUS_KM = 50.0
@@ -22,7 +28,9 @@ DENSITY_RADIUS_DEGREES = 10 / 111.0
 NO_SETTLEMENT_KM = 50.0
 METRES = 1000.0
 
-SALTS = 8
+# The smallest cells hold about this many features; their side is the radius halved so often at most.
+CELL_FEATURES = 32
+HALVINGS = 12
 
 
 def point_distance(x: Column, y: Column, px: Column, py: Column) -> Column:
@@ -31,19 +39,112 @@ def point_distance(x: Column, y: Column, px: Column, py: Column) -> Column:
 
 def segment_distance(x: Column, y: Column) -> Column:
     """Planar distance from (x, y) to the segment (x1, y1)-(x2, y2)."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return _segment(x, y, *map(F.col, ("x1", "y1", "x2", "y2")))
+
+
+def _segment(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    dx, dy = x2 - x1, y2 - y1
     length2 = dx * dx + dy * dy
-    along = F.coalesce(
-        F.try_divide((x - F.col("x1")) * dx + (y - F.col("y1")) * dy, length2), F.lit(0.0)
-    )
+    along = F.coalesce(F.try_divide((x - x1) * dx + (y - y1) * dy, length2), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    return point_distance(x, y, F.col("x1") + t * dx, F.col("y1") + t * dy)
+    return point_distance(x, y, x1 + t * dx, y1 + t * dy)
 
 
 def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size)
 
 
+def _halvings(x: Column, y: Column, features: DataFrame, size: float) -> int:
+    """How often to halve the cells until the fullest one holds ``CELL_FEATURES`` at most.
+
+    Levels go in twos.  Counts are rolled up from the smallest cells, one row per level comes back.
+    """
+    fine = size / 2**HALVINGS
+    cells = features.groupBy(_cell(x, fine).alias("_cx"), _cell(y, fine).alias("_cy")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    up = F.explode(F.array(*[F.lit(k) for k in range(0, HALVINGS + 1, 2)])).alias("up")
+    fullest = (
+        cells.select(up, "_cx", "_cy", "n")
+        .groupBy("up", F.expr("shiftright(_cx, up)").alias("_cx"), F.expr("shiftright(_cy, up)").alias("_cy"))
+        .agg(F.sum("n").alias("n"))
+        .groupBy("up")
+        .agg(F.max("n").alias("n"))
+        .collect()
+    )
+    return min((HALVINGS - r["up"] for r in fullest if r["n"] <= CELL_FEATURES), default=HALVINGS)
+
+
+def _side(v: str, c: str, g: float) -> tuple[Column, Column]:
+    """Least and largest distance along one axis from a place to a cell."""
+    low, high = F.col(c) * g, (F.col(c) + 1) * g
+    v = F.col(v)
+    return F.greatest(low - v, v - high, F.lit(0.0)), F.greatest(F.abs(v - low), F.abs(v - high))
+
+
+def _nearest(
+    patches: DataFrame, features: DataFrame, ends: Sequence[str], size: float, lon: str, lat: str
+) -> DataFrame:
+    """``patch_id, d``: distance to the nearest point (two ``ends``) or segment (four) within ``size``.
+
+    A segment is bound to the cells of pieces no longer than a cell; a piece may pass beside a
+    cell that its bounding box touches, but no farther than one cell.
+    """
+    line = len(ends) == 4
+    x1, y1 = F.col(ends[0]), F.col(ends[1])
+    x2, y2 = (F.col(ends[2]), F.col(ends[3])) if line else (x1, y1)
+    distinct = features.select(*ends).dropna().distinct()
+    levels = _halvings((x1 + x2) / 2, (y1 + y2) / 2, distinct, size)
+    fine = size / 2**levels
+    if line:
+        pieces = F.greatest(F.ceil(point_distance(x1, y1, x2, y2) / fine), F.lit(1))
+        cut = distinct.withColumn("_k", pieces).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+        from_, to = (F.col("_i") - 1) / F.col("_k"), F.col("_i") / F.col("_k")
+        box = [(a + f * (b - a)) for a, b in ((x1, x2), (y1, y2)) for f in (from_, to)]
+        across = [
+            F.explode(F.sequence(_cell(F.least(p, q), fine), _cell(F.greatest(p, q), fine)))
+            for p, q in (box[:2], box[2:])
+        ]
+        bound = cut.withColumn("_cx", across[0]).withColumn("_cy", across[1]).select(*ends, "_cx", "_cy").distinct()
+    else:
+        bound = distinct.select(*ends, _cell(x1, fine).alias("_cx"), _cell(y1, fine).alias("_cy"))
+    bound = materialise(bound, "cells")
+    slack = fine if line else 0.0
+
+    at = patches.select("patch_id", F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y")).dropna()
+    found = None
+    for level in range(0, levels + 1, 2):
+        g = size / 2**level
+        occupied = bound.select(
+            *[F.expr(f"shiftright({c}, {levels - level})").alias(c) for c in ("_cx", "_cy")]
+        ).distinct()
+        if found is None:
+            steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+            found = (
+                at.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
+                .select("patch_id", "_x", "_y", (_cell(F.col("_x"), g) + F.col("_dx")).alias("_cx"),
+                        (_cell(F.col("_y"), g) + F.col("_dy")).alias("_cy"))
+                .join(occupied, ["_cx", "_cy"])
+            )
+        else:
+            inner = occupied.select(
+                "_cx", "_cy", F.expr("shiftright(_cx, 2)").alias("_px"), F.expr("shiftright(_cy, 2)").alias("_py")
+            )
+            found = found.withColumnsRenamed({"_cx": "_px", "_cy": "_py"}).join(inner, ["_px", "_py"])
+        (nx, fx), (ny, fy) = _side("_x", "_cx", g), _side("_y", "_cy", g)
+        sure = F.min(F.sqrt(fx * fx + fy * fy) + slack).over(W.partitionBy("patch_id"))
+        # Rounding of the cell edges must not rule a cell out.
+        found = (
+            found.select("patch_id", "_x", "_y", "_cx", "_cy", F.sqrt(nx * nx + ny * ny).alias("_near"), sure.alias("_sure"))
+            .where((F.col("_near") <= F.col("_sure") * (1 + 1e-9)) & (F.col("_near") <= size * (1 + 1e-9)))
+            .drop("_near", "_sure")
+        )
+    met = found.join(bound, ["_cx", "_cy"])
+    x, y = F.col("_x"), F.col("_y")
+    d = _segment(x, y, x1, y1, x2, y2) if line else point_distance(x, y, x1, y1)
+    return met.select("patch_id", d.alias("d")).where(F.col("d") <= size).groupBy("patch_id").agg(F.min("d").alias("d"))
+
+
 def _reachable(
     patches: DataFrame,
     features: DataFrame,
@@ -51,7 +152,6 @@ def _reachable(
     high: tuple[Column, Column],
     identity: Sequence[str],
     size: float,
-    salts: int,
     lon: str,
     lat: str,
 ) -> DataFrame:
@@ -66,11 +166,11 @@ def _reachable(
         _cell(low[1], size).alias("_fy"),
         _cell(high[0], size).alias("_gx"),
         _cell(high[1], size).alias("_gy"),
-        F.pmod(F.xxhash64(*identity), F.lit(salts)).cast("int").alias("_salt"),
     )
     placed = placed.withColumn("_cx", F.explode(F.sequence("_fx", "_gx"))).withColumn(
         "_cy", F.explode(F.sequence("_fy", "_gy"))
     )
+    cell = ["_cx", "_cy"]
     px, py = _cell(F.col(lon), size), _cell(F.col(lat), size)
     around = patches.select(
         "patch_id",
@@ -81,10 +181,9 @@ def _reachable(
         F.explode(F.sequence(px - 1, px + 1)).alias("_cx"),
     )
     around = around.withColumn("_cy", F.explode(F.sequence("_py", F.col("_py") + 2)))
-    around = around.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return placed.join(around, ["_cx", "_cy", "_salt"]).where(
+    parts = F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1)
+    around = around.join(F.broadcast(large_keys(placed, cell)), cell, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return with_parts(placed, cell, F.struct(*identity)).join(around, [*cell, "_part"]).where(
         (F.col("_cx") == F.greatest("_px", "_fx")) & (F.col("_cy") == F.greatest("_py", "_fy"))
     )
 
@@ -95,7 +194,6 @@ def nearest_road(
     lon: str = "centroid_lon",
     lat: str = "centroid_lat",
     radius_km: float = SEARCH_RADIUS_KM,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Distance to the nearest road segment and road length close by.
 
@@ -104,33 +202,25 @@ def nearest_road(
     """
     size = radius_km / KM_PER_DEGREE
     ends = ("x1", "y1", "x2", "y2")
+    nearest = _nearest(patches, segments, ends, size, lon, lat)
     distinct = segments.groupBy(*ends).agg(F.count(F.lit(1)).alias("copies"))
     low = (F.least("x1", "x2"), F.least("y1", "y2"))
     high = (F.greatest("x1", "x2"), F.greatest("y1", "y2"))
-    near = (
-        _reachable(patches, distinct, low, high, ends, size, salts, lon, lat)
-        .withColumn("d", segment_distance(F.col("_x"), F.col("_y")))
-        .where(F.col("d") <= size)
-    )
+    density = min(DENSITY_RADIUS_DEGREES, size)
+    d = segment_distance(F.col("_x"), F.col("_y"))
     length = point_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    close = F.when(F.col("d") < DENSITY_RADIUS_DEGREES, length * F.col("copies")).otherwise(0.0)
-    found = near.groupBy("patch_id").agg(
-        (F.min("d") * KM_PER_DEGREE).alias("anthropogenic_dist_to_road_km"),
-        (F.sum(close) * KM_PER_DEGREE).alias("anthropogenic_road_density_km"),
-    )
-    return patches.select("patch_id").join(found, "patch_id", "left")
-
-
-def _nearest_point(patches, points, x, y, lon, lat, radius_km, salts) -> DataFrame:
-    size = radius_km / KM_PER_DEGREE
-    distinct = points.select(x, y).distinct()
-    at = (F.col(x), F.col(y))
-    return (
-        _reachable(patches, distinct, at, at, (x, y), size, salts, lon, lat)
-        .withColumn("d", point_distance(F.col("_x"), F.col("_y"), *at))
-        .where(F.col("d") <= size)
+    close = (
+        _reachable(patches, distinct, low, high, ends, density, lon, lat)
+        .where((d < DENSITY_RADIUS_DEGREES) & (d <= size))
         .groupBy("patch_id")
-        .agg((F.min("d") * KM_PER_DEGREE).alias("km"))
+        .agg(F.sum(length * F.col("copies")).alias("length"))
+    )
+    return patches.select("patch_id").join(nearest, "patch_id", "left").join(close, "patch_id", "left").select(
+        "patch_id",
+        (F.col("d") * KM_PER_DEGREE).alias("anthropogenic_dist_to_road_km"),
+        F.when(F.col("d").isNotNull(), F.coalesce("length", F.lit(0.0)) * KM_PER_DEGREE).alias(
+            "anthropogenic_road_density_km"
+        ),
     )
 
 
@@ -142,13 +232,16 @@ def nearest_river(
     lon: str = "centroid_lon",
     lat: str = "centroid_lat",
     radius_km: float = SEARCH_RADIUS_KM,
-    salts: int = SALTS,
+    to: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Distance in metres to the nearest river vertex; NULL without one within reach."""
-    found = _nearest_point(patches, rivers, x, y, lon, lat, radius_km, salts)
+    """Distance in metres to the nearest river; NULL without one within reach.
+
+    Rivers are vertices ``x, y``, or with ``to`` lines from there to the columns it names.
+    """
+    found = _nearest(patches, rivers, (x, y, *(to or ())), radius_km / KM_PER_DEGREE, lon, lat)
     return patches.select("patch_id").join(
         found.select(
-            "patch_id", (F.col("km") * METRES).alias("anthropogenic_dist_to_river_m")
+            "patch_id", (F.col("d") * KM_PER_DEGREE * METRES).alias("anthropogenic_dist_to_river_m")
         ),
         "patch_id",
         "left",
@@ -164,12 +257,12 @@ def nearest_settlement(
     lon: str = "centroid_lon",
     lat: str = "centroid_lat",
     radius_km: float = SEARCH_RADIUS_KM,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Distance to the nearest city, town or village; 50 km when none is within reach."""
     settled = places.where(F.col(kind).isin("city", "town", "village"))
-    found = _nearest_point(patches, settled, x, y, lon, lat, radius_km, salts)
+    found = _nearest(patches, settled, (x, y), radius_km / KM_PER_DEGREE, lon, lat)
+    km = F.col("d") * KM_PER_DEGREE
     return patches.select("patch_id").join(found, "patch_id", "left").select(
         "patch_id",
-        F.coalesce("km", F.lit(NO_SETTLEMENT_KM)).alias("anthropogenic_dist_to_settlement_km"),
+        F.coalesce(km, F.lit(NO_SETTLEMENT_KM)).alias("anthropogenic_dist_to_settlement_km"),
     )

@@ -347,6 +347,42 @@ def test_nearest_against_brute_force(spark):
     assert {r[1] for r in alone} == {50.0}
 
 
+@pytest.mark.parametrize("crowd", [0, 4000])
+def test_nearest_in_crowds_and_deserts(spark, crowd):
+    """Dense towns, long lines, lone features at the edge of reach, against all distances."""
+    import numpy as np
+
+    rng = np.random.default_rng(crowd)
+    town = rng.normal([10.0, 5.0], 0.003, size=(crowd, 2))
+    points = np.concatenate([town, rng.uniform([9, 4], [11, 6], (30, 2)), [[-0.3, -0.2], [-0.3, -0.2]]])
+    ends = points + rng.normal(0, 0.002, points.shape)
+    ends[-20:] = points[-20:] + rng.uniform(-1.5, 1.5, (20, 2))  # far longer than a cell
+    at = np.concatenate([rng.uniform([9, 4], [11, 6], (40, 2)), town[:3], [[0.0, 0.0], [0.15, -0.2], [30, 30]]])
+    patches = spark.createDataFrame(
+        [(str(i), float(x), float(y)) for i, (x, y) in enumerate(at)], "patch_id string, centroid_lon double, centroid_lat double"
+    )
+    lines = spark.createDataFrame(np.hstack([points, ends]).tolist(), "x1 double, y1 double, x2 double, y2 double")
+    reach = 50 / 111.0
+    away = ends - points
+    long2 = (away**2).sum(axis=1)
+    t = np.clip(((at[:, None] - points) * away).sum(axis=2) / np.where(long2 > 0, long2, 1), 0, 1)
+    to_line = np.linalg.norm(at[:, None] - points - t[..., None] * away, axis=2)
+    to_point = np.linalg.norm(at[:, None] - points, axis=2)
+    roads = {r.patch_id: r for r in nearest.nearest_road(patches, lines).collect()}
+    rivers = {r.patch_id: r[1] for r in nearest.nearest_river(patches, lines, "x1", "y1", to=("x2", "y2")).collect()}
+    vertices = {r.patch_id: r[1] for r in nearest.nearest_river(patches, lines, "x1", "y1").collect()}
+    unique = np.unique(np.hstack([points, ends]), axis=0, return_index=True)[1]
+    assert len(unique) >= len(points) - 1
+    for i in range(len(at)):
+        line, point = to_line[i].min(), to_point[i].min()
+        assert rivers[str(i)] == (pytest.approx(line * 111_000) if line <= reach else None)
+        assert vertices[str(i)] == (pytest.approx(point * 111_000) if point <= reach else None)
+        near = to_line[i] < 10 / 111.0
+        want = (np.sqrt(long2) * near).sum() * 111 if line <= reach else None
+        assert roads[str(i)].anthropogenic_road_density_km == (None if want is None else pytest.approx(want))
+        assert roads[str(i)].anthropogenic_dist_to_road_km == (None if want is None else pytest.approx(line * 111))
+
+
 def test_stage_preference_and_manifest(spark, tmp_path):
     folder = str(tmp_path)
     with pytest.raises(FileNotFoundError):
