@@ -9,7 +9,7 @@ from pyrogrid.operators.metrics import regression_metrics
 from pyrogrid.operators.splits import spatial_blocks
 from pyrogrid.plans import inputs as T
 from pyrogrid.plans.inputs import TEMPORAL, WINDOWS, with_tables
-from pyrogrid.plans.registry import KEY, fields, query
+from pyrogrid.plans.registry import KEY, REGISTRY, fields, query
 from pyrogrid.session import scratch_path
 from pyrogrid.sources import nearest, panel, tables, zonal
 from pyrogrid.sources.grid import assign_patch, patch_grid
@@ -574,6 +574,63 @@ def population(spark, sf):
     return zonal.population_stats(layers, TEMPORAL)
 
 
+# --- the panel with all sources
+
+DATED = (
+    "zonal_weather", "zonal_optical", "fire_count_window", "burn_window", "observed_burn",
+    "landcover_fraction", "population_stats",
+)
+BURNED = [f"temporal_burn_{c}_l{w}d" for w in WINDOWS for c in ("count", "timestamp", "date")]
+OBSERVED = ["modis_burn_timestamp", "modis_burn_date"]
+PEOPLE = ["human_population_mean", "human_population_max"]
+WIDE = " ".join(
+    [SKELETON, fields(TERRAIN_NAMES), "peat_fraction:f", fields(_stat_names("weather", zonal.WEATHER_BANDS, WINDOWS)), OPTICAL]
+    + [fields(f"temporal_fire_count_l{w}d" for w in WINDOWS)]
+    + [f"{c}:{'d' if '_date' in c else 'f'}" for c in (*BURNED, *OBSERVED)]
+    + [fields(SHARES), fields(PEOPLE)]
+)
+
+
+def _wide_sql() -> str:
+    """The twins of the sources joined to the skeleton."""
+    static = [("zonal_terrain", "*"), ("peat_fraction", "patch_id, raster_mean AS peat_fraction")]
+    joins = [
+        f"LEFT JOIN (SELECT {c} FROM ({REGISTRY[n].sql})) USING (patch_id)" for n, c in static
+    ] + [f"LEFT JOIN ({REGISTRY[n].sql}) USING (patch_id, reference_date)" for n in DATED]
+    return f"SELECT * FROM ({REGISTRY['panel_skeleton'].sql}) " + " ".join(joins)
+
+
+@query("panel_assemble_full", WIDE, _wide_sql())
+def panel_of_all_sources(spark, sf):
+    """All eight sources with all their bands.
+
+    Every dated source ends partitioned by the panel key, so only the skeleton is exchanged to
+    join them.
+    """
+    obs, pixels = T.observations(spark, sf), T.static_pixels(spark, sf)
+    layers = obs.select(
+        "patch_id", "pixel_id", F.year("obs_date").alias("year"), F.col("q").alias("population")
+    )
+
+    def burns():
+        found = zonal.burn_window(obs, TEMPORAL)
+        return found.join(zonal.observed_burn(obs, TEMPORAL), list(panel.PANEL_KEY), "full")
+
+    made = {
+        "srtm": (lambda: zonal.zonal_terrain(pixels), TERRAIN_NAMES),
+        "peat": (lambda: zonal.peat_fraction(pixels, "peat"), ["peat_fraction"]),
+        "era5": (lambda: zonal.zonal_weather(obs, TEMPORAL), _stat_names("weather", zonal.WEATHER_BANDS, WINDOWS)),
+        "sentinel2": (lambda: zonal.zonal_optical(obs, TEMPORAL), _stat_names("optical", zonal.OPTICAL_BANDS, WINDOWS)),
+        "modis_fire": (lambda: zonal.fire_count_window(obs, TEMPORAL), [f"temporal_fire_count_l{w}d" for w in WINDOWS]),
+        "modis_burn": (burns, [*BURNED, *OBSERVED]),
+        "dynamic_world": (lambda: zonal.landcover_fraction(obs, TEMPORAL), SHARES),
+        "worldpop": (lambda: zonal.population_stats(layers, TEMPORAL), PEOPLE),
+    }
+    registry = {n: panel.PanelSource(b, c, static=n in ("srtm", "peat")) for n, (b, c) in made.items()}
+    sources = [SourceConfig(n) for n in registry]
+    return panel.assemble_panel(T.grid(spark, sf), TEMPORAL, registry, sources)
+
+
 # --- nearest features
 
 CENTRE_SQL = (
