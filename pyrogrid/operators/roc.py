@@ -18,9 +18,14 @@ from pyrogrid.operators.metrics import metrics_row, score_table
 
 
 def _components(table: DataFrame) -> tuple[Column, Column]:
-    beaten = F.try_divide(F.col("neg_below") + F.col("neg") / 2, F.col("neg_total"))
-    above = 1 - F.try_divide(F.col("pos_below") + F.col("pos") / 2, F.col("pos_total"))
-    return beaten, above
+    """The shares that are missing from a positive's and a negative's component.
+
+    Those of a good score are small numbers, whose moments do not cancel as those of numbers
+    near 1 do; a covariance is the same for both.
+    """
+    missed = F.col("neg_total") - F.col("neg_below") - F.col("neg") / 2
+    lost = F.col("pos_below") + F.col("pos") / 2
+    return F.try_divide(missed, F.col("neg_total")), F.try_divide(lost, F.col("pos_total"))
 
 
 def _sample_cov(w: Column, a: Column, b: Column, count: Column) -> Column:
@@ -31,17 +36,23 @@ def _sample_cov(w: Column, a: Column, b: Column, count: Column) -> Column:
 
 def delong_variance(df: DataFrame, y: str, score: str) -> DataFrame:
     table = score_table(df, y, score)
-    v01, v10 = _components(table)
-    parts = table.select("pos", "neg", v01.alias("v01"), v10.alias("v10"))
+    missed, lost = _components(table)
+    neg, pos = F.col("neg_below") + F.col("neg") / 2, F.col("pos_total") - F.col("pos_below") - F.col("pos") / 2
+    parts = table.select(
+        "pos", "neg", missed.alias("missed"), lost.alias("lost"),
+        F.try_divide(neg, F.col("neg_total")).alias("v01"), F.try_divide(pos, F.col("pos_total")).alias("v10"),
+    )
     pos, neg = F.col("pos"), F.col("neg")
     m, n = F.sum(pos), F.sum(neg)
-    return parts.agg(
-        F.try_divide(F.sum(pos * F.col("v01")), m).alias("auc"),
-        (
-            F.try_divide(_sample_cov(pos, F.col("v01"), F.col("v01"), m), m)
-            + F.try_divide(_sample_cov(neg, F.col("v10"), F.col("v10"), n), n)
-        ).alias("variance"),
-    )
+
+    def variance(one: str, other: str) -> Column:
+        one, other = F.col(one), F.col(other)
+        spread = F.try_divide(_sample_cov(pos, one, one, m), m)
+        return spread + F.try_divide(_sample_cov(neg, other, other, n), n)
+
+    auc = F.try_divide(F.sum(pos * F.col("v01")), m)
+    small = F.when(auc > 0.5, variance("missed", "lost")).otherwise(variance("v01", "v10"))
+    return parts.agg(auc.alias("auc"), small.alias("variance"))
 
 
 def delong_test(df: DataFrame, y: str, score_a: str, score_b: str) -> DataFrame:
@@ -53,32 +64,33 @@ def delong_test(df: DataFrame, y: str, score_a: str, score_b: str) -> DataFrame:
     )
     for name, score in (("a", score_a), ("b", score_b)):
         table = score_table(rows, y, score)
-        v01, v10 = _components(table)
+        missed, lost = _components(table)
         table = table.select(
             score,
             (F.col("pos") + F.col("neg")).alias("n"),
             (F.col("pos_total") + F.col("neg_total")).alias("total"),
-            v01.alias(f"v01{name}"),
-            v10.alias(f"v10{name}"),
+            missed.alias(f"missed_{name}"),
+            lost.alias(f"lost_{name}"),
         )
         pairs = attach_by_value(pairs, table, score, "n", "total")
     p, q = F.col("p"), F.col("q")
     m, n = F.sum(p), F.sum(q)
 
     # Moments of the difference itself: those of nearly equal scores would cancel.
-    above, below = F.col("v01a") - F.col("v01b"), F.col("v10a") - F.col("v10b")
+    above = F.col("missed_b") - F.col("missed_a")
+    below = F.col("lost_b") - F.col("lost_a")
     spread = F.try_divide(_sample_cov(p, above, above, m), m)
     spread = spread + F.try_divide(_sample_cov(q, below, below, n), n)
 
     row = pairs.agg(
-        F.try_divide(F.sum(p * F.col("v01a")), m).alias("auc_a"),
-        F.try_divide(F.sum(p * F.col("v01b")), m).alias("auc_b"),
+        *[(1 - F.try_divide(F.sum(p * F.col(f"missed_{x}")), m)).alias(f"auc_{x}") for x in "ab"],
+        F.try_divide(F.sum(p * above), m).alias("gap"),
         spread.alias("var"),
     ).first()
     if row["auc_a"] is None or row["auc_b"] is None:  # one class only
         nan = float("nan")
         return metrics_row(df.sparkSession, dict.fromkeys(("auc_a", "auc_b", "z", "p_value"), nan))
-    gap, var = abs(row["auc_a"] - row["auc_b"]), row["var"]
+    gap, var = abs(row["gap"]), row["var"]
     z = gap / math.sqrt(var) if var is not None and var > 0 else 0.0
     return metrics_row(
         df.sparkSession,

@@ -137,6 +137,33 @@ def test_delong_against_the_definition(spark, scores):
     assert (same.z, same.p_value) == (0.0, 1.0)
 
 
+@pytest.mark.parametrize("flip", [False, True])
+def test_delong_of_nearly_perfect_scores(spark, flip):
+    """One inverted pair among 3000: raw moments near 1 would lose most digits."""
+    k = 1500
+    y = np.repeat([0, 1], k)
+    a = np.concatenate([np.arange(k), np.arange(k) + k]).astype(float)
+    a[k - 1], a[k] = a[k], a[k - 1]
+    b = a.copy()
+    b[0], b[k + 7] = b[k + 7], b[0]
+    if flip:
+        a, b = -a, -b
+    df = frame(spark, y=y, a=a, b=b)
+
+    def parts(s):
+        d = s[y == 1][:, None] - s[y == 0][None, :]
+        wins = (d > 0) + 0.5 * (d == 0)
+        missed = 1 - wins if not flip else wins
+        return missed.mean(axis=1), missed.mean(axis=0)
+
+    (a1, a0), (b1, b0) = parts(a), parts(b)
+    one = roc.delong_variance(df, "y", "a").first()
+    assert one.variance == pytest.approx(a1.var(ddof=1) / k + a0.var(ddof=1) / k, rel=1e-11)
+    two = roc.delong_test(df, "y", "a", "b").first()
+    var = (a1 - b1).var(ddof=1) / k + (a0 - b0).var(ddof=1) / k
+    assert two.z == pytest.approx(abs(a1.mean() - b1.mean()) / math.sqrt(var), rel=1e-9)
+
+
 def test_bootstrap_counts_and_intervals(spark, scores):
     df = spark.createDataFrame(scores)
     auc = auc_by_pairs(scores.y.to_numpy(), scores.a.to_numpy())
