@@ -35,23 +35,42 @@ def shard_count(rows: int, per_shard: int) -> int:
 
 # ------------------------------------------------------------------ fingerprints of byte strings
 
-# Odd, so invertible modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BLOCK = 1 << 16
+P = (1 << 61) - 1  # a prime, so strings of regular structure do not collide
+BASES = (0x1E3779B97F4A7C15, 0x02B2AE3D27D4EB4F)
+STRETCH = 1 << 22  # so many terms are summed before they are reduced
+BITS = np.uint64(61)
+LOW = np.uint64((1 << 32) - 1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo the prime."""
+    x = (x & np.uint64(P)) + (x >> BITS)
+    return np.where(x >= np.uint64(P), x - np.uint64(P), x)
+
+
+def shifted(x: np.ndarray) -> np.ndarray:
+    """``x * 2**32`` for values below 2**62, as a number below 2**62: 2**61 counts as 1."""
+    return (x >> np.uint64(29)) + ((x & np.uint64((1 << 29) - 1)) << np.uint64(32))
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 32 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(32), a & LOW, b >> np.uint64(32), b & LOW
+    low = a0 * b0
+    middle = shifted(a1 * b0 + a0 * b1)
+    return reduced(a1 * b1 * np.uint64(8) + middle + (low & np.uint64(P)) + (low >> BITS))
 
 
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers modulo 2**64, kept between calls up to a million of them."""
-    known = _POWERS.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 16), base, np.uint64)
-        known[0] = 1
-        known = np.multiply.accumulate(known)
-        if n <= 1 << 20:
-            _POWERS[base] = known
+    """The first ``n`` powers modulo the prime, kept between calls up to a million of them."""
+    known = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(known) < n:
+        known = np.concatenate([known, product(known, np.uint64(pow(base, len(known), P)))])
+    if len(known) <= 1 << 20:
+        _POWERS[base] = known
     return known[:n]
 
 
@@ -66,7 +85,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Polynomial prefix sums of one byte string, modulo 2**64.
+    """Polynomial prefix sums of one byte string, modulo a prime.
 
     ``at(lo, hi)`` is the fingerprint of ``bytes[lo:hi]`` for arrays of bounds: equal strings have
     equal fingerprints wherever they start.
@@ -75,20 +94,32 @@ class Prefix:
     def __init__(self, data: np.ndarray, which: int = 0):
         base = BASES[which]
         n = len(data)
-        self.inverse = _powers(pow(base, -1, 1 << 64), n + 1)
+        self.inverse = _powers(pow(base, -1, P), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        terms = (data.astype(np.uint64) + np.uint64(1)) * _powers(base, n + 1)[:n]
-        np.cumsum(terms, out=self.sums[1:])
+        powers = _powers(base, n + 1)
+        for at in range(0, n, STRETCH):
+            terms = data[at : at + STRETCH].astype(np.uint64) + np.uint64(1)
+            own = powers[at : at + len(terms)]
+            high = np.cumsum(terms * (own >> np.uint64(32)))
+            low = np.cumsum(terms * (own & LOW))
+            self.sums[at + 1 : at + 1 + len(terms)] = reduced(
+                shifted(high) + (low & np.uint64(P)) + (low >> BITS) + self.sums[at]
+            )
+
+    def between(self, low: np.ndarray, high: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return product(reduced(high + (np.uint64(P) - low)), inverse)
 
     def at(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + (hi - lo).astype(np.uint64))
+        value = self.between(self.sums[lo], self.sums[hi], self.inverse[lo])
+        return mix(value + (hi - lo).astype(np.uint64))
 
     def runs(self, length: int) -> np.ndarray:
         """Fingerprints of all strings of ``length`` bytes, by start."""
         n = len(self.sums) - length
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n] + np.uint64(length))
+        value = self.between(self.sums[:n], self.sums[length:], self.inverse[:n])
+        return mix(value + np.uint64(length))
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

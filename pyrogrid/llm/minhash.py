@@ -22,7 +22,7 @@ from pyrogrid.llm.common import (
 from pyrogrid.session import materialise
 
 GROUP_BYTES = 1 << 18
-# Longer words are hashed whole: polynomials modulo 2**64 collide on strings of regular structure.
+# Longer words are hashed one by one, so that stretches of words stay short.
 LONG_WORD = 256
 BAND_ROWS = 6  # minimum and maximum under each of three permutations
 MISS = 1e-5

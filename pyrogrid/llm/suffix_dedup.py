@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pyrogrid.llm.common import Prefix, as_long, row_key, table, text_bytes
-from pyrogrid.session import materialise
+from pyrogrid.session import discard, materialise
 
 THRESHOLD = 200
 GROUP_BYTES = 1 << 17
@@ -38,15 +38,16 @@ class Sampling:
     def least(self, grams: np.ndarray) -> np.ndarray:
         """Sampled position of each run of ``width`` strings."""
         n = len(grams)
-        places = np.uint64((1 << 21) - 1) - np.arange(n, dtype=np.uint64)
-        low = (grams & ~np.uint64((1 << 21) - 1)) | places
+        most = (1 << n.bit_length()) - 1
+        places = np.uint64(most) - np.arange(n, dtype=np.uint64)
+        low = (grams & ~np.uint64(most)) | places
         size = 1
         while size * 2 <= self.width:
             low = np.minimum(low[: len(low) - size], low[size:])
             size *= 2
         rest = self.width - size
         low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-        return ((1 << 21) - 1) - (low & np.uint64((1 << 21) - 1)).astype(np.int64)
+        return most - (low & np.uint64(most)).astype(np.int64)
 
     def rows(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """Sample position, first and last window start, distance to the next sample, fingerprint.
@@ -83,8 +84,13 @@ class Sampling:
         return place, low, high, np.concatenate([after - at, 0 * more]), grams[place]
 
 
-def groups(texts: Iterator[np.ndarray]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
-    """(text numbers, their offsets, bytes, ends): short texts joined, long ones in blocks."""
+def groups(
+    texts: Iterator[np.ndarray], length: int
+) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
+    """(text numbers, their offsets, bytes, ends): short texts joined, long ones in blocks.
+
+    A block holds the first ``length`` bytes of the next one too.
+    """
     numbers, pieces, held = [], [], 0
 
     def joined():
@@ -94,7 +100,7 @@ def groups(texts: Iterator[np.ndarray]) -> Iterator[tuple[list[int], list[int],
     for i, text in enumerate(texts):
         if len(text) > GROUP_BYTES:
             for at in range(0, len(text), BLOCK_BYTES):
-                part = text[at : at + BLOCK_BYTES + THRESHOLD_MOST]
+                part = text[at : at + BLOCK_BYTES + length]
                 yield [i], [at], part, np.array([len(part)])
             continue
         if held + len(text) > GROUP_BYTES:
@@ -107,9 +113,6 @@ def groups(texts: Iterator[np.ndarray]) -> Iterator[tuple[list[int], list[int],
         yield joined()
 
 
-THRESHOLD_MOST = 4096  # the longest repeat length, and how far blocks of a long text overlap
-
-
 def samples(docs: DataFrame, length: int) -> DataFrame:
     """``rank, spread, _k, _h, place``: the sampled positions of all texts, packed into longs.
 
@@ -126,7 +129,7 @@ def samples(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             keys = [batch.column(i).to_numpy() for i in (0, 1)]
             out: list[tuple[np.ndarray, ...]] = []
-            for numbers, offsets, data, ends in groups(text_bytes(batch.column(2))):
+            for numbers, offsets, data, ends in groups(text_bytes(batch.column(2)), length):
                 at, low, high, gap, gram = sampling.rows(data, ends)
                 if offsets[0] or len(data) > BLOCK_BYTES:  # windows of the overlap are the next block's
                     own = (low < BLOCK_BYTES) | (gap == 0)
@@ -183,7 +186,9 @@ def ranked(docs: DataFrame, length: int) -> DataFrame:
     )
     paired = materialise(paired, "pairs")
     twice = paired.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    return paired.join(twice, "rank")
+    alive = materialise(paired.join(twice, "rank"), "ranks")
+    discard(paired)
+    return alive
 
 
 def listed(column) -> Iterator[list[np.ndarray]]:
@@ -340,32 +345,39 @@ def repeats(docs: DataFrame, length: int = THRESHOLD) -> tuple[DataFrame, DataFr
     a repeat, one representative of each stretch shows cells of eight windows, and where cells
     differ, their single windows.  So the interior of a repeat is one row per sample, not per byte.
     """
-    if length > THRESHOLD_MOST:
-        raise ValueError(f"repeats of more than {THRESHOLD_MOST} bytes are not supported")
     texts = docs.select(*row_key("doc_id", "text"), F.coalesce("text", F.lit("")).alias("text"))
     alive = ranked(texts, length)
     lists = alive.groupBy("_k", "_h").agg(F.collect_list(F.struct("rank", "place")).alias("list"))
     work = materialise(texts.join(lists, ["_k", "_h"]), "texts")
+    discard(alive)
     only = work.select("_k", "_h", "text")
-    rows = materialise(stretches(work, length), "stretches").withColumn("single", F.lit(1).cast("long"))
-    whole, shown = alike(rows, ["low", "high", "at"])
+    rows = materialise(stretches(work, length), "stretches")
+    whole, shown, kinds = alike(rows.withColumn("single", F.lit(1).cast("long")), ["low", "high", "at"])
+    discard(rows)
     # Of the stretches that differ from others of their rank, then of the cells that still do.
     rows = materialise(cells(only.join(shown, ["_k", "_h"]), length), "cells")
-    more, shown = alike(rows, ["low", "high"])
+    discard(kinds)
+    more, shown, kinds = alike(rows, ["low", "high"])
+    discard(rows)
     seen = materialise(windows(only.join(shown, ["_k", "_h"]), length), "windows")
+    discard(kinds)
     twice = seen.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("single").alias("some"))
     twice = twice.where("n > 1 AND some = 1").select("w1", "w2")
     parts = seen.where("single = 1").join(twice, ["w1", "w2"]).select(
         "_k", "_h", F.col("s").alias("low"), F.col("s").alias("high")
     )
-    return only, whole.unionByName(more).unionByName(parts)
+    found = materialise(whole.unionByName(more).unionByName(parts).distinct(), "found")
+    for done in (whole, more, seen):
+        discard(done)
+    return work, found
 
 
-def alike(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
+def alike(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows whose string occurs twice, and per text the list of those to be looked at more closely.
 
     The latter are one representative of each string of a rank, where some string of it occurs
-    once and others differ from it; ``single`` marks the strings that occur once.
+    once and others differ from it; ``single`` marks the strings that occur once.  The third frame
+    is the written table that the list is made from.
     """
     kinds = materialise(
         rows.groupBy("rank", "f1", "f2").agg(
@@ -376,13 +388,14 @@ def alike(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
     )
     twice = kinds.where("n > 1 AND open = 1").select("rank", "f1", "f2")
     whole = rows.where("single = 1").join(twice, ["rank", "f1", "f2"]).select("_k", "_h", "low", "high")
+    whole = materialise(whole, "whole")
     ends = (
         kinds.groupBy("rank").agg(F.count("*").alias("kinds"), F.max("single").alias("some"))
         .where("kinds > 1 AND some = 1").select("rank")
     )
     shown = kinds.join(ends, "rank").select("rep.*", "single")
     lists = shown.groupBy("_k", "_h").agg(F.collect_list(F.struct(*place, "single")).alias("list"))
-    return whole, lists
+    return whole, lists, kinds
 
 
 def byte_dedup(docs: DataFrame, length: int = THRESHOLD) -> DataFrame:
@@ -398,8 +411,12 @@ def byte_dedup(docs: DataFrame, length: int = THRESHOLD) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     work, low_high = repeats(docs, length)
-    lists = low_high.distinct().groupBy("_k", "_h").agg(F.collect_list(F.struct("low", "high")).alias("list"))
-    cut = materialise(cut_texts(work.join(lists, ["_k", "_h"]), length), "cut").dropDuplicates(["_k", "_h"])
+    lists = low_high.groupBy("_k", "_h").agg(F.collect_list(F.struct("low", "high")).alias("list"))
+    texts = work.select("_k", "_h", "text")
+    cut = materialise(cut_texts(texts.join(lists, ["_k", "_h"]), length), "cut")
+    for done in (work, low_high):
+        discard(done)
+    cut = cut.dropDuplicates(["_k", "_h"])
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         *row_key("doc_id", "text"), F.octet_length(body).cast("long").alias("n_bytes"),

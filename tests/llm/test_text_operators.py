@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pyrogrid.llm import langid, line_dedup, minhash, mixing, packing, suffix_dedup, token_counts
+from pyrogrid.llm import common, langid, line_dedup, minhash, mixing, packing, suffix_dedup, token_counts
 from pyrogrid.llm.common import components
 from tests.llm.conftest import CLASH, rows_of
 
@@ -75,7 +75,7 @@ def test_long_text_in_blocks(docs_of, monkeypatch):
     for text in texts:
         data = np.frombuffer(text.encode(), np.uint8)
         starts = []
-        for _, (at,), part, ends in suffix_dedup.groups(iter([data])):
+        for _, (at,), part, ends in suffix_dedup.groups(iter([data]), 100):
             _, low, high, gap, _ = small.rows(part, ends)
             for lo, hi, g in zip(low, high, gap, strict=True):
                 if g and lo < (700 if len(data) > 500 else len(data)):
@@ -411,6 +411,31 @@ def test_words_of_regular_structure_do_not_collide(spark, docs_of, n):
     assert got == {1: 1, 2: 2, 3: 3, 4: 1}
 
 
+@pytest.mark.parametrize("length", [1024, 5000])
+def test_bytes_of_regular_structure_do_not_collide(docs_of, length):
+    texts = [thue_morse(length) + "x", thue_morse(length, 1) + "y", "z" + thue_morse(length), "w" * 9]
+    got = suffix_dedup.byte_dedup(docs_of(texts), length).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == brute_bytes(texts, length)
+
+
+def test_fingerprints_are_polynomials_modulo_the_prime(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(common, "STRETCH", 100)
+    data = np.random.default_rng(3).integers(0, 256, 450, dtype=np.uint8)
+    for which, base in enumerate(common.BASES):
+        sums = common.Prefix(data, which)
+        lo, hi = np.array([0, 7, 99, 320]), np.array([450, 7, 301, 321])
+        want = [
+            sum((int(b) + 1) * pow(base, i, common.P) for i, b in enumerate(data[x:y])) % common.P
+            for x, y in zip(lo, hi, strict=True)
+        ]
+        want = common.mix(np.array(want, np.uint64) + (hi - lo).astype(np.uint64))
+        assert (sums.at(lo, hi) == want).all()
+        starts = np.arange(len(data) - 39)
+        assert (sums.runs(40) == sums.at(starts, starts + 40)).all()
+
+
 def test_near_dedup_keeps_one_row_of_equal_ids(spark, docs_of):
     base = [f"w{i}" for i in range(60)]
     near = " ".join([*base[:59], "other"])
