@@ -294,6 +294,101 @@ def confirmed(
     return sent.mapInArrow(run, "a long, b long")
 
 
+def first_spots(members: DataFrame, bands: int) -> DataFrame:
+    """``node, spots``: its value in each band where it is a member."""
+    found = members.groupBy("node").agg(
+        F.map_from_entries(F.collect_list(F.struct("band", "value"))).alias("found")
+    )
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)),
+        lambda band: F.coalesce(F.try_element_at("found", band), F.lit(NO_ID)),
+    )
+    return found.select("node", every.alias("spots"))
+
+
+def tiled(
+    members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, bands: int
+) -> DataFrame:
+    """Links between members of one bucket and different components, without rows for their pairs.
+
+    A bucket is dealt into tiles of about ``TILE`` members, fewer where texts are long, and each
+    two tiles meet in a group that holds their sets, so a member is sent once per tile and not once
+    per partner.  Two members that share several buckets are compared in the first of them.
+    """
+    tiles = F.greatest(F.ceil(F.col("c") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = (
+        members.withColumn("tiles", tiles)
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        .withColumn("other", other)
+        .join(first_spots(members, bands), "node")
+        .select(
+            "band", "value", F.least("tile", "other").alias("low"),
+            F.greatest("tile", "other").alias("high"), "tile", F.col("node").alias("b"), "label",
+            "shared", "spots",
+        )
+    )
+    group = ("band", "value", "low", "high")
+    sent = (
+        class_texts(dealt, classes, docs)
+        .select(*group, "tile", "b", "label", "shared", "spots", "text")
+        .repartition(*group)
+        .sortWithinPartitions(*group, "tile", "b")
+    )
+
+    def links_of(band, same, tile, node, label, shared, spots, sets):
+        size = np.array([len(s) for s in sets])
+        for i in range(len(node)):
+            j = np.arange(i + 1, len(node))
+            both = np.minimum(shared[i], shared[j])
+            fit = (label[j] != label[i]) & (100 * both >= percent * (size[i] + size[j] - both))
+            if not same:
+                fit &= tile[j] != tile[i]
+            equal = (spots[j] == spots[i]) & (spots[i] != NO_ID)
+            for k in j[fit & (equal.argmax(axis=1) == band)]:
+                common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * common >= percent * (size[i] + size[k] - common):
+                    yield min(node[i], node[k]), max(node[i], node[k])
+
+    def run(batches):
+        import pyarrow as pa
+
+        def frame(found):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"]
+            )
+
+        def ended():
+            columns = [np.concatenate(x) for x in zip(*(part[:-1] for part in held), strict=True)]
+            sets = [s for part in held for s in part[-1]]
+            return links_of(key[0], key[2] == key[3], *columns, sets)
+
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = []
+            sets = shingle_sets([*text_bytes(batch.column(9))], width)
+            keys = [batch.column(i).to_numpy() for i in range(4)]
+            tile, node, label, shared = (batch.column(i).to_numpy() for i in range(4, 8))
+            spots = batch.column(8).flatten().to_numpy().reshape(-1, bands)
+            new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            edges = [0, *(np.flatnonzero(new) + 1), len(node)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                now = tuple(int(k[lo]) for k in keys)
+                if held and now != key:
+                    found.extend(ended())
+                    held = []
+                key = now
+                part = slice(lo, hi)
+                held.append((tile[part], node[part], label[part], shared[part], spots[part], sets[part]))
+            yield frame(found)
+        if held:
+            yield frame([*ended()])
+
+    return sent.mapInArrow(run, "a long, b long")
+
+
 def fits(one: str, other: str, percent: int) -> F.Column:
     """Set sizes that allow the similarity."""
     return F.least(one, other) * 100 >= F.greatest(one, other) * percent
@@ -306,8 +401,10 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
     components; a pivot is then done.  After each round, members with so many shingles of
     their own that no other member can be similar enough go: texts that only share a passage, and
     copies with too many edits.  After ``ROUNDS`` rounds only members of still different
-    components are compared, where the shingles that others have as well allow the similarity.
-    So no bucket of one large group forms its pairs, and no possible link is left out.
+    components are compared, where the shingles that others have as well allow the similarity:
+    pair by pair in buckets of at most ``PAIRED`` members, in tiles in larger ones.
+    So no large bucket forms its pairs.  Left out are, beside what the bands miss, pairs with a
+    pivot whose signatures agree less than the threshold by five standard deviations.
     """
     threshold = percent / 100
     exploded = classes.select("node", "n", F.posexplode("bands").alias("band", "value"))
@@ -327,14 +424,15 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
         open_ = (
             members.groupBy("band", "value")
             .agg(
-                F.min("label").alias("low"), F.max("label").alias("high"),
+                F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"),
+                F.sum("n").alias("total"),
                 # Of those left, the one with the least of its own is nearest to all others.
                 F.min(F.struct(1 - F.col("shared") / F.col("n"), "node", "n", "label")).alias("p"),
             )
             .where("low <> high")
             .select(
                 "band", "value", F.col("p.node").alias("pivot"),
-                F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label"),
+                F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label"), "c", "total",
             )
         )
         members = materialise(members.join(open_, ["band", "value"]), "members")
@@ -342,7 +440,9 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
             pairs = members.where((F.col("label") != F.col("pivot_label")) & fits("n", "pivot_n", percent))
             pairs = pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         else:
-            side = members.select("band", "value", "node", "n", "label", "shared")
+            large = materialise(members.where(F.col("c") > PAIRED), "large")
+            small = members.where(F.col("c") <= PAIRED)
+            side = small.select("band", "value", "node", "n", "label", "shared")
             both = F.least("x.shared", "y.shared")
             enough = both * 100 >= (F.col("x.n") + F.col("y.n") - both) * percent
             pairs = side.alias("x").join(side.alias("y"), ["band", "value"]).where(
@@ -354,7 +454,10 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
         if turn < ROUNDS:  # the last pairs have passed the bound of shared shingles instead
             pairs = likely(pairs, classes, threshold)
         pairs = materialise(pairs, "pairs")
-        good = materialise(confirmed(pairs, classes, docs, width, percent), "links")
+        good = confirmed(pairs, classes, docs, width, percent)
+        if turn == ROUNDS:
+            good = good.union(tiled(large, classes, docs, width, percent, band_count(threshold)))
+        good = materialise(good, "links")
         tested.append(pairs)
         found.append(good)
         every = found[0]
@@ -372,6 +475,9 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
 
 
 ROUNDS = 2
+PAIRED = 16
+TILE = 64
+TILE_SHINGLES = 1 << 18
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

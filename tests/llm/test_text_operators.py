@@ -138,6 +138,24 @@ def test_near_duplicates_are_brute_force(docs_of, odd_texts, width, percent):
     assert sorted(rows_of(got), key=repr) == sorted(brute_near(rows, width, percent), key=repr)
 
 
+@pytest.mark.parametrize("paired,tile,shingles", [(1, 3, 1 << 18), (4, 64, 200), (0, 1, 1)])
+def test_large_buckets_in_tiles_are_brute_force(docs_of, monkeypatch, paired, tile, shingles):
+    for name, value in {"ROUNDS": 0, "PAIRED": paired, "TILE": tile, "TILE_SHINGLES": shingles}.items():
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(6):
+        base = prose(rng, 120).split(" ")
+        for _ in range(9):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randrange(7)):
+                words[at] = f"w{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    got = rows_of(minhash.near_duplicates(docs_of(rows), 3, 80).select("doc_id", "n_shingles", "component_id", "kept"))
+    assert sorted(got) == sorted(brute_near(rows, 3, 80))
+    assert 6 < len({r[2] for r in got}) < len(rows)
+
+
 def test_near_dedup_keeps_one_of_each_group(docs_of, odd_texts):
     docs = docs_of(odd_texts)
     kept = minhash.near_dedup(docs)
