@@ -476,8 +476,8 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tupl
 
 ROUNDS = 2
 PAIRED = 16
-TILE = 64
-TILE_SHINGLES = 1 << 18
+TILE = 512
+TILE_SHINGLES = 1 << 20  # 8 MB of a task
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
