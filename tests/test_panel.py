@@ -399,3 +399,41 @@ def test_stage_preference_and_manifest(spark, tmp_path):
     assert first["row_count"] == 1 and first["patch_count"] == 3
     assert first["dataset_sha256"] == again["dataset_sha256"]
     assert first["config_sha256"] == again["config_sha256"]
+
+
+def test_skeleton_rows_are_generated_by_several_tasks(spark):
+    grid = spark.range(40).select(F.col("id").cast("string").alias("patch_id")).coalesce(1)
+    rows = panel.panel_skeleton(grid, temporal())
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
+    assert rows.count() == 40 * temporal().n_reference_dates
+
+
+def test_rows_of_the_panel_key_are_not_broadcast(spark, capsys):
+    """Not even where a filter turns the left join into an inner one."""
+    grid = spark.range(40).select(F.col("id").cast("string").alias("patch_id"))
+    rows = panel.panel_skeleton(grid, temporal())
+    found = rows.groupBy("patch_id", "reference_date").agg(F.count(F.lit(1)).alias("n"))
+    for joined in (panel.on_panel_key(rows, found), panel.on_panel_key(rows, found).where("n > 0")):
+        assert joined.count() == rows.count()
+        capsys.readouterr()
+        joined.explain()
+        assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_patches_of_usual_size_are_shuffled_once(spark, capsys):
+    rows = [(f"p{k}", p, date(2020, 1, 1) + timedelta(days=d), float((p * k + d) % 13), 0)
+            for k in range(60) for p in range(3) for d in range(9)]
+    rows += [("large", p, date(2020, 1, 1) + timedelta(days=d), float(p + d), 0) for p in range(40) for d in range(9)]
+    for kept, exchanges in ((rows[: 60 * 27], 1), (rows, None)):
+        out = zonal.zonal_weather(observations(spark, kept), temporal(), bands=("v",))
+        capsys.readouterr()
+        out.explain()
+        plan = capsys.readouterr().out
+        assert exchanges is None or plan.count("Exchange") == exchanges
+        got = {r.patch_id: r for r in out.where("reference_date = '2020-01-08'").collect()}
+        assert len(got) == len({r[0] for r in kept})
+        for patch, row in got.items():
+            of = [r for r in kept if r[0] == patch and 0 < (date(2020, 1, 8) - r[2]).days <= 7]
+            pixels = {p: statistics.fmean(r[3] for r in of if r[1] == p) for _, p, *_ in of}
+            assert row.weather_v_mean_l7d == pytest.approx(statistics.fmean(pixels.values()))
+            assert row.weather_v_max_l7d == max(pixels.values())
