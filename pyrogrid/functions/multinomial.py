@@ -70,9 +70,10 @@ class EqualCells:
         """Cells x replicates."""
         blocks = cells // LEAF
         wanted = np.unique(blocks)
-        if len(self.known) + len(wanted) > self.most:
-            self.known.clear()
         missing = np.array([b for b in wanted if b not in self.known], np.int64)
+        if len(self.known) + len(missing) > self.most:
+            self.known.clear()
+            missing = wanted
         self._descend(missing)
         out = np.empty((len(cells), self.replicates), np.int64)
         for b in wanted:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pyrogrid.functions.multinomial import EqualCells, generator, interval_counts
+from pyrogrid.functions.multinomial import LEAF, EqualCells, generator, interval_counts
 from pyrogrid.functions.ordered import BUCKET, attach_by_value, cut_points, ordered_prefix, with_bucket
 from pyrogrid.operators.metrics import roc_from_table, score_table
 from pyrogrid.session import materialise
@@ -25,6 +25,10 @@ DrawFn = Callable[[Column, Column, Column], Column]
 
 # Cells whose replicate counts are in memory at a time.
 CELLS = 512
+# Cells and distinct scores that share one walk over the patches.
+WALK_CELLS, WALK_SCORES = 1 << 18, 1 << 10
+# A (score, label) cell is frequent above this part of all rows, so there are at most as many of them.
+FREQUENT_CELLS = 1 << 16
 # Scores of one task of the row bootstrap, at most.
 STRETCH = 1 << 17
 CLASSES = ("pos", "neg")
@@ -37,13 +41,14 @@ def hashed_draw(seed: int) -> DrawFn:
 
 def draw_counts(spark, n_bootstrap: int, n: int, draw: DrawFn) -> DataFrame:
     """``rep, idx, m``: how often each replicate drew each of n indices, with replacement."""
-    ids = spark.range(n_bootstrap * n)
+    drawn = draw_numbers(spark, n_bootstrap, n, draw)
+    return drawn.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("m"))
+
+
+def draw_numbers(spark, n_bootstrap: int, n: int, draw: DrawFn) -> DataFrame:
+    """``rep, idx``: the n draws of each replicate, with replacement."""
     rep, j = F.floor(F.col("id") / n), F.col("id") % n
-    return (
-        ids.select(rep.alias("rep"), draw(rep, j, F.lit(n)).alias("idx"))
-        .groupBy("rep", "idx")
-        .agg(F.count(F.lit(1)).alias("m"))
-    )
+    return spark.range(n_bootstrap * n).select(rep.alias("rep"), draw(rep, j, F.lit(n)).alias("idx"))
 
 
 def summarise(values: DataFrame, metric: str, level: float = 0.95) -> DataFrame:
@@ -107,23 +112,37 @@ def _drawn_rows(rows, y, score, n_bootstrap, draw) -> DataFrame:
     """Metrics of each replicate whose draws the caller computes.
 
     Rows are numbered along (score, label), so a drawn number falls into the number range of one
-    (score, label) cell.  The lookup is an equi-join on blocks of numbers: uniform, hence even.
+    (score, label) cell.  Ranges of the frequent cells are constants of the plan: what falls into them
+    is counted by replicate and cell before any shuffle.  The other draws look their cell up by an
+    equi-join on blocks of numbers: uniform, hence even.
     """
-    cells = ordered_prefix(rows, [score, y], {"n": F.lit(1)})
+    cells = materialise(ordered_prefix(rows, [score, y], {"n": F.lit(1)}), "cells")
     n = rows.count()
     end = F.col("n_below") + F.col("n")
-    spread_ = cells.select(
+    hot = F.col("n") * FREQUENT_CELLS > n
+    frequent = cells.where(hot).select("n_below", "n").collect()
+    starts = sorted({b for r in frequent for b in (r[0], r[0] + r[1])} - {0, n})
+    drawn = draw_numbers(rows.sparkSession, n_bootstrap, n, draw)
+    ranged = with_bucket(drawn, "idx", starts).groupBy("rep", BUCKET)
+    inside = with_bucket(cells.where(hot).withColumn("idx", F.col("n_below")), "idx", starts)
+    common = ranged.agg(F.count(F.lit(1)).alias("m")).join(
+        F.broadcast(inside.select(BUCKET, score, y)), BUCKET
+    ).select("rep", score, y, "m")
+    if sum(r[1] for r in frequent) == n:
+        return roc_from_table(score_table(common, y, score, by=["rep"], weight=F.col("m")), ["rep"])
+    spread_ = cells.where(~hot).select(
         score, y, "n_below", end.alias("end"),
         F.explode(F.sequence(F.floor(F.col("n_below") / 1024), F.floor((end - 1) / 1024))).alias("block"),
     )
-    drawn = draw_counts(rows.sparkSession, n_bootstrap, n, draw)
-    weighted = (
-        drawn.withColumn("block", F.floor(F.col("idx") / 1024))
-        .join(spread_, "block")
+    cold = with_bucket(drawn, "idx", starts).join(F.broadcast(inside.select(BUCKET)), BUCKET, "left_anti")
+    rare = (
+        cold.withColumn("block", F.floor(F.col("idx") / 1024))
+        .join(spread_.hint("merge"), "block")
         .where((F.col("idx") >= F.col("n_below")) & (F.col("idx") < F.col("end")))
         .groupBy("rep", score, y)
-        .agg(F.sum("m").alias("m"))
+        .agg(F.count(F.lit(1)).alias("m"))
     )
+    weighted = common.unionByName(rare)
     return roc_from_table(score_table(weighted, y, score, by=["rep"], weight=F.col("m")), ["rep"])
 
 
@@ -196,6 +215,40 @@ def bootstrap_metric(
     return summarise(values, metric, level)
 
 
+def _walk(part: pd.DataFrame, cells: EqualCells | None, n_bootstrap: int) -> tuple[np.ndarray, np.ndarray]:
+    """``pos`` and ``neg`` by distinct score and replicate of cells in order of their score.
+
+    Cells are met patch by patch, so the counts of a patch are drawn once for all scores.
+    """
+    scores = part["score"].to_numpy()
+    at = np.cumsum(np.append(False, scores[1:] != scores[:-1]))
+    out = [np.zeros((at[-1] + 1, n_bootstrap)) for _ in CLASSES]
+    counts = [part[c].to_numpy(np.float64) for c in CLASSES]
+    given = part["m"].to_numpy() if "m" in part else None
+    if given is None:
+        idx = part["idx"].to_numpy(np.int64)
+        order = np.argsort(idx // LEAF, kind="stable")
+        drawn = np.unique(idx // LEAF)
+        held = np.searchsorted((idx // LEAF)[order], np.append(drawn[:: cells.most], drawn[-1] + 1))
+    else:
+        order, held = np.arange(len(part)), [0, len(part)]
+    for turn, (lo, hi) in enumerate(zip(held, held[1:])):
+        if given is None:
+            cells.counts(drawn[turn * cells.most : (turn + 1) * cells.most] * LEAF)
+        for s in range(lo, hi, CELLS):
+            # Back in order of the score inside the block: sums over stretches of equal scores.
+            block = np.sort(order[s : min(s + CELLS, hi)])
+            if given is not None:
+                weight = np.stack(given[block])
+            else:
+                some, back = np.unique(idx[block], return_inverse=True)
+                weight = cells.counts(some)[back]
+            starts = np.flatnonzero(np.append(True, at[block][1:] != at[block][:-1]))
+            for k in (0, 1):
+                out[k][at[block][starts]] += np.add.reduceat(counts[k][block][:, None] * weight, starts)
+    return out[0], out[1]
+
+
 def _range_sums(placed: DataFrame, n_bootstrap: int, n: int, seed: int) -> DataFrame:
     """``_bucket`` and the sums of each replicate over that value range.
 
@@ -209,9 +262,27 @@ def _range_sums(placed: DataFrame, n_bootstrap: int, n: int, seed: int) -> DataF
         import pyarrow as pa
 
         cells = EqualCells(n, n_bootstrap, seed)
-        at, sums, last, held = None, None, None, None
+        at, sums, last, held, kept, size, scores = None, None, None, None, [], 0, 0
+
+        def settle():
+            """Add the kept cells; the last score may go on, so it is held back."""
+            nonlocal last, held, kept, size, scores
+            if kept:
+                part = pd.concat(kept, ignore_index=True)
+                pos, neg = _walk(part, cells, n_bootstrap)
+                if held is not None:
+                    if part["score"].iloc[0] == last:
+                        pos[0] += held[0]
+                        neg[0] += held[1]
+                    else:
+                        sums.add(held[0][None], held[1][None])
+                last, held = part["score"].iloc[-1], (pos[-1].copy(), neg[-1].copy())
+                if len(pos) > 1:
+                    sums.add(pos[:-1], neg[:-1])
+                kept, size, scores = [], 0, 0
 
         def out():
+            settle()
             if held is not None:
                 sums.add(held[0][None], held[1][None])
             return pa.RecordBatch.from_pydict(
@@ -235,28 +306,17 @@ def _range_sums(placed: DataFrame, n_bootstrap: int, n: int, seed: int) -> DataF
                     above = np.asarray(first).reshape(2, n_bootstrap)
                     sums = RocSums(above[0], above[1])
                     part = part.iloc[1:]
-                for s in range(0, len(part), CELLS):
-                    block = part.iloc[s : s + CELLS]
-                    if "m" in block:
-                        weight = np.stack(block["m"].to_numpy())
-                    else:
-                        idx, back = np.unique(block["idx"].to_numpy(np.int64), return_inverse=True)
-                        weight = cells.counts(idx)[back]
-                    scores = block["score"].to_numpy()
-                    starts = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
-                    pos, neg = (
-                        np.add.reduceat(block[c].to_numpy(np.float64)[:, None] * weight, starts)
-                        for c in ("pos", "neg")
-                    )
-                    if held is not None:
-                        if scores[0] == last:
-                            pos[0] += held[0]
-                            neg[0] += held[1]
-                        else:
-                            sums.add(held[0][None], held[1][None])
-                    last, held = scores[-1], (pos[-1], neg[-1])
-                    if len(pos) > 1:
-                        sums.add(pos[:-1], neg[:-1])
+                while len(part):
+                    value = part["score"].to_numpy()
+                    new = np.cumsum(np.append(True, value[1:] != value[:-1]))
+                    most = WALK_CELLS if "m" not in part else CELLS
+                    room = min(most - size, int(np.searchsorted(new, WALK_SCORES - scores, side="right")))
+                    if room > 0:
+                        kept.append(part.iloc[:room])
+                        size, scores = size + len(kept[-1]), scores + int(new[len(kept[-1]) - 1])
+                        part = part.iloc[room:]
+                    if len(part):
+                        settle()
         if at is not None:
             yield out()
 

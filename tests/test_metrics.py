@@ -335,3 +335,35 @@ def test_conformal_coverage_and_alerts(spark):
     assert (quiet.n_confident_alerts, quiet.mean_confident_lower) == (0, 0.0)
     few = conformal.Calibration(0.1, 5)
     assert "warning" in conformal.coverage(sets, few, "t").columns
+
+
+@pytest.mark.parametrize("frequent", [1, 30, 1 << 16])
+def test_drawn_rows_of_frequent_and_rare_cells(spark, scores, frequent, monkeypatch):
+    """The caller's draws against brute force, whichever cells are counted before the shuffle."""
+    monkeypatch.setattr(resampling, "FREQUENT_CELLS", frequent)
+    draw, b, n = (lambda rep, j, n: F.pmod(rep * 7919 + j * j * 31 + rep * j, n)), 8, len(scores)
+    row = resampling.bootstrap_metric(spark.createDataFrame(scores), "y", "a", n_bootstrap=b, draw=draw).first()
+    ranked = scores.sort_values(["a", "y"])
+    rep, j = np.meshgrid(np.arange(b), np.arange(n), indexing="ij")
+    idx = (rep * 7919 + j * j * 31 + rep * j) % n
+    values = [
+        weighted_roc(ranked.y.to_numpy(), ranked.a.to_numpy(), np.bincount(idx[r], minlength=n))[0] for r in range(b)
+    ]
+    assert row["mean"] == pytest.approx(np.mean(values), abs=1e-12)
+    assert row.lower == pytest.approx(np.quantile(values, 0.025), abs=1e-12)
+
+
+def test_counts_of_patches_are_drawn_once_for_all_scores(monkeypatch):
+    """More patches than are remembered, every one of them at every score."""
+    drawn = []
+    descend = EqualCells._descend
+    monkeypatch.setattr(EqualCells, "_descend", lambda self, blocks: (drawn.extend(blocks), descend(self, blocks))[1])
+    n, b, levels = 400, 3, 6
+    cells = EqualCells(n, b, 42, most_bytes=4 * 16 * b * 8)
+    part = pd.DataFrame({"score": np.repeat(np.arange(levels, 0, -1.0), n), "idx": np.tile(np.arange(n), levels)})
+    part["pos"], part["neg"] = part.idx % 3, part.idx % 2
+    pos, neg = resampling._walk(part, cells, b)
+    assert len(drawn) == n // 16
+    weight = EqualCells(n, b, 42).counts(np.arange(n))
+    for got, c in ((pos, "pos"), (neg, "neg")):
+        assert (got == part[c].to_numpy()[:n] @ weight).all()
