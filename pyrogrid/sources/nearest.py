@@ -1,9 +1,11 @@
 """Distances from patch centroids to roads, rivers and settlements.
 
 The nearest feature is found by narrowing cells.  Features are bound to square cells so small that
-the fullest holds few of them; a patch starts with the large cells around it and goes down to the
-occupied cells inside, keeping those that may hold something nearer than what some cell surely
-holds.  So a patch meets the features of a few small cells, however many lie within its radius.
+the fullest holds few of them.  A patch first meets the 3 x 3 small cells around it; what it finds
+there is the nearest, or tells how far around it must look.  Patches that find nothing start with
+the large cells around them and go down to the occupied cells inside, keeping those that may hold
+something nearer than what some cell surely holds.  So a patch meets the features of a few small
+cells, however many lie within its radius.
 
 Sums over a radius meet all features in the 3 x 3 cells of that size.  There the patch side (one row
 per patch, times nine cells) is replicated; identical geometries are collapsed first, and a cell
@@ -93,25 +95,75 @@ def _nearest(
     line = len(ends) == 4
     x1, y1 = F.col(ends[0]), F.col(ends[1])
     x2, y2 = (F.col(ends[2]), F.col(ends[3])) if line else (x1, y1)
-    distinct = features.select(*ends).dropna().distinct()
+    # Dealt before they are made distinct, so a task's table of them does not grow with its file.
+    distinct = features.select(*ends).dropna().repartition(*ends).distinct()
     levels = _halvings((x1 + x2) / 2, (y1 + y2) / 2, distinct, size)
     fine = size / 2**levels
     if line:
-        pieces = F.greatest(F.ceil(point_distance(x1, y1, x2, y2) / fine), F.lit(1))
-        cut = distinct.withColumn("_k", pieces).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-        from_, to = (F.col("_i") - 1) / F.col("_k"), F.col("_i") / F.col("_k")
-        box = [(a + f * (b - a)) for a, b in ((x1, x2), (y1, y2)) for f in (from_, to)]
-        across = [
-            F.explode(F.sequence(_cell(F.least(p, q), fine), _cell(F.greatest(p, q), fine)))
-            for p, q in (box[:2], box[2:])
-        ]
-        bound = cut.withColumn("_cx", across[0]).withColumn("_cy", across[1]).select(*ends, "_cx", "_cy").distinct()
+        bound = _cut(distinct, ends, fine)
     else:
         bound = distinct.select(*ends, _cell(x1, fine).alias("_cx"), _cell(y1, fine).alias("_cy"))
     bound = materialise(bound, "cells")
-    slack = fine if line else 0.0
+    x, y = F.col("_x"), F.col("_y")
+    distance = _segment(x, y, x1, y1, x2, y2) if line else point_distance(x, y, x1, y1)
 
     at = patches.select("patch_id", F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y")).dropna()
+    place = ["patch_id", "_x", "_y"]
+
+    def least(cells):
+        return cells.join(bound, ["_cx", "_cy"]).groupBy(*place).agg(F.min(distance).alias("d"))
+
+    at = materialise(at.join(least(_around(at, fine)), place, "left"), "near")
+    # What lies within a cell's side of a place is bound to the 3 x 3 cells around it.
+    near = F.col("d") <= fine * (1 - 1e-9)
+    wider = at.where(~near).withColumn("_r", F.ceil(F.col("d") / fine))
+    for c, v in (("_cx", "_x"), ("_cy", "_y")):
+        own = _cell(F.col(v), fine)
+        wider = wider.withColumn(c, F.explode(F.sequence(own - F.col("_r"), own + F.col("_r"))))
+    (nx, _), (ny, _) = _side("_x", "_cx", fine), _side("_y", "_cy", fine)
+    wider = wider.where(F.sqrt(nx * nx + ny * ny) <= F.col("d") * (1 + 1e-9)).select(*place, "_cx", "_cy")
+    found = at.where(near).select("patch_id", "d").unionByName(least(wider).select("patch_id", "d"))
+    others = at.where("d IS NULL").drop("d")
+    if not others.isEmpty():
+        found = found.unionByName(_descend(others, bound, distance, size, levels, fine if line else 0.0))
+    return found.where(F.col("d") <= size).groupBy("patch_id").agg(F.min("d").alias("d"))
+
+
+def _cut(segments: DataFrame, ends: Sequence[str], fine: float) -> DataFrame:
+    """Segments in every cell that the bounding box of one of their pieces touches, each cell once.
+
+    Along a segment the cells of a piece move one way on both axes, so the pieces that touch a cell
+    follow one another and the first is the one whose predecessor does not touch it.
+    """
+    x1, y1, x2, y2 = map(F.col, ends)
+    pieces = F.greatest(F.ceil(point_distance(x1, y1, x2, y2) / fine), F.lit(1))
+    cut = segments.withColumn("_k", pieces).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+
+    def touched(a, b, i):
+        p, q = (a + (i - 1) / F.col("_k") * (b - a)), (a + i / F.col("_k") * (b - a))
+        return _cell(F.least(p, q), fine), _cell(F.greatest(p, q), fine)
+
+    i = F.col("_i")
+    across = touched(x1, x2, i), touched(y1, y2, i)
+    before = touched(x1, x2, i - 1), touched(y1, y2, i - 1)
+    cells = cut.withColumn("_cx", F.explode(F.sequence(*across[0]))).withColumn("_cy", F.explode(F.sequence(*across[1])))
+    seen = F.col("_cx").between(*before[0]) & F.col("_cy").between(*before[1])
+    return cells.where((i == 1) | ~seen).select(*ends, "_cx", "_cy")
+
+
+def _around(at: DataFrame, g: float) -> DataFrame:
+    """Places in the 3 x 3 cells of side ``g`` around them."""
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    return at.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps)).select(
+        "patch_id", "_x", "_y", (_cell(F.col("_x"), g) + F.col("_dx")).alias("_cx"),
+        (_cell(F.col("_y"), g) + F.col("_dy")).alias("_cy"),
+    )
+
+
+def _descend(
+    at: DataFrame, bound: DataFrame, distance: Column, size: float, levels: int, slack: float
+) -> DataFrame:
+    """``patch_id, d``: distances to the features of the small cells that may hold the nearest."""
     found = None
     for level in range(0, levels + 1, 2):
         g = size / 2**level
@@ -119,13 +171,7 @@ def _nearest(
             *[F.expr(f"shiftright({c}, {levels - level})").alias(c) for c in ("_cx", "_cy")]
         ).distinct()
         if found is None:
-            steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-            found = (
-                at.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-                .select("patch_id", "_x", "_y", (_cell(F.col("_x"), g) + F.col("_dx")).alias("_cx"),
-                        (_cell(F.col("_y"), g) + F.col("_dy")).alias("_cy"))
-                .join(occupied, ["_cx", "_cy"])
-            )
+            found = _around(at, g).join(occupied, ["_cx", "_cy"])
         else:
             inner = occupied.select(
                 "_cx", "_cy", F.expr("shiftright(_cx, 2)").alias("_px"), F.expr("shiftright(_cy, 2)").alias("_py")
@@ -139,10 +185,7 @@ def _nearest(
             .where((F.col("_near") <= F.col("_sure") * (1 + 1e-9)) & (F.col("_near") <= size * (1 + 1e-9)))
             .drop("_near", "_sure")
         )
-    met = found.join(bound, ["_cx", "_cy"])
-    x, y = F.col("_x"), F.col("_y")
-    d = _segment(x, y, x1, y1, x2, y2) if line else point_distance(x, y, x1, y1)
-    return met.select("patch_id", d.alias("d")).where(F.col("d") <= size).groupBy("patch_id").agg(F.min("d").alias("d"))
+    return found.join(bound, ["_cx", "_cy"]).select("patch_id", distance.alias("d"))
 
 
 def _reachable(
@@ -203,7 +246,7 @@ def nearest_road(
     size = radius_km / KM_PER_DEGREE
     ends = ("x1", "y1", "x2", "y2")
     nearest = _nearest(patches, segments, ends, size, lon, lat)
-    distinct = segments.groupBy(*ends).agg(F.count(F.lit(1)).alias("copies"))
+    distinct = segments.repartition(*ends).groupBy(*ends).agg(F.count(F.lit(1)).alias("copies"))
     low = (F.least("x1", "x2"), F.least("y1", "y2"))
     high = (F.greatest("x1", "x2"), F.greatest("y1", "y2"))
     density = min(DENSITY_RADIUS_DEGREES, size)

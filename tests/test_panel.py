@@ -383,6 +383,42 @@ def test_nearest_in_crowds_and_deserts(spark, crowd):
         assert roads[str(i)].anthropogenic_dist_to_road_km == (None if want is None else pytest.approx(line * 111))
 
 
+def test_cells_of_a_line_come_once_without_a_table_of_them(spark, capsys):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    ends = np.hstack([a := rng.uniform(-1, 1, (60, 2)), a + rng.normal(0, 0.4, (60, 2))])
+    ends[0, 2:] = ends[0, :2]
+    names = ("x1", "y1", "x2", "y2")
+    cells = nearest._cut(spark.createDataFrame(ends.tolist(), ", ".join(f"{n} double" for n in names)), names, 0.1)
+    capsys.readouterr()
+    cells.explain()
+    assert "Aggregate" not in capsys.readouterr().out
+    rows = [tuple(r) for r in cells.collect()]
+    assert len(rows) == len(set(rows))
+    met = {r for r in rows}
+    for line in ends.tolist():
+        for t in np.linspace(0, 1, 400):
+            x, y = line[0] + t * (line[2] - line[0]), line[1] + t * (line[3] - line[1])
+            assert (*line, math.floor(x / 0.1), math.floor(y / 0.1)) in met
+
+
+def test_patches_beside_a_feature_look_at_small_cells_only(spark, monkeypatch):
+    points = [(i / 40, j / 40) for i in range(40) for j in range(40)]
+    features = spark.createDataFrame(points, "lon double, lat double")
+    at = [(str(i), 0.3 + i / 1000, 0.4 + i / 700) for i in range(50)]
+    patches = spark.createDataFrame(at, "patch_id string, centroid_lon double, centroid_lat double")
+
+    def never(*_):
+        raise AssertionError("went down from the large cells")
+
+    monkeypatch.setattr(nearest, "_descend", never)
+    got = {r[0]: r[1] for r in nearest.nearest_river(patches, features).collect()}
+    for patch, x, y in at:
+        want = min(math.hypot(x - a, y - b) for a, b in points)
+        assert got[patch] == pytest.approx(want * 111_000)
+
+
 def test_stage_preference_and_manifest(spark, tmp_path):
     folder = str(tmp_path)
     with pytest.raises(FileNotFoundError):
