@@ -172,6 +172,36 @@ def test_leakage_curve_shrinks_with_the_buffer(spark):
     assert fits == [20] * 4
 
 
+def test_audits_read_the_features_of_a_test_row_once(spark, panel, monkeypatch):
+    """The area of a narrow table of scores is the area of the scored rows."""
+    features = FEATURES[:2]
+    train, evaluate = audits.occurrence_callbacks(features, "y_occ_14d", "logreg", {"max_iter": 5})
+    model = train(models.in_split(panel, "train"), None)
+    test = models.in_split(panel, "test")
+    want = models.scalars(audits.roc_metrics(model.score(test), "y_occ_14d", "prediction"))["roc_auc"]
+    given, area = [], audits.roc_metrics
+
+    def seen(rows, *args):
+        given.append(rows)
+        return area(rows, *args)
+
+    monkeypatch.setattr(audits, "roc_metrics", seen)
+    assert evaluate(model, test) == pytest.approx(want)
+    assert given[0].columns == ["y_occ_14d", "prediction"]
+
+
+def test_folds_of_all_block_sizes(spark, panel):
+    """Block sizes run together; each has the mean over its own folds."""
+    rows = panel.withColumns({"patch_row": F.split("patch_id", "_")[0].cast("int"), "patch_col": F.split("patch_id", "_")[1].cast("int")})
+
+    def train(kept, _val):
+        return kept.count()
+
+    got = audits.spatial_leakage(rows, train, lambda n, test: test.count() / (n + test.count()), (20, 10, 10), 10).collect()
+    assert [(r.block_size_km, r.n_folds) for r in got] == [(10, 5), (10, 5), (20, 4)]
+    assert all(r.mean_auc == pytest.approx(1 / r.n_folds) for r in got)
+
+
 def test_ablations(panel):
     table = audits.source_ablation(panel, "logreg", "classification", {}, "y_occ_14d", FEATURES)
     rows = {r.removed_namespace: r.roc_auc for r in table.collect()}
