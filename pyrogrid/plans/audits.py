@@ -264,7 +264,8 @@ def source_ablation(
 
     def run(namespace, kept):
         model = fit_model(train, family, task, kept, target, params)
-        scored = materialise(model.score(test.select(target, *kept)), "ablation")
+        scored = model.score(test.select(target, *kept)).select(target, "prediction")
+        scored = materialise(scored, "ablation")
         return metric(scored, target, "prediction").select(
             F.lit(namespace).alias("removed_namespace"), "*"
         )

@@ -54,6 +54,24 @@ def test_families_score_every_row(panel, family, params):
     assert set(panel.columns) < set(run.predictions.columns)
 
 
+def test_scores_are_written_without_the_panel(panel, monkeypatch):
+    """A fit and an ablation write what their metrics read, not the rows as wide as the panel."""
+    written = []
+    for module in (models, audits):
+        def recorded(df, name="stage", write=module.materialise):
+            written.append(df.columns)
+            return write(df, name)
+
+        monkeypatch.setattr(module, "materialise", recorded)
+    run = models.fit_predict(panel, "logreg", "classification", {}, 14)
+    assert written == [["split", "y_occ_14d", "prediction"]]
+    assert run.predictions.columns == [*panel.columns, "prediction"]
+    del written[:]
+    found = audits.source_ablation(panel, "logreg", "classification", {}, "y_occ_14d")
+    assert found.count() == 3
+    assert written == [["y_occ_14d", "prediction"]] * 3
+
+
 def test_severity_task_uses_known_rows_only(panel):
     run = models.fit_predict(panel, "logreg", "regression", {}, 14)
     assert run.predictions.count() == panel.where("y_sev_available = 1").count()
