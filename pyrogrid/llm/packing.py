@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+import string
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +55,8 @@ class WordEncoder(dict):
         ]
         self.most = most
         self.marks: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
+        self.line_end = self.whole("\n")
         self.letters = self._letters()
         self.of = self.__getitem__
 
@@ -62,28 +68,74 @@ class WordEncoder(dict):
         return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
     def _ids(self, ids) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def whole(self, text: str) -> bytes:
         return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _letters_only(self, core: str, space: str) -> bytes:
+        letters = self.letters
+        if core.isascii():
+            spelled = letters[32] + core if space else core
+        else:
+            spelled = "".join([letters[b] for b in f"{space}{core}".encode()])
+        return self._ids([t.id for t in self.model.tokenize(spelled)])
+
+    def _mark(self, mark: str) -> bytes:
+        got = self.marks.get(mark)
+        if got is None:
+            got = self.whole(mark)
+            if len(mark) < 8 and len(self.marks) < self.most:
+                self.marks[mark] = got
+        return got
+
+    def _start(self, word: str) -> bytes | None:
+        """Ids of letters and the marks after them at the start of a line; None for other words."""
+        got = self.starts.get(word)
+        if got is None:
+            core = word.rstrip(string.punctuation)
+            if not core.isalpha():
+                return None
+            got = self._letters_only(core, "")
+            if core != word:
+                got += self._mark(word[len(core) :])
+            if len(self) + len(self.starts) < self.most:
+                self.starts[word] = got
+        return got
+
+    def _lines(self, word: str) -> bytes | None:
+        """Ids of a word with line ends inside, each between two visible characters.
+
+        Such a line end is a token of its own, so its neighbours are encoded apart and kept.
+        """
+        first, *others = word.split("\n")
+        if not first.rstrip(string.punctuation).isalpha():
+            return None
+        out = [self.of(first)]
+        for other in others:
+            got = self._start(other)
+            if got is None:
+                return None
+            out += (self.line_end, got)
+        return b"".join(out)
+
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(".,")
-        if core != word and core.isalpha():  # a letter and a mark never share a token
-            mark = word[len(core) :]
-            if mark not in self.marks and len(mark) < 8:
-                self.marks[mark] = self.whole(mark)
-            got = self.of(core) + (self.marks.get(mark) or self.whole(mark))
-        elif core.isalpha():
-            letters = self.letters
-            if core.isascii():
-                spelled = letters[32] + core
+        if "\n" in word:
+            got = self._lines(word)
+            if got is not None:
+                return got  # seldom met again, and put together from kept words
+        core = word.rstrip(string.punctuation)
+        if core.isalpha():
+            if core != word:  # a letter and a mark never share a token
+                got = self.of(core) + self._mark(word[len(core) :])
             else:
-                spelled = "".join([letters[b] for b in f" {core}".encode()])
-            got = self._ids([t.id for t in self.model.tokenize(spelled)])
+                got = self._letters_only(core, " ")
         else:
             got = self.whole(f" {word}")
-        if len(self) < self.most:
+        if len(self) + len(self.starts) < self.most:
             self[word] = got
         return got
 
@@ -108,6 +160,12 @@ class WordEncoder(dict):
             at = end
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a worker process: its words serve all tasks that the process runs."""
+    return WordEncoder(path)
+
+
 def cuts(length: int, capacity: int, slack: int, smallest: int) -> Iterator[tuple[int, int]]:
     """Piece lengths of a document, each with the number of such pieces that fill a sequence.
 
@@ -132,7 +190,7 @@ def tokenised(
     def run(batches):
         import pyarrow as pa
 
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):

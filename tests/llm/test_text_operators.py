@@ -251,6 +251,31 @@ def test_word_encoder_equals_tokenizer(odd_texts, monkeypatch):
             assert len(encoder) <= most
 
 
+def test_marks_and_line_ends_do_not_reach_the_tokenizer_again(monkeypatch):
+    plain = public_tokenizer()
+    rng = random.Random(5)
+    ends = [".\n", "\n", ",%%% ", "### ", "!! ", "'\n", "_ ", " ", "\n\n", "'s\n", ".\n1", "²\n", "\n."]
+    names = [w + rng.choice("aeiou") for w in WORDS]
+    texts = ["".join(rng.choice(names) + rng.choice(ends) for _ in range(300)) for _ in range(8)]
+    for most in (3, 1000):
+        encoder = packing.WordEncoder(packing.tokenizer_path(), most)
+        for text in texts:
+            want = plain.encode(text, add_special_tokens=False).ids
+            assert b"".join(encoder.encode(text)) == b"".join(i.to_bytes(4, "little") for i in want)
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    calls = []
+    whole = encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda text: calls.append(text) or whole(text))
+    for text in texts:
+        list(encoder.encode("".join(rng.choice(names) + rng.choice(ends[:8]) for _ in range(300)) + "end"))
+    assert len(calls) <= len(texts) + 6  # a text's first word, and each mark once
+
+
+def test_tasks_of_a_process_share_an_encoder():
+    path = packing.tokenizer_path()
+    assert packing.word_encoder(path) is packing.word_encoder(path)
+
+
 def test_packing(docs_of, odd_texts):
     plain = public_tokenizer()
     out = packing.pack(docs_of(odd_texts)).collect()
