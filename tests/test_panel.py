@@ -269,6 +269,56 @@ def test_medians_of_one_long_group(spark):
     assert got == {"g": (statistics.median(v for v in values if v is not None), statistics.median(near)), "h": (None, None)}
 
 
+@pytest.mark.parametrize("std", ["pop", "samp"])
+def test_streamed_medians_equal_sorted_ones(spark, monkeypatch, std):
+    """Cuts between and inside patches change nothing; nothing is sorted or multiplied by Spark."""
+    import random
+    from functools import partial
+
+    rng = random.Random(7)
+    t = temporal(reference_end=date(2020, 3, 25), temporal_windows=(7, 14, 30))
+    rows = [
+        (rng.choice(["a", "b", "c", None]), rng.choice([1, 2, 3, None]),
+         date(2019, 12, 1) + timedelta(days=rng.randrange(130)),
+         rng.choice([None, 0.1, 0.2, rng.random()]), rng.randrange(80))
+        for _ in range(500)
+    ]
+    rows += [("d", p, date(2020, 1, 3), None, 0) for p in (1, 2)] + rows[:40]
+    obs = observations(spark, rows).withColumn("u", F.round(F.col("v") * 3, 1))
+    run = partial(zonal.zonal_optical, obs, t, bands=("v", "u"), std=std)
+
+    def found(frame):
+        return {(r.patch_id, r.reference_date): r.asDict() for r in frame.collect()}
+
+    monkeypatch.setattr(zonal, "has_large_key", lambda *_: False)
+    streamed = run()
+    plan = streamed._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    results = [found(streamed)]
+    monkeypatch.setattr(zonal, "streamed_medians", partial(zonal.streamed_medians, chunk=9))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        results.append(found(run()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen = zonal.clear_scenes(zonal.visible(obs, t, 30))
+    placed = zonal.lookback_join(seen, t, 30)
+    spec = {f"{b}_{w}": (b, w) for w in (7, 14, 30) for b in ("v", "u")}
+    medians = zonal.pixel_medians(placed, (*zonal.KEY, "pixel_id"), spec)
+    stats = [
+        c for n in spec for c in zonal.patch_stats(
+            F.col(n), f"optical_{n.split('_')[0]}_{{stat}}_l{n.split('_')[1]}d", zonal.STATS, std)
+    ]
+    want = found(medians.groupBy(*zonal.KEY).agg(*stats))
+    assert len(want) > 30 and any(v is None for r in want.values() for v in r.values())
+    for got in results:
+        assert got.keys() == want.keys()
+        for key, row in want.items():
+            assert got[key].keys() == row.keys()
+            for name, value in row.items():
+                assert got[key][name] == (pytest.approx(value, abs=1e-12) if isinstance(value, float) else value)
+
+
 def test_empty_optical_window_gives_null_columns(spark):
     t = temporal()
     cloudy = observations(spark, [("0_0", 1, date(2019, 12, 31), 1.0, 40)])
