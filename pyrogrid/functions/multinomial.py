@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 16
+# Counts a task remembers, in bytes.
+HELD_BYTES = 384 << 20
 
 
 def generator(*place: int) -> np.random.Generator:
@@ -58,45 +60,59 @@ def interval_counts(counts: np.ndarray, n: int, edges: np.ndarray, *place: int)
 class EqualCells:
     """Counts of ``n`` draws over ``n`` equally likely cells, for any cells asked for.
 
-    Blocks of cells are kept between calls as long as they fit into ``most_bytes``.
+    Blocks of cells are kept between calls as long as they fit into ``most_bytes``, a byte for each
+    count unless one needs more.  If all blocks fit, asking for a good part of them draws them all.
     """
 
-    def __init__(self, n: int, replicates: int, seed: int, most_bytes: int = 1 << 26):
-        self.n, self.replicates, self.seed = n, replicates, seed
-        self.known: dict[int, np.ndarray] = {}
-        self.most = max(1, most_bytes // (LEAF * replicates * 8))
+    def __init__(self, n: int, replicates: int, seed: int | tuple[int, ...], most_bytes: int = HELD_BYTES):
+        self.n, self.replicates = n, replicates
+        self.place = seed if isinstance(seed, tuple) else (seed,)
+        self.blocks = -(-n // LEAF)
+        self.most = max(1, most_bytes // (LEAF * replicates))
+        self.slot = np.full(self.blocks, -1, np.int64)
+        self.used = 0
+        # Reserved, not touched: pages are taken as blocks come.
+        self.table = np.empty((min(self.most, self.blocks), LEAF, replicates), np.uint8)
+
+    def hold(self, blocks: np.ndarray) -> None:
+        """Draw what is not known of distinct ``blocks``, at most ``most`` of them."""
+        missing = blocks[self.slot[blocks] < 0]
+        if self.blocks <= self.most and len(missing) * 64 >= self.blocks:
+            missing = np.flatnonzero(self.slot < 0)
+        elif self.used + len(missing) > self.most:
+            self.slot[:] = -1
+            self.used, missing = 0, blocks
+        if len(missing) > len(self.table):
+            self.table = np.empty((len(missing), *self.table.shape[1:]), self.table.dtype)
+        self._descend(missing)
+
+    def weights(self, cells: np.ndarray) -> np.ndarray:
+        """Cells x replicates of cells whose blocks are held, in the narrow type they are kept in."""
+        return self.table[self.slot[cells // LEAF], cells % LEAF]
 
     def counts(self, cells: np.ndarray) -> np.ndarray:
         """Cells x replicates."""
-        blocks = cells // LEAF
-        wanted = np.unique(blocks)
-        missing = np.array([b for b in wanted if b not in self.known], np.int64)
-        if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-            missing = wanted
-        self._descend(missing)
-        out = np.empty((len(cells), self.replicates), np.int64)
-        for b in wanted:
-            mine = blocks == b
-            out[mine] = self.known[b][cells[mine] - b * LEAF]
-        return out
+        self.hold(np.unique(cells // LEAF))
+        return self.weights(cells).astype(np.int64)
 
     def _descend(self, blocks: np.ndarray) -> None:
         if not len(blocks):
             return
-        n_blocks = -(-self.n // LEAF)
         start = np.full(self.replicates, self.n, np.int64)
-        open_ = [(0, n_blocks, start, blocks)]
+        open_ = [(0, self.blocks, start, blocks)]
         while open_:
             lo, hi, counts, some = open_.pop()
             if hi - lo == 1:
                 size = min(LEAF, self.n - lo * LEAF)
-                drawn = generator(self.seed, lo, hi).multinomial(counts, np.full(size, 1 / size))
-                self.known[lo] = drawn.T
+                drawn = generator(*self.place, lo, hi).multinomial(counts, np.full(size, 1 / size))
+                if drawn.max(initial=0) > np.iinfo(self.table.dtype).max:
+                    self.table = self.table.astype(np.uint32)
+                self.table[self.used, :size] = drawn.T
+                self.slot[lo], self.used = self.used, self.used + 1
                 continue
             mid = (lo + hi) // 2
             whole = min(hi * LEAF, self.n) - lo * LEAF
-            left = split(counts, (mid - lo) * LEAF, whole, self.seed, lo, hi)
+            left = split(counts, (mid - lo) * LEAF, whole, *self.place, lo, hi)
             cut = np.searchsorted(some, mid)
             if cut:
                 open_.append((lo, mid, left, some[:cut]))

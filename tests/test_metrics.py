@@ -367,3 +367,56 @@ def test_counts_of_patches_are_drawn_once_for_all_scores(monkeypatch):
     weight = EqualCells(n, b, 42).counts(np.arange(n))
     for got, c in ((pos, "pos"), (neg, "neg")):
         assert (got == part[c].to_numpy()[:n] @ weight).all()
+
+
+def test_ranges_of_a_task_draw_each_patch_once(monkeypatch):
+    """A thousand replicates of many patches are remembered from one range to the next."""
+    drawn = []
+    descend = EqualCells._descend
+    monkeypatch.setattr(EqualCells, "_descend", lambda self, blocks: (drawn.extend(blocks), descend(self, blocks))[1])
+    n, b = 9600, 1000
+    cells = EqualCells(n, b, 42)
+    part = pd.DataFrame({"score": 1.0, "idx": np.arange(n), "pos": 1, "neg": 0})
+    for _ in range(3):
+        pos, _ = resampling._walk(part, cells, b)
+        assert (pos == n).all()
+    assert len(drawn) == n // 16
+
+
+@pytest.mark.parametrize("metric", ["roc_auc", "pr_auc"])
+def test_replicates_drawn_in_pieces(spark, scores, metric, monkeypatch):
+    """More patches than a task may remember: every piece of the replicates has a draw of its own."""
+    df = spark.createDataFrame(scores).withColumn("g", F.col("g").cast("long"))
+    n, b, pieces = scores.g.nunique(), 20, 3
+    monkeypatch.setattr(resampling, "HELD_BYTES", -(-n * b // pieces))
+    row = resampling.block_bootstrap(df, "g", "y", "a", metric, b, order=F.col("g")).first()
+    place = scores.g.map({g: i for i, g in enumerate(sorted(set(scores.g)))}).to_numpy()
+    edges = [b * k // pieces for k in range(pieces + 1)]
+    values = []
+    for k in range(pieces):
+        counts = EqualCells(n, edges[k + 1] - edges[k], (42, k)).counts(np.arange(n))
+        values += [
+            weighted_roc(scores.y.to_numpy(), scores.a.to_numpy(), c)[metric == "pr_auc"] for c in counts[place].T
+        ]
+    assert row.n_bootstrap == b
+    assert row["mean"] == pytest.approx(np.mean(values), abs=1e-12)
+
+
+@pytest.mark.parametrize("frequent", [1, 30, 1 << 20])
+def test_plain_draws_equal_column_draws(spark, scores, frequent, monkeypatch):
+    """Numbers drawn in tasks are those Spark computes, over several stretches of a replicate."""
+    monkeypatch.setattr(resampling, "FREQUENT_CELLS", frequent)
+    monkeypatch.setattr(resampling, "TASK_DRAWS", 70)
+    monkeypatch.setattr(resampling, "LOOKED_UP", 30)
+    draw = lambda rep, j, n: (rep * 7919 + j * j * 31 + rep * j) % n
+    df, found = spark.createDataFrame(scores), []
+    for kind in (draw, resampling.PlainDraw(draw)):
+        found.append(resampling.bootstrap_metric(df, "y", "a", n_bootstrap=8, draw=kind).first().asDict())
+    assert found[0] == pytest.approx(found[1], abs=1e-12)
+
+
+def test_row_bootstrap_query_draws_a_thousand_replicates(spark, sf_dir):
+    from pyrogrid.plans.catalog import REGISTRY
+
+    assert REGISTRY["bootstrap_metric"].run(spark, sf_dir).first().n_bootstrap == 1000
+    assert "range(0, 1000)" in REGISTRY["bootstrap_metric"].sql
