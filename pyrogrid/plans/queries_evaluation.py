@@ -476,7 +476,8 @@ def correlated_areas(spark, sf):
 
 # --- bootstrap
 
-REPLICATES, SEED = 25, 42
+# Replicates of the patch bootstrap and of the row bootstrap.
+REPLICATES, ROW_REPLICATES, SEED = 25, 1000, 42
 # Moduli and multipliers of a draw that SQL can compute too; the default draw is a hash.
 DRAW = (48271, 69621, 2147483647, 2147483629, 2147483587)
 
@@ -489,13 +490,13 @@ def arithmetic_draw(rep, j, n):
     return x % n
 
 
-def _draw_sql(n: str) -> str:
+def _draw_sql(n: str, replicates: int = REPLICATES) -> str:
     a, b, m1, m2, m3 = DRAW
     return f"""SELECT rep, x3 % n AS idx FROM (
       SELECT *, (x2 * x2 + rep * {b} + {SEED}) % {m3} AS x3 FROM (
       SELECT *, (x1 * x1 + j * {b} + {SEED}) % {m2} AS x2 FROM (
       SELECT rep, j, n, (rep * 1000003 + j) * {a} % {m1} AS x1 FROM (
-      SELECT ({n}) AS n), range(0, {REPLICATES}) r(rep), LATERAL (
+      SELECT ({n}) AS n), range(0, {replicates}) r(rep), LATERAL (
         SELECT unnest(range(0, CAST(n AS BIGINT))) AS j))))"""
 
 
@@ -515,7 +516,7 @@ BOOTSTRAP = "mean:f lower:f upper:f n_bootstrap:i"
     BOOTSTRAP,
     with_tables(
         _replicates_sql(
-            f"""SELECT d.rep, t.{P}, t.{Y} FROM ({_draw_sql("SELECT count(*) FROM scored")}) d
+            f"""SELECT d.rep, t.{P}, t.{Y} FROM ({_draw_sql("SELECT count(*) FROM scored", ROW_REPLICATES)}) d
             JOIN (SELECT *, row_number() OVER (ORDER BY {P}, {Y}) - 1 AS place FROM scored) t
             ON t.place = d.idx"""
         ),
@@ -524,7 +525,9 @@ BOOTSTRAP = "mean:f lower:f upper:f n_bootstrap:i"
 )
 def row_bootstrap(spark, sf):
     return resampling.bootstrap_metric(
-        T.scored(spark, sf), Y, P, n_bootstrap=REPLICATES, draw=arithmetic_draw
+        T.scored(spark, sf), Y, P,
+        n_bootstrap=ROW_REPLICATES,
+        draw=resampling.PlainDraw(arithmetic_draw),
     )
 
 
