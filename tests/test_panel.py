@@ -523,3 +523,49 @@ def test_patches_of_usual_size_are_shuffled_once(spark, capsys):
             pixels = {p: statistics.fmean(r[3] for r in of if r[1] == p) for _, p, *_ in of}
             assert row.weather_v_mean_l7d == pytest.approx(statistics.fmean(pixels.values()))
             assert row.weather_v_max_l7d == max(pixels.values())
+
+
+@pytest.mark.parametrize("std", ["pop", "samp"])
+def test_streamed_means_equal_grouped_ones(spark, monkeypatch, std):
+    """Weather rows are multiplied to their dates in the tasks only, nulls and nameless pixels included."""
+    import random
+
+    rng = random.Random(11)
+    t = temporal(reference_end=date(2020, 3, 25), temporal_windows=(7, 14, 30))
+    rows = [
+        (rng.choice(["a", "b", None]), rng.choice([1, 2, None]), date(2019, 12, 1) + timedelta(days=rng.randrange(130)),
+         rng.choice([None, 0.1, 0.2, float("nan"), rng.random()]), 0)
+        for _ in range(300)
+    ]
+    obs = observations(spark, rows + [("d", 1, date(2020, 1, 3), None, 0)])
+    monkeypatch.setattr(zonal, "has_large_key", lambda *_: False)
+    streamed = zonal.zonal_weather(obs, t, bands=("v",), std=std)
+    plan = streamed._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    seen = zonal.visible(obs, t, 30)
+    placed = zonal.lookback_join(seen, t, 30)
+    per_pixel = placed.groupBy(*zonal.KEY, "pixel_id").agg(
+        *[F.avg(F.when(F.col("gap") <= w, F.col("v"))).alias(f"v{w}") for w in (7, 14, 30)]
+    )
+    want = per_pixel.groupBy(*zonal.KEY).agg(
+        *[c for w in (7, 14, 30) for c in zonal.patch_stats(F.col(f"v{w}"), f"weather_v_{{stat}}_l{w}d", zonal.STATS, std)]
+    )
+    got, want = ({(r.patch_id, r.reference_date): r.asDict() for r in f.collect()} for f in (streamed, want))
+    assert got.keys() == want.keys() and len(got) > 20
+    for key, row in want.items():
+        assert got[key].keys() == row.keys()
+        for name, value in row.items():
+            assert got[key][name] == (pytest.approx(value, abs=1e-12) if isinstance(value, float) else value)
+
+
+def test_rounded_equals_round(spark):
+    from pyrogrid.plans.registry import rounded
+
+    value = (F.floor(F.rand(3) * 2e7) - 1e7 + 0.5) / 1e6
+    frames = [value, value + F.randn(4) * 1e-10, F.randn(5) * F.pow(F.lit(10.0), F.floor(F.rand(6) * 14) - 5)]
+    odd = [None, float("nan"), float("inf"), -float("inf"), -0.0, 5e-7, -5e-7, 1.0000005, -2.3456785, 1e300, 5.1e4]
+    df = spark.createDataFrame([(x,) for x in odd], "v double")
+    for c in frames:
+        df = df.union(spark.range(20_000).select(c.alias("v")))
+    wrong = df.where(~rounded(F.col("v")).eqNullSafe(F.round("v", 6) + F.lit(0.0)))
+    assert wrong.count() == 0
