@@ -270,3 +270,23 @@ def test_models_are_saved_and_loaded(spark, panel, tmp_path):
     loaded = models.load_model(spark, str(tmp_path / "m" / "occurrence"))
     a, b = (m.score(panel).select("prediction").collect() for m in (fitted, loaded))
     assert sorted(a) == sorted(b) and loaded.features == fitted.features
+
+
+def test_buffers_of_one_fit_are_scored_once(spark, panel, monkeypatch):
+    """The test rows of all buffers are scored in one go; every area is that of its own rows."""
+    features, buffers = FEATURES[:2], [0, 10, 20]
+    train, evaluate = audits.occurrence_callbacks(features, "y_occ_14d", "logreg", {"max_iter": 5})
+    scored, score = [], models.FittedModel.score
+
+    def seen(self, df, *args):
+        scored.append(df)
+        return score(self, df, *args)
+
+    monkeypatch.setattr(models.FittedModel, "score", seen)
+    curve = audits.leakage_curve(panel, train, evaluate, 14, buffers, uses_val=False).collect()
+    assert len(scored) == 1 and len(curve) > 1
+    boundaries = audits.date_thirds(panel)
+    for row in curve:
+        parts = audits.buffered_split(panel, row.buffer_days, boundaries)
+        model = train(models.in_split(parts, "train"), None)
+        assert row.roc_auc == pytest.approx(evaluate(model, models.in_split(parts, "test")), abs=1e-12)
